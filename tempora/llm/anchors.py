@@ -32,7 +32,7 @@ class Unit:
         self.words, self.width, self.gram = words, width, gram
 
     def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, first window in the text, number of windows, anchor, and [from, to) in bytes of each segment."""
+        """Text, first window in the text, number of windows, anchor, [from, to) in bytes, and whether the anchor stands in it again, of each segment."""
         if self.words:
             w = Words(data, offsets)
             grams, first = gram_hash(w.hash, self.gram), w.of_text
@@ -40,25 +40,27 @@ class Unit:
             grams, first = gram_hash(data, self.gram), offsets
         least = sliding_min(grams, self.width - self.gram + 1)
         if not len(least):
-            return tuple(np.zeros(0, np.int64) for _ in range(6))
+            return tuple(np.zeros(0, np.int64) for _ in range(7))
         windows = np.maximum(0, np.diff(first) - self.width + 1)
         at = spread(first[:-1], windows)  # of each window, the first unit
         text = np.repeat(np.arange(len(windows)), windows)
         if not len(at):
-            return tuple(np.zeros(0, np.int64) for _ in range(6))
+            return tuple(np.zeros(0, np.int64) for _ in range(7))
         key = least[at]
         change = np.ones(len(at), bool)
         change[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
         begin = np.flatnonzero(change)
         count = np.diff(np.append(begin, len(at)))
+        # two equal windows of one segment: the anchor then comes in anew after the first window
+        twice = np.logical_or.reduceat((grams[at + self.width - self.gram] == key) & ~change, begin)
         if count.max() > LONGEST:
             parts = -(-count // LONGEST)
             part = spread(np.zeros(len(parts), np.int64), parts)
-            begin, count = np.repeat(begin, parts) + part * LONGEST, np.repeat(count, parts)
+            begin, count, twice = np.repeat(begin, parts) + part * LONGEST, np.repeat(count, parts), np.repeat(twice, parts)
             count = np.minimum(LONGEST, count - part * LONGEST)
         lo, hi = at[begin], at[begin] + count + self.width - 1
         span = (w.start[lo], w.end[hi - 1]) if self.words else (lo, hi)
-        return text[begin], lo - first[text[begin]], count, key[begin].view(np.int64), *span
+        return text[begin], lo - first[text[begin]], count, key[begin].view(np.int64), *span, twice
 
 
 def prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -66,27 +68,27 @@ def prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
 
 
-def _anchors(unit: Unit, across: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each anchor of a block of documents with all its places there: what one key holds is combined before the shuffle."""
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text", 1 << 21):
                 doc = part.column(0).to_numpy()
-                text, _, _, key, _, _ = unit.segments(data, offsets)
+                text, _, _, key, _, _, twice = unit.segments(data, offsets)
                 if not len(key):
                     continue
                 of_text = np.searchsorted(text, np.arange(len(doc)))
                 ordinal = np.arange(len(text)) - of_text[text]
                 order = np.argsort(key, kind="stable")
-                key, text, ordinal = key[order], text[order], ordinal[order]
+                key, text, ordinal, twice = key[order], text[order], ordinal[order], twice[order]
                 begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 count = np.diff(np.append(begin, len(key)))
                 ids = doc[text]
                 lo, hi = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
                 yield pa.record_batch({
                     "anchor": pa.array(key[begin]), "lo": pa.array(lo), "hi": pa.array(hi), "ordinal": pa.array(ordinal[begin].astype(np.int32)),
-                    "again": pa.array(count > 1),
+                    "again": pa.array((count > 1) | np.logical_or.reduceat(twice, begin)),
                     "more": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(ordinal.astype(np.int32))], ["doc", "ordinal"]), mask=pa.array(count == 1)),
                 })
 
@@ -95,7 +97,7 @@ def _anchors(unit: Unit, across: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def repeated(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
     """doc and the ordinals of its segments whose anchor occurs again: in another document if ``across``, else anywhere."""
-    found = docs.select("doc", "text").mapInArrow(_anchors(unit, across), "anchor long, lo long, hi long, ordinal int, again boolean, more array<struct<doc:long,ordinal:int>>")
+    found = docs.select("doc", "text").mapInArrow(_anchors(unit), "anchor long, lo long, hi long, ordinal int, again boolean, more array<struct<doc:long,ordinal:int>>")
     here = Window.partitionBy("anchor")
     if across:
         known = F.min("lo").over(here) != F.max("hi").over(here)
@@ -116,7 +118,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         for batch in batches:
             for part, data, offsets in blocks(batch, "text", 1 << 22):
                 doc, th = part.column(0).to_numpy(), part.column(2).to_numpy()
-                text, first, count, key, lo, hi = unit.segments(data, offsets)
+                text, first, count, key, lo, hi, _ = unit.segments(data, offsets)
                 if not len(key):
                     continue
                 chosen, of = part.column(3), np.searchsorted(text, np.arange(len(doc)))
