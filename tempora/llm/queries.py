@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .op1_substring import op1_substring_dedup
+from .op2_minhash import op2_minhash_near_dedup
 from .op7_suffix import op7_suffix_array_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op7_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op7_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
