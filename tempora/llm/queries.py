@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import op3_decontamination
 from .op1_substring import op1_substring_dedup
 from .op2_minhash import op2_minhash_near_dedup
+from .op3_decontamination import op3_benchmark_decontamination
+from .op6_secrets import op6_secret_scan
 from .op7_suffix import op7_suffix_array_dedup
+from .op8_packing import op8_retrieval_packing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op7_suffix_array_dedup)}
+    each = (op1_substring_dedup, op2_minhash_near_dedup, op3_benchmark_decontamination, op6_secret_scan, op7_suffix_array_dedup, op8_retrieval_packing)
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": op3_decontamination.ORACLE}
