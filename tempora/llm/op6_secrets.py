@@ -116,14 +116,15 @@ def _matches(kind: str, text: str = "text") -> Column:
     return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and spans (array of start, order, kind, end by start, then the order of RULES) of each document.
+def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
+    """doc_id and spans (array of start, order, kind, end by start, then the order of RULES) of each document; with ``keep`` all its columns and spans.
 
     Places are code points, the end exclusive. Matches of a rule are leftmost and do not overlap; those whose value is
     too short are dropped. Null and empty texts have no spans. Each row has its own result, rows that repeat an id too;
-    a null id stays null. Other columns are not read.
+    a null id stays null. Other columns are not read, and go along untouched under their names with ``keep``.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    others = [docs[c].alias(f"_{k}") for k, c in enumerate(docs.columns)] if keep else []
+    base = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"), docs[doc_id].alias("doc_id"), *others)
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
     queries = {kind: trigram_query(rule[0]) for kind, rule in RULES.items()}
     grams = sorted({g for clauses in queries.values() for c in clauses for g in c})
@@ -134,7 +135,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     named = docs.sparkSession.createDataFrame(clauses, "gram string, kind string, clause int, need int")
     meets = postings.join(F.broadcast(named), "gram").groupBy("row", "kind", "clause", "need").agg(F.count_distinct("gram").alias("have")).filter("have = need")
     rules = meets.groupBy(F.col("row")).agg(F.collect_set("kind").alias("kinds"))
-    rows = base.join(rules, "row", "left").select("doc_id", "text", "kinds")
+    rows = base.join(rules, "row", "left").drop("row")
     none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
     found = []
     for kind, (expression, _, _, _) in RULES.items():
@@ -142,7 +143,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             found.append(F.when(F.array_contains("kinds", kind), _matches(kind)).otherwise(none))
         else:
             found.append(F.when(F.rlike("text", F.lit(expression)), _matches(kind)).otherwise(none))
-    return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("spans"))
+    spans = F.array_sort(F.concat(*found)).alias("spans")
+    return rows.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c != "spans"), spans) if keep else rows.select("doc_id", spans)
 
 
 def joined(spans: Column) -> Column:

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from . import op3_decontamination
+from . import op3_decontamination, op9_topk
 from .op1_substring import op1_substring_dedup
 from .op2_minhash import op2_minhash_near_dedup
 from .op3_decontamination import op3_benchmark_decontamination
 from .op4_quality import op4_quality
+from .op5_language import op5_language_id
 from .op6_secrets import op6_secret_scan
 from .op7_suffix import op7_suffix_array_dedup
 from .op8_packing import op8_retrieval_packing
+from .op9_topk import op9_dual_tree_topk
 from .op10_toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    each = (op1_substring_dedup, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_quality, op6_secret_scan, op7_suffix_array_dedup, op8_retrieval_packing, op10_toxicity)
-    return {f.__name__: f for f in each}
+    each = (op1_substring_dedup, op2_minhash_near_dedup, op3_benchmark_decontamination, op4_quality, op5_language_id, op6_secret_scan, op7_suffix_array_dedup, op8_retrieval_packing, op9_dual_tree_topk, op10_toxicity)
+    import corpus_pipeline
+
+    return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": op3_decontamination.ORACLE}
+    return {"op3_benchmark_decontamination": op3_decontamination.ORACLE, "op9_dual_tree_topk": op9_topk.ORACLE}
