@@ -39,28 +39,32 @@ class Unit:
         else:
             grams, first = gram_hash(data, self.gram), offsets
         least = sliding_min(grams, self.width - self.gram + 1)
-        if not len(least):
+        n = len(least)  # windows of the block, those across texts included
+        if not n:
             return tuple(np.zeros(0, np.int64) for _ in range(7))
-        windows = np.maximum(0, np.diff(first) - self.width + 1)
-        at = spread(first[:-1], windows)  # of each window, the first unit
-        text = np.repeat(np.arange(len(windows)), windows)
-        if not len(at):
-            return tuple(np.zeros(0, np.int64) for _ in range(7))
-        key = least[at]
-        change = np.ones(len(at), bool)
-        change[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        change = np.ones(n, bool)
+        change[1:] = least[1:] != least[:-1]
+        change[first[:-1][first[:-1] < n]] = True
+        outside = np.maximum(first[:-1], first[1:] - self.width + 1)  # from here on, windows leave the text
+        change[outside[outside < n]] = True
         begin = np.flatnonzero(change)
-        count = np.diff(np.append(begin, len(at)))
+        count = np.diff(np.append(begin, n))
         # two equal windows of one segment: the anchor then comes in anew after the first window
-        twice = np.logical_or.reduceat((grams[at + self.width - self.gram] == key) & ~change, begin)
+        twice = np.logical_or.reduceat((grams[self.width - self.gram :] == least) & ~change, begin)
+        text = np.searchsorted(first, begin, "right") - 1
+        inside = begin + self.width <= first[text + 1]
+        begin, count, twice, text = begin[inside], count[inside], twice[inside], text[inside]
+        if not len(begin):
+            return tuple(np.zeros(0, np.int64) for _ in range(7))
+        key = least[begin]
         if count.max() > LONGEST:
             parts = -(-count // LONGEST)
             part = spread(np.zeros(len(parts), np.int64), parts)
-            begin, count, twice = np.repeat(begin, parts) + part * LONGEST, np.repeat(count, parts), np.repeat(twice, parts)
+            begin, count, twice, key, text = np.repeat(begin, parts) + part * LONGEST, np.repeat(count, parts), np.repeat(twice, parts), np.repeat(key, parts), np.repeat(text, parts)
             count = np.minimum(LONGEST, count - part * LONGEST)
-        lo, hi = at[begin], at[begin] + count + self.width - 1
+        lo, hi = begin, begin + count + self.width - 1
         span = (w.start[lo], w.end[hi - 1]) if self.words else (lo, hi)
-        return text[begin], lo - first[text[begin]], count, key[begin].view(np.int64), *span, twice
+        return text, lo - first[text], count, key.view(np.int64), *span, twice
 
 
 def prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -73,7 +77,7 @@ def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text", 1 << 21):
+            for part, data, offsets in blocks(batch, "text"):
                 doc = part.column(0).to_numpy()
                 text, _, _, key, _, _, twice = unit.segments(data, offsets)
                 if not len(key):
@@ -116,7 +120,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text", 1 << 22):
+            for part, data, offsets in blocks(batch, "text"):
                 doc, th = part.column(0).to_numpy(), part.column(2).to_numpy()
                 text, first, count, key, lo, hi, _ = unit.segments(data, offsets)
                 if not len(key):

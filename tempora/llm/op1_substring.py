@@ -22,7 +22,7 @@ from .common import Words, binary, chunks, runs, table, to_binary
 WIDTH = 13
 UNIT = anchors.Unit(words=True, width=WIDTH, gram=5)
 #: Bytes of segments in a shard, about; a shard ends where the anchor changes.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -60,12 +60,12 @@ class FMIndex:
             after = np.zeros(n, np.int64)
             after[: n - depth] = r[depth:] + 1
             pair = r * (int(r.max()) + 2) + after
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             new = np.empty(n, np.int64)
             new[order] = np.cumsum(np.concatenate([[0], pair[order][1:] != pair[order][:-1]]))
             ranks.append(new)
             depth *= 2
-        suffixes = np.argsort(ranks[-1], kind="stable")
+        suffixes = np.argsort(ranks[-1])
         before = text[suffixes - 1]
         self.bits = max(1, int(text.max()).bit_length())
         self.wavelet = WaveletMatrix(before, self.bits)

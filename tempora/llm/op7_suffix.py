@@ -22,31 +22,47 @@ from .common import BYTE_BASE, binary, chunks, gram_hash, runs, spread, table, t
 WIDTH = 200
 UNIT = anchors.Unit(words=False, width=WIDTH, gram=24)
 #: Bytes of segments in a shard, about; a shard ends where the anchor changes.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of a trigger, and one in how many windows is one.
 TRIGGER, EVERY = 8, 32
 #: A byte that UTF-8 never has: ends each segment.
 END = 0xFF
 
 
-def eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one big-endian number; places past the end count as 0."""
+def eights(data: np.ndarray, order: str) -> np.ndarray:
+    """The eight bytes from each place as one number; places past the end count as 0."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data),), np.dtype(">u8"), padded, strides=(1,))
+    return np.ndarray((len(data),), np.dtype(f"{order}u8"), padded, strides=(1,))
+
+
+def ranked(key: np.ndarray) -> np.ndarray:
+    """How many keys are smaller than each."""
+    order = np.argsort(key)
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    out[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return out
 
 
 def doubled(rank: np.ndarray, depth: int, until: int, room: np.ndarray) -> np.ndarray:
-    """Dense ranks by the first ``until`` symbols, from ranks by the first ``depth``; room: symbols left from each place."""
-    n = len(rank)
-    while depth < until:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - depth)] = rank[depth:] + 1
-        after[room <= depth] = 0
-        pair = rank * (int(rank.max(initial=0)) + 2) + after
-        order = np.argsort(pair, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], pair[order][1:] != pair[order][:-1]]))
+    """Ranks by the first ``until`` symbols, from ranks by the first ``depth``; room: symbols left from each place.
+
+    A place without more symbols than ``depth`` keeps its rank: others of that rank are the same string.
+    """
+    rank = rank.copy()
+    more = np.flatnonzero(room > depth)
+    while depth < until and len(more):
+        order = np.lexsort((rank[more + depth], rank[more])) if len(rank) >= 1 << 31 else np.argsort(rank[more] << 32 | rank[more + depth])
+        at = more[order]
+        a, b = rank[at], rank[at + depth]
+        top = np.concatenate([[True], a[1:] != a[:-1]])
+        new = top.copy()
+        new[1:] |= b[1:] != b[:-1]
+        place = np.arange(len(at))
+        rank[at] = a + place[new][np.cumsum(new) - 1] - place[top][np.cumsum(top) - 1]
         depth *= 2
+        more = more[room[more] > depth]
     return rank
 
 
@@ -56,13 +72,13 @@ def parse(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at_end = text == END
     ends = np.concatenate([[0], np.cumsum(at_end)])
     inside = ends[TRIGGER:] - ends[:-TRIGGER]
-    trigger = np.flatnonzero(((hashes % np.uint64(EVERY) == 0) & (inside == 0)) | (inside == TRIGGER))
+    trigger = np.flatnonzero(((hashes & np.uint64(EVERY - 1) == 0) & (inside == 0)) | (inside == TRIGGER))
     end = trigger + TRIGGER
     return np.concatenate([[0], end[:-1] - TRIGGER]), end
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
-    """The places ``wanted`` in the order of the text from there, by ``depth`` bytes at least, by prefix-free parsing."""
+    """The order of the places ``wanted`` by the text from there, by ``depth`` bytes at least, from a prefix-free parse."""
     start, end = parse(text)
     size = end - start
     coded = to_binary(text[spread(start, size)], np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
@@ -70,17 +86,18 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     words, edges = binary(coded.dictionary)
     # dictionary: ranks of all suffixes of all phrases
     room = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(words))
-    first = eights(words).astype(np.uint64)
+    first = eights(words, ">").astype(np.uint64)
     short = room < 8
     first[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * room[short].astype(np.uint64))
-    rank = doubled(np.unique(first, return_inverse=True)[1].astype(np.int64), 8, depth, room)
+    rank = doubled(ranked(first), 8, depth, room)
     # parse: ranks of the phrases by content, then of all suffixes of their sequence
-    in_order = doubled(rank[edges[:-1]][phrase], 1, depth, np.arange(len(phrase), 0, -1))
+    in_order = doubled(ranked(rank[edges[:-1]][phrase]), 1, depth, np.arange(len(phrase), 0, -1))
     following = np.append(in_order[1:] + 1, 0)
     # text: place i lies in the phrase that has it before its closing trigger
-    of = np.searchsorted(end - TRIGGER, wanted, "right")
-    key = rank[edges[phrase[of]] + wanted - start[of]] * (len(phrase) + 1) + following[of]
-    return wanted[np.argsort(key, kind="stable")]
+    mark = np.zeros(len(text), np.int32)
+    mark[end - TRIGGER] = 1
+    of = np.cumsum(mark, dtype=np.int32)[wanted]
+    return np.argsort(rank[edges[phrase[of]] + wanted - start[of]] << 32 | following[of])
 
 
 def multiplicity(segments: pa.Array, windows: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -91,22 +108,39 @@ def multiplicity(segments: pa.Array, windows: np.ndarray, times: np.ndarray) ->
     text = np.full(len(data) + len(size) * TRIGGER, END, np.uint8)
     text[spread(start, size)] = data
     wanted = spread(start, windows)
-    weight = np.repeat(times, windows)
     order = suffix_order(text, wanted, 256)
-    eight = eights(text)
-    a, b = order[:-1], order[1:]
+    eight, at = eights(text, "<"), wanted[order]
+    a, b = at[:-1], at[1:]
     same = np.flatnonzero(eight[a] == eight[b])
-    for k in range(8, WIDTH, 8):  # bytes, not hashes: exact
-        same = same[eight[a[same] + k] == eight[b[same] + k]]
+    a, b = a[same], b[same]
+    for k in [*range(WIDTH - 8, 0, -64), *range(8, WIDTH - 8, 8)]:  # bytes, not hashes: exact
+        equal = eight[a + k] == eight[b + k]
+        if not equal.all():
+            same, a, b = same[equal], a[equal], b[equal]
     new = np.ones(len(order), bool)
     new[same + 1] = False
-    group = np.cumsum(new) - 1
-    number = np.searchsorted(wanted, order)
     out = np.empty(len(wanted), np.int64)
-    out[number] = np.add.reduceat(weight[number], np.flatnonzero(new))[group] if len(order) else 0
+    if len(order):
+        weight = np.repeat(times, windows)[order]
+        out[order] = np.add.reduceat(weight, np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
+def _spans(code: np.ndarray, windows: np.ndarray, occ: np.ndarray, often: np.ndarray, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """doc, th, from, to of each run of repeated windows, at each place of its segment."""
+    begin = np.cumsum(windows) - windows
+    lo, hi = runs(often, begin)
+    seg = np.searchsorted(begin, lo, "right") - 1
+    lo, hi = lo - begin[seg], hi - begin[seg]
+    first = np.searchsorted(seg, np.arange(len(windows) + 1))
+    many = np.diff(first)
+    for at in range(0, len(occ), step):
+        of = code[at : at + step]
+        run, place = spread(first[of], many[of]), np.repeat(np.arange(at, at + len(of)), many[of])
+        start = occ["start"][place]
+        yield pa.record_batch({"doc": pa.array(occ["doc"][place]), "th": pa.array(occ["th"][place]), "from": pa.array(start + lo[run]), "to": pa.array(start + hi[run])})
+
+
 def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard in chunks(batches, "anchor", "seg", SHARD_BYTES):
         coded = shard.column("seg").combine_chunks().dictionary_encode()
@@ -119,7 +153,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.repeat(index, n)
         times = np.bincount(code, minlength=len(windows))
         often = multiplicity(coded.dictionary, windows, times) > 1
-        yield from anchors.spans_of(code, windows, occ, lambda window, place, often=often: often[window])
+        yield from _spans(code, windows, occ, often)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
