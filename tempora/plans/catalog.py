@@ -1,10 +1,6 @@
-"""The registry of queries and of the SQL that gives the same rows."""
+"""All queries of the library (the optional subpackage aside), by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import algebra_queries, annotation_queries, stats_queries, temporal_queries, text_queries, vector_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
