@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import checkpointed, table
+from tempora.llm.common import checkpointed, fresh, table
 from tempora.llm.op2_minhash import near_duplicates
 from tempora.llm.op3_decontamination import contaminated
 from tempora.llm.op6_secrets import scan_secrets
@@ -21,36 +21,43 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents whose calibrated toxicity is 0.5 or more; learned from all labels."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = Model(ready, table(spark, sf_dir, "labels", "doc_id", "toxic"), F.lit(True))
-    return scored(docs, model).filter("score < 0.5").select(*docs.columns)
+    score = fresh(docs, "score")
+    return scored(docs, model, out=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near duplicates; rows that repeat an id and text are one."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = fresh(docs, "kept")
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold three quarters of the shingles of a benchmark item."""
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    name = fresh(docs, "leak")
+    leaks = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets found in each text; every document stays."""
-    found = scan_secrets(docs, keep=True)
+    spans, clean = fresh(docs, "spans"), fresh(docs, "clean")
+    found = scan_secrets(docs, keep=spans)
+    piece = lambda lo, n: F.substring(F.col("text"), (lo + 1).cast("int"), n.cast("int"))
     # left to right; a span that begins inside one already replaced is merged into it
-    clean = F.aggregate(
-        "spans",
+    walked = F.aggregate(
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda a, s: F.struct(
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(REDACTED))).otherwise(a["out"]).alias("out"),
+            F.when(s["start"] >= a["at"], F.concat(a["out"], piece(a["at"], s["start"] - a["at"]), F.lit(REDACTED))).otherwise(a["out"]).alias("out"),
             F.greatest(a["at"], s["end"]).alias("at"),
         ),
     )
-    done = found.withColumn("_clean", clean)
-    whole = F.when(F.size("spans") > 0, F.concat(F.col("_clean.out"), F.substring(F.col("text"), (F.col("_clean.at") + 1).cast("int"), F.length("text")))).otherwise(F.col("text"))
-    replaced = {"text": whole} | ({"n_chars": F.when(F.size("spans") > 0, F.length(whole).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    done = found.withColumn(clean, F.when(F.size(spans) > 0, walked))
+    whole = F.when(F.size(spans) > 0, F.concat(F.col(clean)["out"], piece(F.col(clean)["at"], F.length("text")))).otherwise(F.col("text"))
+    replaced = {"text": whole}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.when(F.size(spans) > 0, F.length(whole).cast("long")).otherwise(F.col("n_chars"))
     return done.withColumns(replaced).select(*docs.columns)
 
 

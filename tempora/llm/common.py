@@ -39,6 +39,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column has it in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def crc_mod(column, n: int):
     """crc32 of an id written as text, modulo ``n``: the folds of the labelled tables."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import BYTE_BASE, blocks, crc_mod, mix, prefix_hash, span_hash, table
 from .sampling import labelled_sample
@@ -243,22 +244,19 @@ class Model:
         return 0.98 * np.interp(raw, *self.knots) + 0.02 * plain
 
 
-def _scored(model) -> Callable:
+def _scored(model, out: str, text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
-                keep = {name: part.column(k) for k, name in enumerate(part.schema.names)}
-                yield pa.record_batch(keep | {"score": pa.array(model.score(data, offsets))})
+            for part, data, offsets in blocks(batch, text):
+                columns = [*part.columns, pa.array(model.score(data, offsets))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, out])
 
     return run
 
 
-def scored(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """``docs`` with the column score."""
-    from pyspark.sql.types import DoubleType, StructType
-
-    plain = docs.drop("score")
-    return plain.mapInArrow(_scored(model), StructType([*plain.schema.fields]).add("score", DoubleType()))
+def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the score in the new column ``out``."""
+    return docs.mapInArrow(_scored(model, out, text), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 5, held_out: int = 0) -> DataFrame:

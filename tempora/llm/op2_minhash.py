@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     A set holds the distinct runs of five words, A-Z in lower case; with fewer words the whole sequence; without words,
     or for a null text, it is empty and linked with nothing. Documents are linked at a similarity of 0.75 or more.
     class_id: the least id with the same set; component_id: the least id reachable; kept: they are the row's own id.
-    Rows that share an id are one node: each links what its text links. A null id counts as the largest and stays null.
+    Each row has the component of its set; different sets with the same least id (rows that repeat an id) are one node.
+    A null id counts as the largest and stays null.
     Other columns are not read.
     """
     ready = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))

@@ -190,7 +190,7 @@ def _predicted(model: Model) -> Callable:
                 have = len(known)
                 while have + len(new) > len(values):
                     values = np.concatenate([values, np.zeros_like(values)])
-                for k in range(0, len(new), 20_000):
+                for k in range(0, len(new) if model.langs else 0, 20_000):
                     values[have + k : have + k + len(new[k : k + 20_000])] = model.lattice([_text(w) for w in new[k : k + 20_000]]).forward(model.p)
                 known.update((w, have + k) for k, w in enumerate(new))
                 row = np.fromiter((known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy().astype(np.int64)] if words else np.zeros(0, np.int64)

@@ -116,12 +116,12 @@ def _matches(kind: str, text: str = "text") -> Column:
     return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """doc_id and spans (array of start, order, kind, end by start, then the order of RULES) of each document; with ``keep`` all its columns and spans.
+def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str | None = None) -> DataFrame:
+    """doc_id and spans (array of start, order, kind, end by start, then the order of RULES) of each document; or all its columns, and the spans in the new column ``keep``.
 
     Places are code points, the end exclusive. Matches of a rule are leftmost and do not overlap; those whose value is
     too short are dropped. Null and empty texts have no spans. Each row has its own result, rows that repeat an id too;
-    a null id stays null. Other columns are not read, and go along untouched under their names with ``keep``.
+    a null id stays null. Other columns are not read, and go along untouched with ``keep``.
     """
     others = [docs[c].alias(f"_{k}") for k, c in enumerate(docs.columns)] if keep else []
     base = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"), docs[doc_id].alias("doc_id"), *others)
@@ -143,8 +143,10 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
             found.append(F.when(F.array_contains("kinds", kind), _matches(kind)).otherwise(none))
         else:
             found.append(F.when(F.rlike("text", F.lit(expression)), _matches(kind)).otherwise(none))
-    spans = F.array_sort(F.concat(*found)).alias("spans")
-    return rows.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c != "spans"), spans) if keep else rows.select("doc_id", spans)
+    spans = F.array_sort(F.concat(*found))
+    if keep:
+        return rows.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)), spans.alias(keep))
+    return rows.select("doc_id", spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -108,8 +108,9 @@ def _exact(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k:
     ci = [[int(x) for x in row] for row in c]
     for i, row in enumerate(q):
         row = [int(x) for x in row]
-        found = sorted((-sum(a * b for a, b in zip(row, other, strict=True)), int(j)) for other, j in zip(ci, c_id, strict=True) if j != q_id[i])
-        yield from ((i, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in found[:k])
+        scores = (max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(row, other, strict=True)))) for other in ci)
+        found = sorted((-s, int(j)) for s, j in zip(scores, c_id, strict=True) if j != q_id[i])
+        yield from ((i, j, -s) for s, j in found[:k])
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
