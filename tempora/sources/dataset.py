@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 MANDATORY = {"timestamp": T.FloatType(), "frame_index": T.LongType(), "episode_index": T.LongType(), "index": T.LongType(), "task_index": T.LongType()}
 CHUNK = 1000
+POINTER = "version string, info string, schema string"
 
 
 @dataclass
@@ -39,14 +40,15 @@ def write(data: EpisodicDataset, path: str, version: str) -> None:
     data.episodes.write.mode("overwrite").json(f"{path}/{version}/episodes")
     data.tasks.write.mode("overwrite").json(f"{path}/{version}/tasks")
     spark = data.frames.sparkSession
-    one = spark.createDataFrame([(version, json.dumps(data.info, sort_keys=True))], "version string, info string")
+    # the frames' schema goes along: a version without frames has no file to infer it from
+    one = spark.createDataFrame([(version, json.dumps(data.info, sort_keys=True), chunked.schema.json())], POINTER)
     one.coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
 
 def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> EpisodicDataset:
     """The version that the pointer names; of listed episodes only their chunks are read (partition pruning)."""
-    version, info = spark.read.schema("version string, info string").json(f"{path}/current").first()
-    frames = spark.read.parquet(f"{path}/{version}/frames")
+    version, info, schema = spark.read.schema(POINTER).json(f"{path}/current").first()
+    frames = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/{version}/frames")
     table = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{path}/{version}/episodes")
     if episodes is not None:
         frames = frames.filter(F.col("episode_chunk").isin(sorted({e // CHUNK for e in episodes})) & F.col("episode_index").isin(episodes))
