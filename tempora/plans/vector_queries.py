@@ -51,7 +51,7 @@ def mean_pool(spark, d):
 p AS (SELECT episode_index, i - 1 AS place, m AS x FROM st UNION ALL SELECT episode_index, i + 3, sd FROM st UNION ALL SELECT episode_index, i + 7, lo FROM st UNION ALL SELECT episode_index, i + 11, hi FROM st), n AS (SELECT episode_index, sqrt(sum(x * x)) AS n FROM p GROUP BY 1)
 SELECT episode_index, place::INTEGER AS place, round(x / n, 6) AS x FROM p JOIN n USING (episode_index)""")
 def stat_embedding(spark, d):
-    st = s.episode_stats(order_frames(spark, d).filter("episode_index < 2000"), "action")
+    st = s.episode_stats(order_frames(spark, d), "action")
     return v.stat_embedding(st, "episode_index", 16).select("episode_index", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
