@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm.common import checkpointed, fresh, table
@@ -25,18 +25,29 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored(docs, model, out=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
+def _row_key() -> Column:
+    """What tells the rows of a stage apart: their id with their text. Rows that repeat both are one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates; rows that repeat an id and text are one."""
-    name = fresh(docs, "kept")
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps the row with the least id of each group of near duplicates, null ids last; rows that repeat an id and text are one."""
+    name = fresh(docs, "row")
+    keyed = docs.withColumn(name, _row_key())
+    group = near_duplicates(keyed, doc_id=name).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
+    ids = keyed.select(F.col(name).alias("key"), F.col("doc_id").alias("id")).distinct()
+    # partial minima first, so that a large group is not gathered in one task
+    least = group.join(ids, "key").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("least"))
+    kept = least.select(F.col("least.key").alias(name))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name, "doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold three quarters of the shingles of a benchmark item."""
-    name = fresh(docs, "leak")
-    leaks = contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    """Drops rows that hold three quarters of the shingles of a benchmark item, each by its own text."""
+    name = fresh(docs, "row")
+    keyed = docs.withColumn(name, _row_key())
+    leaks = contaminated(keyed, table(spark, sf_dir, "benchmark", "item_id", "text"), doc_id=name).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(leaks, name, "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
