@@ -165,6 +165,14 @@ def prompt_issues(spark, d):
     return q.prompt_issues(c, "p")
 
 
+@query()
+def prompt_issues_whole(spark, d):
+    """On whole texts, where prompt_issues and its SQL read 30 characters; three texts of each conversation decide, however many it has."""
+    t = F.col("text")
+    three = F.array_compact(F.array(F.min(t), F.max(t), F.min(F.when(t.rlike("[,.]"), t))))
+    return q.prompt_issues(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(three.alias("p")), "p")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN -1 WHEN doc_id % 7 = 0 THEN 100 WHEN doc_id % 5 = 0 THEN 90 WHEN doc_id % 3 = 0 AND n_chars < 500 THEN 95 WHEN source = 'src1' THEN 30
 WHEN lang = 'en' THEN CASE WHEN c < 0.45 THEN 85 WHEN c < 0.65 THEN 70 WHEN g < 0.10 THEN 60 ELSE 30 END ELSE CASE WHEN c < 0.25 THEN 80 WHEN c < 0.30 THEN 70 WHEN g < 0.03 THEN 65 WHEN g < 0.05 THEN 55 ELSE 10 END END AS score
 FROM (SELECT *, (n_chars % 100) / 100 AS c, (n_chars % 17) / 100 AS g FROM documents)""")

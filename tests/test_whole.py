@@ -19,3 +19,14 @@ def test_stat_embedding_has_every_episode(spark, tmp_path):
         expected |= {(key, place): round(float(y), 5) for place, y in enumerate(v / np.sqrt((v * v).sum()))}
     got = {(r.episode_index, r.place): round(r.x, 5) for r in catalog.QUERIES["stat_embedding"](spark, str(tmp_path)).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 2e-5 for k in got)
+
+
+def test_prompt_issues_on_whole_texts(spark, tmp_path):
+    from tempora.plans import catalog
+
+    opening = "take the red cup from the table"
+    rows = [(1, opening + " and wait. Then go"), (2, opening + " now"), (2, opening + " later"), (3, opening), (3, opening), (4, None), (5, "a"), (5, "b"), (5, "b, c"), (5, "d"), (6, "x."), (6, None)]
+    spark.createDataFrame(rows, "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    several, many = "multi_sentence_prompt", "multiple_task_assignments"
+    got = {tuple(r) for r in catalog.QUERIES["prompt_issues_whole"](spark, str(tmp_path)).select("episode_index", "type").collect()}
+    assert got == {(1, several), (2, many), (5, several), (5, many), (6, several)}
