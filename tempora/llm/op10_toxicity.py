@@ -213,7 +213,7 @@ class Model:
     """A learned lexicon, trees over the features, and the calibration; small enough to go to every task."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE):
-        chosen = labelled_sample(docs, labels, "toxic", learn, sample).persist()
+        chosen = labelled_sample(docs, labels, "toxic", learn, sample)
         sizes = {r["label"]: r["n"] for r in chosen.filter("part < 0.5").groupBy("label").agg(F.count("*").alias("n")).collect()}
         toxic, other = sizes.get(1, 0), sizes.get(0, 0)
         counted = chosen.filter("part < 0.5").select("text", "label").mapInArrow(_counts, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
@@ -223,7 +223,6 @@ class Model:
         order = np.argsort(names)
         self.names, self.weight = names[order], np.array([r["w"] for r in best], float)[order]
         rows = chosen.filter("part >= 0.5").select("text", "label", "part").mapInArrow(_rows(self.names, self.weight), "label int, part double, x array<double>").collect()
-        chosen.unpersist()
         rows.sort(key=lambda r: (r["part"], r["x"]))
         x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
         y, part = np.array([r["label"] for r in rows], float), np.array([r["part"] for r in rows])

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SCALE = 1 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
     """doc_id, text, label, part (0 to 1) of about ``limit`` labelled documents that may be learned from.
 
-    The sample is a fixed share of the ids by their hash, so it is the same at every run; of documents that open alike
-    (copies) one is taken. Ids that the labels repeat get the larger label; null ids and labels take no part.
+    The sample is a fixed share of the ids by their hash, and of equal texts with one label the least id is taken, so it
+    is the same at every run; it is written once. Ids that the labels repeat get the larger label; null ids and labels
+    take no part.
     """
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = clean.count()
@@ -20,4 +23,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     chosen = clean.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SCALE)) < share)
     # bounded by ``limit`` in expectation, whatever the size of the labels
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SCALE)) / SCALE).withColumn("open", F.xxhash64(F.substring("text", 1, 60))).dropDuplicates(["open", "label"]).drop("open")
+    found = found.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "label")
+    return checkpointed(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SCALE)) / SCALE))
