@@ -4,6 +4,10 @@ A window is ``width`` units (words or bytes). Its anchor is the least hash of th
 equal windows have equal anchors wherever they stand. A segment is a run of neighbouring windows with one anchor.
 Anchors that occur once in the corpus cannot lie in a repeated window; only the segments of the others travel on, to
 the partition of their anchor, where an index over them decides.
+
+Grams that stand in many documents of a sample are hot: they rank after all others, so that a window with anything of
+its own meets its like by that, and only windows that are hot throughout, whose segments are the same everywhere and
+are combined before they travel, meet by a hot gram. The sample only guides the routing; results do not depend on it.
 """
 
 from __future__ import annotations
@@ -12,24 +16,71 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, binary, blocks, gram_hash, runs, sliding_min, spread, to_binary
+from .sampling import SCALE
 
 #: Windows in a segment at most; longer runs (periodic text) are cut, their parts keep the anchor.
 LONGEST = 1024
 #: A document without an id comes after all others.
 LAST = (1 << 63) - 1
+#: Documents to look for hot grams in, in how many of them a gram is hot, and hot grams at most (the commonest).
+HOT_SAMPLE, HOT_TIMES, HOT_MOST = 4096, 21, 1 << 16
 
 _OCC = np.dtype([("doc", "<i8"), ("th", "<i8"), ("start", "<i4")])
 
 
 class Unit:
-    """How texts fall into units: ``width`` of a window, ``gram`` of an anchor, words or bytes."""
+    """How texts fall into units: ``width`` of a window, ``gram`` of an anchor, words or bytes.
+
+    One gram in ``share`` (those with the least hashes) is looked up among the hot ones; a window takes the others as
+    its anchor only if it has none of those, or none that is not hot. ``short``: texts with fewer bytes have no window.
+    """
 
-    def __init__(self, words: bool, width: int, gram: int):
-        self.words, self.width, self.gram = words, width, gram
+    def __init__(self, words: bool, width: int, gram: int, share: int, hot: np.ndarray | None = None):
+        self.words, self.width, self.gram, self.share = words, width, gram, share
+        self.hot = np.zeros(0, np.uint64) if hot is None else hot
+        self.short = 2 * width - 1 if words else width
+        self._seen = None
+
+    def with_hot(self, hot: np.ndarray) -> Unit:
+        return Unit(self.words, self.width, self.gram, self.share, hot)
+
+    def small(self, grams: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(grams < np.uint64((1 << 63) // self.share)) if self.share > 1 else np.arange(len(grams))
+
+    def ranked(self, grams: np.ndarray) -> np.ndarray:
+        """The hashes in the order of choice: the top bit marks those that come last."""
+        grams = grams >> np.uint64(1)
+        first = self.small(grams)
+        if len(self.hot):
+            if self._seen is None:  # a coarse filter before the search
+                self._seen = np.zeros(1 << 20, bool)
+                self._seen[self.hot & np.uint64((1 << 20) - 1)] = True
+            maybe = np.flatnonzero(self._seen[grams[first] & np.uint64((1 << 20) - 1)])
+            found = grams[first[maybe]]
+            hit = maybe[self.hot[np.minimum(np.searchsorted(self.hot, found), len(self.hot) - 1)] == found]
+            first = np.delete(first, hit)
+        out = grams | np.uint64(1 << 63)
+        out[first] = grams[first]
+        return out
+
+    def __getstate__(self):
+        return self.__dict__ | {"_seen": None}
+
+    def grams_of(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The hashes of the grams of each text that may be hot, each once."""
+        if self.words:
+            w = Words(data, offsets)
+            grams, first = gram_hash(w.hash, self.gram), w.of_text
+        else:
+            grams, first = gram_hash(data, self.gram), offsets
+        grams = grams >> np.uint64(1)
+        for k in range(len(offsets) - 1):
+            own = grams[first[k] : max(first[k], first[k + 1] - self.gram + 1)]
+            yield k, np.unique(own[self.small(own)])
 
     def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, first window in the text, number of windows, anchor, [from, to) in bytes, and whether the anchor stands in it again, of each segment."""
@@ -38,6 +89,7 @@ class Unit:
             grams, first = gram_hash(w.hash, self.gram), w.of_text
         else:
             grams, first = gram_hash(data, self.gram), offsets
+        grams = self.ranked(grams)
         least = sliding_min(grams, self.width - self.gram + 1)
         n = len(least)  # windows of the block, those across texts included
         if not n:
@@ -68,8 +120,42 @@ class Unit:
 
 
 def prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc (null: after all others), text, and a hash of the text that tells rows with one id apart."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    """doc_id, text, doc (its place in the order; null: after all others), th (hash of the text), row and part (what rows are joined by).
+
+    Rows that share an id but not their text have different ``th``; rows without an id are told apart by it alone.
+    """
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"))
+    return ready.withColumns({"row": _row(), "part": _part()})
+
+
+def _row() -> Column:
+    return F.when(F.col("doc") == LAST, F.col("th")).otherwise(F.col("doc"))
+
+
+def _part() -> Column:
+    return F.col("th").bitwiseAND(0xFFFF)
+
+
+def _gram_counts(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "text"):
+                found = [g for _, g in unit.grams_of(data, offsets)]
+                if found:
+                    gram, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.record_batch({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n)})
+
+    return run
+
+
+def hot_grams(docs: DataFrame, unit: Unit) -> Unit:
+    """``unit`` with the hashes of the grams that stand in HOT_TIMES of about HOT_SAMPLE documents: a table of bounded size."""
+    n = docs.count()
+    share = SCALE if n <= HOT_SAMPLE else -(-SCALE * HOT_SAMPLE // n)
+    sample = docs.filter(F.pmod(F.xxhash64("doc", "th"), F.lit(SCALE)) < share).select("text")
+    counted = sample.mapInArrow(_gram_counts(unit), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") >= HOT_TIMES).orderBy(F.desc("n"), "gram").limit(HOT_MOST).collect()
+    return unit.with_hot(np.sort(np.array([r["gram"] for r in rows], np.uint64)))
 
 
 def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -78,40 +164,41 @@ def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches):
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
-                doc = part.column(0).to_numpy()
+                doc, row, of_part = (part.column(k).to_numpy() for k in (0, 2, 3))
                 text, _, _, key, _, _, twice = unit.segments(data, offsets)
                 if not len(key):
                     continue
                 of_text = np.searchsorted(text, np.arange(len(doc)))
-                ordinal = np.arange(len(text)) - of_text[text]
+                place = np.arange(len(text)) - of_text[text] | of_part[text] << 32
                 order = np.argsort(key, kind="stable")
-                key, text, ordinal, twice = key[order], text[order], ordinal[order], twice[order]
+                key, text, place, twice = key[order], text[order], place[order], twice[order]
                 begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 count = np.diff(np.append(begin, len(key)))
-                ids = doc[text]
+                ids, rows = doc[text], row[text]
                 lo, hi = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
+                plain = (lo == hi) & (lo == rows[begin])  # the row says it all
                 yield pa.record_batch({
-                    "anchor": pa.array(key[begin]), "lo": pa.array(lo), "hi": pa.array(hi), "ordinal": pa.array(ordinal[begin].astype(np.int32)),
+                    "anchor": pa.array(key[begin]), "lo": pa.array(lo, mask=plain), "hi": pa.array(hi, mask=plain), "row": pa.array(rows[begin]), "place": pa.array(place[begin]),
                     "again": pa.array((count > 1) | np.logical_or.reduceat(twice, begin)),
-                    "more": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(ids), pa.array(ordinal.astype(np.int32))], ["doc", "ordinal"]), mask=pa.array(count == 1)),
+                    "more": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(rows), pa.array(place)], ["row", "place"]), mask=pa.array(count == 1)),
                 })
 
     return run
 
 
 def repeated(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
-    """doc and the ordinals of its segments whose anchor occurs again: in another document if ``across``, else anywhere."""
-    found = docs.select("doc", "text").mapInArrow(_anchors(unit), "anchor long, lo long, hi long, ordinal int, again boolean, more array<struct<doc:long,ordinal:int>>")
+    """row, part and the ordinals of its segments whose anchor occurs again: in a document with another id if ``across``, else anywhere."""
+    found = docs.select("doc", "text", "row", "part").mapInArrow(_anchors(unit), "anchor long, lo long, hi long, row long, place long, again boolean, more array<struct<row:long,place:long>>")
     here = Window.partitionBy("anchor")
     if across:
-        known = F.min("lo").over(here) != F.max("hi").over(here)
+        known = F.min(F.coalesce("lo", "row")).over(here) != F.max(F.coalesce("hi", "row")).over(here)
     else:
         known = (F.count("*").over(here) > 1) | F.col("again")
-    one = F.array(F.struct(F.col("lo").alias("doc"), "ordinal"))
+    one = F.array(F.struct("row", "place"))
     return (
         found.withColumn("known", known).filter("known")
         .select(F.explode(F.coalesce("more", one)).alias("x"))
-        .groupBy(F.col("x.doc").alias("doc")).agg(F.collect_list("x.ordinal").alias("ordinals"))
+        .groupBy(F.col("x.row").alias("row"), F.shiftright("x.place", 32).alias("part")).agg(F.collect_set(F.col("x.place").bitwiseAND(0xFFFFFFFF).cast("int")).alias("ordinals"))
     )
 
 
@@ -157,9 +244,14 @@ def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data).view(_OCC), np.diff(offsets) // _OCC.itemsize
 
 
+def _long(unit: Unit) -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)) >= unit.short
+
+
 def segments(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
     """anchor, seg (bytes), windows, occ (packed places) of the segments that may repeat, sorted by anchor within the anchor's partition."""
-    chosen = docs.join(repeated(docs, unit, across), "doc").select("doc", "text", "th", "ordinals")
+    long = docs.filter(_long(unit))
+    chosen = long.join(repeated(long, unit, across), ["row", "part"]).select("doc", "text", "th", "ordinals")
     cut = chosen.mapInArrow(_cut(unit), "anchor long, seg binary, windows int, occ binary")
     return cut.repartition("anchor").sortWithinPartitions("anchor")
 
@@ -189,10 +281,13 @@ def spans_of(seg_code: np.ndarray, windows: np.ndarray, occ: np.ndarray, flag_of
 SPANS = "doc long, th long, `from` long, `to` long"
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, text, th and the spans found in any row of that id, as arrays."""
-    grouped = spans.groupBy("doc").agg(F.collect_list("th").alias("ths"), F.collect_list("from").alias("froms"), F.collect_list("to").alias("tos"))
-    return docs.join(grouped, "doc", "left").select("doc", "text", "th", "ths", "froms", "tos")
+def with_spans(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
+    """doc_id, text, th and the distinct spans found in its row, as arrays; texts without a window need no join."""
+    names = ("doc_id", "text", "th")
+    grouped = spans.withColumns({"row": _row(), "part": _part()}).groupBy("row", "part").agg(F.collect_set(F.struct("th", "from", "to")).alias("x"))
+    grouped = grouped.select("row", "part", F.col("x.th").alias("ths"), F.col("x.from").alias("froms"), F.col("x.to").alias("tos"))
+    found = docs.filter(_long(unit)).join(grouped, ["row", "part"], "left").select(*names, "ths", "froms", "tos")
+    return found.unionByName(docs.filter(~_long(unit)).select(*names), allowMissingColumns=True)
 
 
 def covered(n: int, th: int, ths, froms, tos, width: int) -> np.ndarray:

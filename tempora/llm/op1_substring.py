@@ -20,7 +20,7 @@ from . import anchors
 from .common import Words, binary, chunks, runs, table, to_binary
 
 WIDTH = 13
-UNIT = anchors.Unit(words=True, width=WIDTH, gram=5)
+UNIT = anchors.Unit(words=True, width=WIDTH, gram=5, share=1)
 #: Bytes of segments in a shard, about; a shard ends where the anchor changes.
 SHARD_BYTES = 4 << 20
 
@@ -159,7 +159,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = data.tobytes()
             kept = b" ".join(flat[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True))
             lo, hi = runs(gone, np.zeros(1, np.int64)) if len(gone) else ((), ())
-            out.append((doc if doc != anchors.LAST else None, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [{"first": int(a), "last": int(b) - 1} for a, b in zip(lo, hi, strict=True)]))
+            out.append((doc, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"), [{"first": int(a), "last": int(b) - 1} for a, b in zip(lo, hi, strict=True)]))
         names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans")
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
         yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
@@ -171,11 +171,13 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Words are runs of bytes other than white space. A word goes if a window of 13 words of one document covers it whose
     words also start in a document with a smaller id. Null and empty texts have no words. Rows that repeat an id and
     text get the same result each, rows that share an id are no earlier than each other; a null id counts as the
-    largest. Other columns are not read.
+    largest, 2**63 - 1. Bytes that are not UTF-8 count as parts of words, and stand as U+FFFD in ``kept`` alone. Other
+    columns are not read.
     """
     ready = anchors.prepared(docs, text, doc_id)
-    spans = anchors.segments(ready, UNIT, across=True).mapInArrow(search, anchors.SPANS)
-    return anchors.with_spans(ready, spans).mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:long,last:long>>")
+    unit = anchors.hot_grams(ready, UNIT)
+    spans = anchors.segments(ready, unit, across=True).mapInArrow(search, anchors.SPANS)
+    return anchors.with_spans(ready, spans, unit).mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<first:long,last:long>>")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from . import anchors
 from .common import BYTE_BASE, binary, chunks, gram_hash, runs, spread, table, to_binary
 
 WIDTH = 200
-UNIT = anchors.Unit(words=False, width=WIDTH, gram=24)
+UNIT = anchors.Unit(words=False, width=WIDTH, gram=48, share=16)
 #: Bytes of segments in a shard, about; a shard ends where the anchor changes.
 SHARD_BYTES = 2 << 20
 #: Bytes of a trigger, and one in how many windows is one.
@@ -164,7 +164,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = anchors.covered(len(data), th, ths, froms, tos, WIDTH)
             kept = data[~gone].tobytes()
             lo, hi = runs(gone, np.zeros(1, np.int64)) if len(gone) else ((), ())
-            out.append((doc if doc != anchors.LAST else None, len(gone), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]))
+            out.append((doc, len(gone), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]))
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
@@ -179,8 +179,9 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Other columns are not read.
     """
     ready = anchors.prepared(docs, text, doc_id)
-    spans = anchors.segments(ready, UNIT, across=False).mapInArrow(search, anchors.SPANS)
-    return anchors.with_spans(ready, spans).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    unit = anchors.hot_grams(ready, UNIT)
+    spans = anchors.segments(ready, unit, across=False).mapInArrow(search, anchors.SPANS)
+    return anchors.with_spans(ready, spans, unit).mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
