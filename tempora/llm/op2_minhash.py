@@ -2,15 +2,18 @@
 
 One permutation places a shingle on a circle, a second gives the values there; coordinate k of a signature is the least
 value k places on from the shingles, so all coordinates of a shingle are one contiguous stretch of the value table.
-Documents with equal sets collapse first. Signatures fall into bands; the documents of a bucket form a star around the
-least of them, and stars that touch are a family, which holds every candidate pair. Each document is verified against
-one centre; what stays outside its family's main component is then compared with the whole family, block by block and
-on full sets, and only links between components leave a block. So no group emits its pairs, and no link found by the
-bands is lost.
+Documents with equal sets collapse into one node first, named by a digest of the whole set, so ids play no part in the
+linking. Signatures fall into bands; the nodes of a bucket form a star around the least of them, and stars that touch
+are a family, which holds every candidate pair. Each node is verified against one centre; what stays outside its
+family's main component is then compared with those members of the family whose size allows a link, in blocks of
+bounded bytes and on full sets, and only links between components leave a block. So no group emits its pairs, and no
+link found by the bands is lost.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import LAST
 from .common import WORD_BASE, Words, blocks, checkpointed, gram_hash, mix, prefix_hash, span_hash, spread, table
 from .components import components
 
 SHINGLE = 5
-#: Places on the circle, coordinates of a signature, and coordinates in a band: a pair at similarity 0.75 shares no
-#: band with probability (1 - 0.75**4)**32 = 5e-6.
+#: Places on the circle, coordinates of a signature, and coordinates in a band: a pair at similarity 0.75 would share no
+#: band with probability (1 - 0.75**4)**32 = 5e-6 if the coordinates were independent; neighbouring ones are not quite,
+#: so a test measures the recall.
 CIRCLE, COORDINATES, ROWS = 1 << 20, 128, 4
-#: Documents in a block of a family at most, about.
-BLOCK = 2048
+#: Shingles on either side of a block of a family, about.
+BLOCK = 1 << 19
 _VALUES: list[np.ndarray] = []
 
 
@@ -78,22 +81,27 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = np.zeros(sign.shape[:2], np.uint64) + np.arange(1, sign.shape[1] + 1, dtype=np.uint64)
             for k in range(ROWS):
                 band = mix(band * WORD_BASE + sign[:, :, k])
-            of = np.repeat(np.arange(len(count)), count)
-            sums = [np.zeros(len(count), np.uint64) for _ in range(2)]
-            np.add.at(sums[0], of, mix(value))
-            np.add.at(sums[1], of, mix(value ^ np.uint64(0xA0761D6478BD642F)))
             full = count > 0
+            name = np.frombuffer(b"".join(_digests(value, count)), np.int64).reshape(-1, 2)
             yield pa.record_batch({
-                "doc": part.column(0), "n": pa.array(count.astype(np.int64)), "h1": pa.array(sums[0].view(np.int64)), "h2": pa.array(sums[1].view(np.int64)),
+                "doc": part.column(0), "row": part.column(1), "n": pa.array(count.astype(np.int64)), "node": pa.array(np.ascontiguousarray(name[:, 0])), "check": pa.array(np.ascontiguousarray(name[:, 1])),
                 "bands": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * band.shape[1])]).astype(np.int32)), pa.array(band[full].ravel().view(np.int64))),
             })
 
 
+def _digests(value: np.ndarray, count: np.ndarray) -> Iterator[bytes]:
+    """16 bytes that name each set."""
+    data, edge = value.tobytes(), np.concatenate([[0], np.cumsum(count)]) * 8
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield hashlib.blake2b(data[lo:hi], digest_size=16).digest()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
+        for _, data, offsets in blocks(batch, "text"):
             value, count = shingle_sets(data, offsets)
-            yield pa.record_batch({"doc": part.column(0), "set": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value.view(np.int64)))})
+            node = np.frombuffer(b"".join(d[:8] for d in _digests(value, count)), np.int64)
+            yield pa.record_batch({"node": pa.array(node), "set": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value.view(np.int64)))})
 
 
 def linked(shared, n_a, n_b):
@@ -102,7 +110,7 @@ def linked(shared, n_a, n_b):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components among the rows of each (family, s, m): rows outside the main component against all."""
+    """Links between components among the rows of each (family, window, s, m): rows outside the main component against all."""
     held: list[pa.RecordBatch] = []
 
     def done():
@@ -129,7 +137,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last = None
     for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
         at = 0
         for k in range(len(keys) + 1):
             if k == len(keys) or keys[k] != last:
@@ -143,50 +151,69 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _window(n):
+    """Sets that are linked differ by a factor of 4/3 at most, so their windows are the same or neighbours."""
+    return F.floor(F.log(n) / math.log(4 / 3))
+
+
+def _blocks_of(part: DataFrame) -> DataFrame:
+    """Rows (family, window, s, m, outside, comp, node) such that each node outside its family's main component meets all members that it may be linked with."""
+    sizes = part.groupBy("family", "comp").agg(F.count("*").alias("size"))
+    main = (
+        sizes.groupBy("family").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("family", F.col("top.comp").alias("main"))
+    )
+    open_ = part.join(main, "family").withColumns({"outside": F.col("comp") != F.col("main"), "window": _window("n"), "at": F.pmod(F.xxhash64("node"), F.lit(1 << 40))}).drop("main")
+    held = open_.groupBy("family", "window").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out"))
+    near = lambda: F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1))
+    room = held.select("family", "all", near().alias("window")).groupBy("family", "window").agg(F.sum("all").alias("all"))
+    cells = held.filter("out is not null").select("family", "window", F.ceil(F.col("out") / BLOCK).alias("ns")).join(room, ["family", "window"])
+    cells = cells.select("family", "window", "ns", F.ceil(F.col("all") / BLOCK).alias("nm"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = open_.filter("outside").join(cells, ["family", "window"]).select("family", "window", (F.col("at") % F.col("ns")).alias("s"), every("nm").alias("m"), "outside", "comp", "node")
+    inside = open_.select("family", near().alias("window"), "at", "comp", "node").join(cells, ["family", "window"])
+    inside = inside.select("family", "window", every("ns").alias("s"), (F.col("at") % F.col("nm")).alias("m"), F.lit(False).alias("outside"), "comp", "node")
+    return outside.unionByName(inside)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept of each document.
+    """doc_id, n_shingles, class_id, component_id, kept of each row.
 
     A set holds the distinct runs of five words, A-Z in lower case; with fewer words the whole sequence; without words,
-    or for a null text, it is empty and linked with nothing. Documents are linked at a similarity of 0.75 or more.
-    class_id: the least id with the same set; component_id: the least id reachable; kept: they are the row's own id.
-    Each row has the component of its set; different sets with the same least id (rows that repeat an id) are one node.
-    A null id counts as the largest and stays null.
-    Other columns are not read.
+    or for a null text, it is empty and linked with nothing. Rows are linked at a similarity of 0.75 or more, whatever
+    their ids: rows that share an id, or have none, are rows of their own. class_id: the least id with the same set;
+    component_id: the least id of the component; both null if none of those rows has an id. kept: component_id is the
+    row's own id; where a component has no id, one of its rows is kept. Shingles are compared by 64 bits of hash, and
+    equal sets by 128 bits of a digest of them. Other columns are not read.
     """
-    ready = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
-    signed = checkpointed(ready.mapInArrow(_signed, "doc long, n long, h1 long, h2 long, bands array<long>"))
-    classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    stars = checkpointed(placed.join(centres, "bucket").select("rep", "centre").distinct())
-    family = checkpointed(components(stars, "rep", "centre").withColumnsRenamed({"node": "rep", "component": "family"}))
-    # a class's set, from the text of one of its documents
-    sets = ready.join(family.select(F.col("rep").alias("doc")), "doc", "left_semi").mapInArrow(_sets, "doc long, set array<long>")
-    sets = checkpointed(sets.distinct())
-    ends = stars.groupBy("rep").agg(F.min("centre").alias("centre")).filter("rep != centre")
-    first = ends.join(sets.select(F.col("doc").alias("rep"), F.col("set").alias("x")), "rep").join(sets.select(F.col("doc").alias("centre"), F.col("set").alias("y")), "centre")
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+    signed = checkpointed(ready.mapInArrow(_signed, "doc long, row long, n long, node long, check long, bands array<long>"))
+    name = ["node", "check"]
+    classes = checkpointed(signed.filter("n > 0").groupBy(*name).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    placed = classes.select("node", F.explode("bands").alias("bucket"))
+    centres = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("bucket", "centre")
+    stars = checkpointed(placed.join(centres, "bucket").select("node", "centre").distinct())
+    family = components(stars, "node", "centre").withColumnRenamed("component", "family")
+    family = checkpointed(family.join(classes.select("node", "row", "n"), "node"))
+    # a node's set, from the text of one of its rows
+    sets = ready.join(family.select("row"), "row", "left_semi").mapInArrow(_sets, "node long, set array<long>")
+    sets = checkpointed(sets.groupBy("node").agg(F.first("set").alias("set")))
+    ends = stars.groupBy("node").agg(F.min("centre").alias("centre")).filter("node != centre")
+    first = ends.join(sets.withColumnRenamed("set", "x"), "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("y")), "centre")
     shared, a, b = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
-    links = checkpointed(first.filter(linked(shared, a, b)).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
-    part = components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "comp"})
-    part = family.join(part, "rep", "left").select("rep", "family", F.coalesce("comp", "rep").alias("comp"))
-    sizes = part.groupBy("family", "comp").agg(F.count("*").alias("size"))
-    main = (
-        sizes.groupBy("family").agg(F.sum("size").alias("members"), F.max(F.struct("size", F.negative("comp").alias("at"))).alias("top"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-        .select("family", F.negative("top.at").alias("main"), F.ceil(F.col("members") / BLOCK).alias("nm"), F.ceil((F.col("members") - F.col("top.size")) / BLOCK).alias("ns"))
-    )
-    open_ = part.join(main, "family").withColumn("at", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
-    outside = open_.filter("comp != main").select("family", (F.col("at") % F.col("ns")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(True).alias("outside"), "comp", "rep")
-    inside = open_.select("family", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("s"), (F.col("at") % F.col("nm")).alias("m"), F.lit(False).alias("outside"), "comp", "rep")
-    rows = outside.unionByName(inside).join(sets.withColumnRenamed("doc", "rep"), "rep").drop("rep")
-    keys = ("family", "s", "m")
-    more = rows.select(*keys, "outside", "comp", "set").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
-    final = components(links.union(more.distinct()), "a", "b").withColumnsRenamed({"node": "rep", "component": "comp"})
-    of_class = classes.select("h1", "h2", "n", "rep").join(final, "rep", "left").select("h1", "h2", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("doc", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
-    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    out = out.select("doc", "n", F.coalesce("rep", "doc").alias("rep"), F.coalesce("comp", "doc").alias("comp"))
-    return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("rep").alias("class_id"), null("comp").alias("component_id"), (F.col("doc") == F.col("comp")).alias("kept"))
+    links = checkpointed(first.filter(linked(shared, a, b)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    part = family.join(components(links, "a", "b"), "node", "left").select("node", "family", "n", F.coalesce("component", "node").alias("comp"))
+    keys = ("family", "window", "s", "m")
+    rows = _blocks_of(part).join(sets, "node").select(*keys, "outside", "comp", "set")
+    more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
+    final = components(links.union(more.distinct()), "a", "b")
+    of_class = classes.select(*name, "least", "row").join(final, "node", "left").select(*name, "least", "row", F.coalesce("component", "node").alias("comp"))
+    tops = of_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("first"))
+    known = of_class.join(tops, "comp").select(*name, F.col("least").alias("class_id"), "component_id", "first", F.lit(True).alias("known"))
+    out = signed.select("doc", "row", "n", *name).join(known, name, "left")
+    alone = F.col("known").isNull()  # an empty set
+    kept = alone | F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.coalesce(F.col("doc") == F.col("component_id"), F.lit(False)))
+    own = lambda c: F.when(alone, F.col("doc")).otherwise(F.col(c)).alias(c)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own("class_id"), own("component_id"), kept.alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
