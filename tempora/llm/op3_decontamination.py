@@ -42,29 +42,33 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     """doc_id, item_id, n_item_shingles, n_shared, containment of each document that holds ``threshold`` of an item's shingles.
 
     Shingles are distinct runs of five words between white space, A-Z in lower case; a text with fewer words is one
-    shingle; null and empty texts have none and match nothing. Rows that share an id are one document or item, null ids
-    one more. Other columns are not read. ``threshold`` is above 0.
+    shingle, which only a text of the same words holds; null and empty texts have none and match nothing. Each row is a
+    document or item of its own, whatever its id, null included; rows that repeat both id and text are one. Other
+    columns are not read. ``threshold`` is above 0.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    in_item = Window.partitionBy("item_id")
+    return _found(docs, items, text, doc_id, item_text, item_id, threshold).drop("row", "item")
+
+
+def _found(docs: DataFrame, items: DataFrame, text: str, doc_id: str, item_text: str, item_id: str, threshold: float) -> DataFrame:
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).withColumn("item", F.xxhash64("item_id", "text"))
+    in_item = Window.partitionBy("item")
     # the items' shingles, as text and as the same hashes that documents get
     both = with_shingles(with_shingles(items, "text", "shingle", False), "text", "hash", True)
-    parts = both.select("item_id", F.explode(F.arrays_zip("shingle", "hash")).alias("x")).select("item_id", "x.shingle", "x.hash").distinct()
+    parts = both.select("item_id", "item", F.explode(F.arrays_zip("shingle", "hash")).alias("x")).select("item_id", "item", "x.shingle", "x.hash").distinct()
     parts = parts.withColumn("n", F.count("*").over(in_item)).withColumn("place", F.row_number().over(in_item.orderBy(F.xxhash64("hash", F.lit(1)), "shingle")))
     miss = F.col("n") - F.ceil(F.lit(threshold) * F.col("n"))
     largest = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1  # of the size partition
     k = F.least("n", F.ceil((1 - threshold) * largest) + SPARE)
-    sketch = parts.filter(F.col("place") <= k).select("item_id", "hash", (k - miss).alias("need"))
-    held = with_shingles(docs, "text", "hash", True).select("doc_id", F.explode(F.array_distinct("hash")).alias("hash"))
-    hits = held.join(sketch, "hash").groupBy("doc_id", "item_id", "need").agg(F.countDistinct("hash").alias("hits"))
-    pairs = hits.filter(F.col("hits") >= F.col("need")).select("doc_id", "item_id")
+    sketch = parts.filter(F.col("place") <= k).select("item", "hash", (k - miss).alias("need"))
+    held = with_shingles(docs, "text", "hash", True).select("row", F.explode(F.array_distinct("hash")).alias("hash"))
+    hits = held.join(sketch, "hash").groupBy("row", "item", "need").agg(F.countDistinct("hash").alias("hits"))
+    pairs = hits.filter(F.col("hits") >= F.col("need")).select("row", "item")
     # exact: all shingles of the candidate documents, as text
-    wanted = pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")).withColumnRenamed("doc_id", "of")
-    found = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("of"))).drop("of")
-    found = with_shingles(found, "text", "shingle", False).select("doc_id", "items", F.explode(F.array_distinct("shingle")).alias("shingle"))
-    shared = found.join(parts.select("item_id", "shingle", "n"), "shingle").filter(F.array_contains("items", F.col("item_id")) | F.col("item_id").isNull())
-    counted = shared.groupBy("doc_id", "item_id", F.col("n").alias("n_item_shingles")).agg(F.countDistinct("shingle").alias("n_shared"))
+    wanted = pairs.groupBy("row").agg(F.collect_set("item").alias("items"))
+    found = with_shingles(docs.join(wanted, "row"), "text", "shingle", False).select("doc_id", "row", "items", F.explode(F.array_distinct("shingle")).alias("shingle"))
+    shared = found.join(parts.select("item_id", "item", "shingle", "n"), "shingle").filter(F.array_contains("items", F.col("item")))
+    counted = shared.groupBy("doc_id", "row", "item_id", "item", F.col("n").alias("n_item_shingles")).agg(F.countDistinct("shingle").alias("n_shared"))
     return counted.filter(F.col("n_shared") >= threshold * F.col("n_item_shingles")).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
@@ -73,15 +77,16 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 _SHINGLES = """
-SELECT {id}, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+SELECT {id}, row, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS shingle
-FROM (SELECT {id}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})
+FROM (SELECT {id}, row_number() OVER () AS row, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+      FROM (SELECT DISTINCT {id}, text FROM {table}))
 """
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT * FROM ({_SHINGLES.format(id="doc_id", table="documents")})),
-     i AS (SELECT DISTINCT * FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
-     n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+     i AS MATERIALIZED ({_SHINGLES.format(id="item_id", table="benchmark")}),
+     n AS (SELECT row, count(*) AS n FROM i GROUP BY row)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*) / n::DOUBLE AS containment
-FROM d JOIN i USING (shingle) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n
+FROM d JOIN i USING (shingle) JOIN n ON n.row = i.row
+GROUP BY d.row, doc_id, i.row, item_id, n HAVING count(*) >= 0.75 * n
 """

@@ -42,7 +42,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def rows():
     found = [(k * 3 + 1, t) for k, t in enumerate(TEXTS)]
-    found += [(16, BASE), (None, BASE), (None, "null id")]  # a repeated row, and rows without an id
+    found += [(16, BASE), (None, BASE), (None, "null id"), (None, "another"), (4, "shares an id"), (2**63 - 1, "the largest id")]  # a repeated row, rows without an id or with another's
     return found
 
 
@@ -128,10 +128,14 @@ def _components(sets: dict, size=0.75) -> dict:
 def test_near_duplicates(docs, nothing, rows):
     from tempora.llm.op2_minhash import near_duplicates
 
-    known = [(i, t) for i, t in rows if i is not None]
-    where = _components({i: _shingles(t) for i, t in known})
-    expected = [(i, len(_shingles(t)), where[i], i == where[i]) for i, t in known]
-    expected += [(None, len(_shingles(BASE)), 16, False), (None, 1, None, True)]  # rows without an id: BASE, and a text of its own
+    where = _components({k: _shingles(t) for k, (_, t) in enumerate(rows)})
+    ids = defaultdict(list)
+    for k, c in where.items():
+        ids[c].append(rows[k][0])
+    expected = []
+    for k, (i, t) in enumerate(rows):
+        least = min((x for x in ids[where[k]] if x is not None), default=None) if _shingles(t) else i
+        expected.append((i, len(_shingles(t)), least, i == least))  # a row without an id and its like is kept
     same(near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect(), expected)
     assert near_duplicates(nothing).count() == 0
 
@@ -149,7 +153,7 @@ def test_near_duplicates_without_common_centre(spark):
             w[at] = f"e{i}x{at}"
         rows.append((i, " ".join(w)))
     where = _components({i: _shingles(t) for i, t in rows})
-    was, op2_minhash.BLOCK = op2_minhash.BLOCK, 16  # several blocks
+    was, op2_minhash.BLOCK = op2_minhash.BLOCK, 2000  # several blocks
     try:
         got = op2_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     finally:
@@ -162,11 +166,12 @@ def test_contaminated(spark, docs, nothing, rows):
     from tempora.llm.op3_decontamination import contaminated
 
     items = [(1, PASSAGE), (2, "one two three four"), (3, None), (4, " ".join(PASSAGE.split(" ")[:40]) + " q r s t"), (5, "never seen before at all today"), (1, PASSAGE)]
-    sets = {i: _shingles(t) for i, t in items}
-    by_doc = defaultdict(set)
-    for i, t in rows:
-        by_doc[i] |= _shingles(t)
-    expected = [(d, i, len(s), len(s & ds), len(s & ds) / len(s)) for d, ds in by_doc.items() for i, s in sets.items() if s and len(s & ds) >= 0.75 * len(s)]
+    items += [(None, PASSAGE + " " + PASSAGE), (None, "another"), (4, "null id")]
+    sets = [(i, _shingles(t)) for i, t in dict.fromkeys(items)]
+    expected = []
+    for d, t in dict.fromkeys(rows):
+        ds = _shingles(t)
+        expected += [(d, i, len(s), len(s & ds), len(s & ds) / len(s)) for i, s in sets if s and len(s & ds) >= 0.75 * len(s)]
     table = spark.createDataFrame(items, "item_id long, text string")
     same(contaminated(docs, table).collect(), expected)
     assert contaminated(nothing, table).count() == 0
