@@ -108,7 +108,7 @@ class Unit:
         begin, count, twice, text = begin[inside], count[inside], twice[inside], text[inside]
         if not len(begin):
             return tuple(np.zeros(0, np.int64) for _ in range(7))
-        key = least[begin]
+        key = least[begin] >> np.uint64(16)  # 48 bits travel; anchors that agree in them share a partition
         if count.max() > LONGEST:
             parts = -(-count // LONGEST)
             part = spread(np.zeros(len(parts), np.int64), parts)
@@ -120,11 +120,15 @@ class Unit:
 
 
 def prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, text, doc (its place in the order; null: after all others), th (hash of the text), row and part (what rows are joined by).
+    """text, doc (the id; null: after all others), none (no id), th (hash of the text), row and part (what rows are joined by).
+
+    Both joins with the text read the same columns, so that one shuffle serves both.
 
     Rows that share an id but not their text have different ``th``; rows without an id are told apart by it alone.
     """
-    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("th"))
+    # an alias of the same name would keep Spark from seeing that the two shuffles are one
+    column = F.col(text) if text == "text" else F.col(text).alias("text")
+    ready = docs.select(column, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(doc_id).isNull().alias("none"), F.xxhash64(text).alias("th"))
     return ready.withColumns({"row": _row(), "part": _part()})
 
 
@@ -133,7 +137,7 @@ def _row() -> Column:
 
 
 def _part() -> Column:
-    return F.col("th").bitwiseAND(0xFFFF)
+    return F.col("th").bitwiseAND(0xFF)
 
 
 def _gram_counts(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -251,7 +255,7 @@ def _long(unit: Unit) -> Column:
 def segments(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
     """anchor, seg (bytes), windows, occ (packed places) of the segments that may repeat, sorted by anchor within the anchor's partition."""
     long = docs.filter(_long(unit))
-    chosen = long.join(repeated(long, unit, across), ["row", "part"]).select("doc", "text", "th", "ordinals")
+    chosen = long.join(repeated(long, unit, across), ["row", "part"]).select("doc", "text", "th", "ordinals", "none")
     cut = chosen.mapInArrow(_cut(unit), "anchor long, seg binary, windows int, occ binary")
     return cut.repartition("anchor").sortWithinPartitions("anchor")
 
@@ -282,8 +286,8 @@ SPANS = "doc long, th long, `from` long, `to` long"
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
-    """doc_id, text, th and the distinct spans found in its row, as arrays; texts without a window need no join."""
-    names = ("doc_id", "text", "th")
+    """doc, none, text, th and the distinct spans found in its row, as arrays; texts without a window need no join."""
+    names = ("doc", "none", "text", "th")
     grouped = spans.withColumns({"row": _row(), "part": _part()}).groupBy("row", "part").agg(F.collect_set(F.struct("th", "from", "to")).alias("x"))
     grouped = grouped.select("row", "part", F.col("x.th").alias("ths"), F.col("x.from").alias("froms"), F.col("x.to").alias("tos"))
     found = docs.filter(_long(unit)).join(grouped, ["row", "part"], "left").select(*names, "ths", "froms", "tos")

@@ -151,7 +151,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, th, ths, froms, tos in zip(*(c.to_pylist() if k != 1 else c.cast(pa.binary()).to_pylist() for k, c in enumerate(batch.columns)), strict=True):
+        for doc, none, text, th, ths, froms, tos in zip(*(c.to_pylist() if k != 2 else c.cast(pa.binary()).to_pylist() for k, c in enumerate(batch.columns)), strict=True):
             data = np.frombuffer(text or b"", np.uint8)
             w = Words(data, np.array([0, len(data)]))
             gone = anchors.covered(len(w.start), th, ths, froms, tos, WIDTH)
@@ -159,7 +159,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = data.tobytes()
             kept = b" ".join(flat[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True))
             lo, hi = runs(gone, np.zeros(1, np.int64)) if len(gone) else ((), ())
-            out.append((doc, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"), [{"first": int(a), "last": int(b) - 1} for a, b in zip(lo, hi, strict=True)]))
+            out.append((None if none else doc, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace"), [{"first": int(a), "last": int(b) - 1} for a, b in zip(lo, hi, strict=True)]))
         names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans")
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
         yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)

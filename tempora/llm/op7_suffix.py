@@ -159,12 +159,12 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, th, ths, froms, tos in zip(*(c.to_pylist() if k != 1 else c.cast(pa.binary()).to_pylist() for k, c in enumerate(batch.columns)), strict=True):
+        for doc, none, text, th, ths, froms, tos in zip(*(c.to_pylist() if k != 2 else c.cast(pa.binary()).to_pylist() for k, c in enumerate(batch.columns)), strict=True):
             data = np.frombuffer(text or b"", np.uint8)
             gone = anchors.covered(len(data), th, ths, froms, tos, WIDTH)
             kept = data[~gone].tobytes()
             lo, hi = runs(gone, np.zeros(1, np.int64)) if len(gone) else ((), ())
-            out.append((doc, len(gone), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]))
+            out.append((None if none else doc, len(gone), int(gone.sum()), len(lo), hashlib.sha256(kept).hexdigest(), kept, [{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)]))
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
