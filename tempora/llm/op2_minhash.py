@@ -6,8 +6,8 @@ Documents with equal sets collapse into one node first, named by a digest of the
 linking. Signatures fall into bands; the nodes of a bucket form a star around the least of them, and stars that touch
 are a family, which holds every candidate pair. Each node is verified against one centre; what stays outside its
 family's main component is then compared with those members of the family whose size allows a link, in blocks of
-bounded bytes and on full sets, and only links between components leave a block. So no group emits its pairs, and no
-link found by the bands is lost.
+bounded bytes and on full sets, and only links that join components leave a block, fewer than it has rows. So no group
+emits its pairs, and no link found by the bands is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHINGLE = 5
 CIRCLE, COORDINATES, ROWS = 1 << 20, 128, 4
 #: Shingles on either side of a block of a family, about.
 BLOCK = 1 << 19
+#: Parts in which the members of a family look up their blocks.
+SPREAD = 32
 _VALUES: list[np.ndarray] = []
 
 
@@ -125,14 +127,26 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(shingle, kind="stable")
         posting = np.repeat(np.arange(len(inner)), size[inner])[order]
         shingle = shingle[order]
-        found = set()
+        # only links that join what the block has not yet joined
+        name, at = np.unique(comp, return_inverse=True)
+        top = list(range(len(name)))
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = k = top[top[k]]
+            return k
+
+        pairs: list[tuple[int, int]] = []
         for x in outer:
             own = flat[edge[x] : edge[x + 1]]
             lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
             shared = np.bincount(posting[spread(lo, hi - lo)], minlength=len(inner))
             hit = np.flatnonzero(linked(shared, size[x], size[inner]))
-            found.update((int(comp[x]), int(c)) for c in np.unique(comp[inner[hit]]) if c != comp[x])
-        pairs = sorted(found)
+            for other in np.unique(at[inner[hit]]).tolist():
+                a, b = root(int(at[x])), root(other)
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    pairs.append((int(comp[x]), int(name[other])))
         return pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     last = None
@@ -167,10 +181,12 @@ def _blocks_of(part: DataFrame) -> DataFrame:
     near = lambda: F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1))
     room = held.select("family", "all", near().alias("window")).groupBy("family", "window").agg(F.sum("all").alias("all"))
     cells = held.filter("out is not null").select("family", "window", F.ceil(F.col("out") / BLOCK).alias("ns")).join(room, ["family", "window"])
-    cells = cells.select("family", "window", "ns", F.ceil(F.col("all") / BLOCK).alias("nm"))
+    # cells are few; some copies of each, so that a large family is joined in several tasks
+    cells = cells.select("family", "window", "ns", F.ceil(F.col("all") / BLOCK).alias("nm"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    open_ = open_.withColumn("salt", (F.col("at") % SPREAD).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = open_.filter("outside").join(cells, ["family", "window"]).select("family", "window", (F.col("at") % F.col("ns")).alias("s"), every("nm").alias("m"), "outside", "comp", "node")
-    inside = open_.select("family", near().alias("window"), "at", "comp", "node").join(cells, ["family", "window"])
+    outside = open_.filter("outside").join(cells, ["family", "window", "salt"]).select("family", "window", (F.col("at") % F.col("ns")).alias("s"), every("nm").alias("m"), "outside", "comp", "node")
+    inside = open_.select("family", near().alias("window"), "salt", "at", "comp", "node").join(cells, ["family", "window", "salt"])
     inside = inside.select("family", "window", every("ns").alias("s"), (F.col("at") % F.col("nm")).alias("m"), F.lit(False).alias("outside"), "comp", "node")
     return outside.unionByName(inside)
 
@@ -189,15 +205,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     signed = checkpointed(ready.mapInArrow(_signed, "doc long, row long, n long, node long, check long, bands array<long>"))
     name = ["node", "check"]
     classes = checkpointed(signed.filter("n > 0").groupBy(*name).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    placed = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1").select("bucket", "centre")
+    placed = classes.select("node", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("bands").alias("bucket"))
+    # the centre of a bucket is its earliest document, which copies are often copies of
+    centres = placed.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("first.node").alias("centre"))
     stars = checkpointed(placed.join(centres, "bucket").select("node", "centre").distinct())
     family = components(stars, "node", "centre").withColumnRenamed("component", "family")
     family = checkpointed(family.join(classes.select("node", "row", "n"), "node"))
     # a node's set, from the text of one of its rows
     sets = ready.join(family.select("row"), "row", "left_semi").mapInArrow(_sets, "node long, set array<long>")
     sets = checkpointed(sets.groupBy("node").agg(F.first("set").alias("set")))
-    ends = stars.groupBy("node").agg(F.min("centre").alias("centre")).filter("node != centre")
+    ends = stars.filter("node != centre").groupBy("node").agg(F.min("centre").alias("centre"))
     first = ends.join(sets.withColumnRenamed("set", "x"), "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("y")), "centre")
     shared, a, b = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
     links = checkpointed(first.filter(linked(shared, a, b)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
@@ -205,8 +222,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     keys = ("family", "window", "s", "m")
     rows = _blocks_of(part).join(sets, "node").select(*keys, "outside", "comp", "set")
     more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
-    final = components(links.union(more.distinct()), "a", "b")
-    of_class = classes.select(*name, "least", "row").join(final, "node", "left").select(*name, "least", "row", F.coalesce("component", "node").alias("comp"))
+    final = components(more.distinct(), "a", "b").withColumnRenamed("node", "comp")
+    part = part.select("node", "comp").join(final, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
+    of_class = classes.select(*name, "least", "row").join(part, "node", "left").select(*name, "least", "row", F.coalesce("comp", "node").alias("comp"))
     tops = of_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("first"))
     known = of_class.join(tops, "comp").select(*name, F.col("least").alias("class_id"), "component_id", "first", F.lit(True).alias("known"))
     out = signed.select("doc", "row", "n", *name).join(known, name, "left")
