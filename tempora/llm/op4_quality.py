@@ -2,8 +2,8 @@
 
 Filters over bytes run along chunks that overlap and cover the whole document; each filter's largest response in a
 chunk is kept, and the mean and the largest over the chunks go into one logistic unit. The network is trained by
-back-propagation through the places of the largest responses, on one part of a bounded sample; the other part, which the
-filters have not seen, sets where a score of 0.5 lies.
+back-propagation through the places of the largest responses, on whole texts of one part of a bounded sample; the other
+part, which the filters have not seen, calibrates the output as a probability (a logistic fit of two numbers).
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from .sampling import labelled_sample
 #: Filters and bytes they see; bytes of a chunk and how many of them it shares with the next.
 FILTERS, WIDTH = 16, 6
 CHUNK, OVERLAP = 512, 16
-#: Documents to learn from, and chunks of a document that a pass learns from, at most.
-SAMPLE, CHUNKS = 2400, 12
-#: Share of the sample that the filters are trained on; the rest sets where a score of 0.5 lies.
+#: Documents and bytes of text to learn from, about, at most.
+SAMPLE, SAMPLE_BYTES = 2400, 8 << 20
+#: Share of the sample that the filters are trained on; the rest calibrates.
 TRAINED = 0.75
 EPOCHS, BATCH, STEP = 10, 64, 0.01
 
@@ -33,6 +33,7 @@ class Network:
         self.b = np.zeros(FILTERS, np.float32)
         self.v = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
+        self.slope, self.shift = 1.0, 0.0
         self.pairs = None
 
     def tables(self) -> list[np.ndarray]:
@@ -68,11 +69,13 @@ class Network:
         np.maximum.at(most, of, h)
         return np.concatenate([mean / count, most], axis=1), h
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         data, starts, ends, of = chunked(data, offsets)
         top, _ = self.responses(data, starts, ends, False)
-        z = self.pooled(top, of, len(offsets) - 1)[0] @ self.v + self.c[0]
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        return self.pooled(top, of, len(offsets) - 1)[0] @ self.v + self.c[0]
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(data, offsets) + self.shift, -60, 60)))
 
     def train(self, texts: list[bytes], y: np.ndarray) -> None:
         rng = np.random.Generator(np.random.PCG64(1))
@@ -109,17 +112,22 @@ class Network:
                     p_ -= (rate * (m_ / (1 - 0.9**t)) / (np.sqrt(s_ / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         self.pairs = None
 
-    def balance(self, texts: list[bytes], y: np.ndarray) -> None:
-        """Shifts the output so that a score of 0.5 errs least often on the sample, in the middle of the best gap."""
-        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        p = self.score(data, offsets)
-        z = np.log(np.maximum(p, 1e-26) / np.maximum(1 - p, 1e-26))
-        order = np.argsort(z, kind="stable")
-        wrong = np.cumsum(y[order] == 1) + (y == 0).sum() - np.cumsum(y[order] == 0)  # the first k count as bad
-        best = np.flatnonzero(wrong[:-1] == wrong[:-1].min())
-        gap = z[order][best + 1] - z[order][best]
-        k = best[gap.argmax()]
-        self.c = self.c - np.float32((z[order][k] + z[order][k + 1]) / 2)
+    def calibrate(self, texts: list[bytes], y: np.ndarray) -> None:
+        """Slope and shift of the output that make the labels of these texts likeliest, by Newton's steps with a little shrinkage."""
+        x = self.raw(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        x = np.stack([x, np.ones_like(x)], axis=1)
+        # targets a little off 0 and 1, as for any fit of few points
+        good, bad = y.sum(), len(y) - y.sum()
+        target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
+        at = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ at, -60, 60)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (at - [1.0, 0.0]))
+            at = at - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-9:
+                break
+        if at[0] > 0:  # else the output says nothing of these texts
+            self.slope, self.shift = float(at[0]), float(at[1])
 
     def __getstate__(self):
         return self.__dict__ | {"pairs": None}
@@ -142,17 +150,10 @@ class Model:
     """The trained network; without labels of both kinds, the share of good ones."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, learn, sample: int = SAMPLE):
-        chosen = labelled_sample(docs, labels, "quality", learn, sample)
-        # some chunks of a long document, evenly spread, to learn from; whole texts are scored
+        chosen = labelled_sample(docs, labels, "quality", learn, sample, SAMPLE_BYTES)
         rows = chosen.select("doc_id", F.encode("text", "utf-8").alias("text"), "label", "part").collect()
         rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or b""))
-        texts, y = [], np.array([r["label"] for r in rows], float)
-        for r in rows:
-            text, most = bytes(r["text"] or b""), CHUNK * CHUNKS
-            if len(text) > most:
-                step = len(text) / CHUNKS
-                text = b"".join(text[int(k * step) : int(k * step) + CHUNK] for k in range(CHUNKS))
-            texts.append(text)
+        texts, y = [bytes(r["text"] or b"") for r in rows], np.array([r["label"] for r in rows], float)
         self.network, self.rate = None, float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) == 2:
             grown = np.array([r["part"] for r in rows]) < TRAINED
@@ -161,7 +162,7 @@ class Model:
             held = ~grown if not grown.all() else grown
             self.network = Network()
             self.network.train([t for t, g in zip(texts, grown, strict=True) if g], y[grown])
-            self.network.balance([t for t, h in zip(texts, held, strict=True) if h], y[held])
+            self.network.calibrate([t for t, h in zip(texts, held, strict=True) if h], y[held])
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.full(len(offsets) - 1, self.rate) if self.network is None else self.network.score(data, offsets)

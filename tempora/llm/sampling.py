@@ -10,12 +10,13 @@ from .common import checkpointed
 SCALE = 1 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int, most_bytes: int | None = None) -> DataFrame:
     """doc_id, text, label, part (0 to 1) of about ``limit`` labelled documents that may be learned from.
 
     The sample is a fixed share of the ids by their hash, and of equal texts with one label the least id is taken, so it
-    is the same at every run; it is written once. Ids that the labels repeat get the larger label; null ids and labels
-    take no part.
+    is the same at every run; it is written once. If its texts have more than ``most_bytes``, a share of it is taken
+    that has about as many; texts are whole in any case. Ids that the labels repeat get the larger label; null ids and
+    labels take no part.
     """
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     n = clean.count()
@@ -24,4 +25,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     # bounded by ``limit`` in expectation, whatever the size of the labels
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     found = found.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "label")
-    return checkpointed(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SCALE)) / SCALE))
+    kept = checkpointed(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SCALE)) / SCALE))
+    if most_bytes is not None:
+        size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > most_bytes:
+            kept = kept.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(SCALE)) < SCALE * most_bytes // size)
+    return kept
