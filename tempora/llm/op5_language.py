@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from .common import BYTE_BASE, binary, blocks, crc_mod, gram_hash, spread, table, to_binary
 from .op10_toxicity import _LETTER, _runs
 
-#: Documents to learn from at most about, rounds of fitting, letters of a piece at most.
-SAMPLE, ROUNDS, LONGEST = 1000, 2, 8
-#: A run of letters beyond this is scored in stretches of this many bytes.
-STRETCH = 96
+#: Documents and bytes of text to learn from, about, at most; rounds of fitting.
+SAMPLE, SAMPLE_BYTES, ROUNDS = 1000, 8 << 20, 2
 #: Probability of a letter that the vocabulary lacks; added count of each piece.
 UNKNOWN, ADDED = 1e-7, 0.02
-#: Words whose likelihoods a worker keeps at most; then it starts anew.
-KEPT_WORDS = 500_000
+#: Words whose likelihoods a worker keeps at most (then it starts anew), and bytes of a word that is kept.
+KEPT_WORDS, KEPT_BYTES = 500_000, 64
+#: Bytes of words whose lattices are held at once, about.
+LATTICE_BYTES = 1 << 19
 
 
 def default_vocabulary() -> list[str]:
@@ -35,7 +35,7 @@ def default_vocabulary() -> list[str]:
 
     sp = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     pieces = {sp.id_to_piece(k) for k in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if p == p.lower() and len(p) <= LONGEST and p.strip("▁").isalpha() and "▁" not in p[1:])
+    return sorted(p for p in pieces if p == p.lower() and p.strip("▁").isalpha() and "▁" not in p[1:])
 
 
 def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +47,16 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Lattice:
     """The pieces that stand at each place of some words."""
 
-    def __init__(self, pieces: np.ndarray, order: np.ndarray, words: list[str]):
+    def __init__(self, pieces: np.ndarray, order: np.ndarray, longest: int, words: list[str]):
         letters, self.edge = _code_points(words)
+        self.longest = longest
         n = len(letters)
         self.size = np.diff(self.edge)
         left = np.repeat(self.edge[1:], self.size) - np.arange(n)
         unknown = len(pieces)
-        self.piece = np.full((LONGEST + 1, n), unknown + 1, np.int32)  # unknown + 1: no piece
+        self.piece = np.full((longest + 1, n), unknown + 1, np.int32)  # unknown + 1: no piece
         self.piece[1] = unknown
-        for k in range(1, LONGEST + 1):
+        for k in range(1, longest + 1):
             key = gram_hash(letters, k, BYTE_BASE) + np.uint64(k)
             at = np.minimum(np.searchsorted(pieces, key), unknown - 1) if unknown else np.zeros(len(key), np.int64)
             hit = np.flatnonzero((pieces[at] == key) & (left[: len(key)] >= k)) if unknown else np.zeros(0, np.int64)
@@ -71,9 +72,9 @@ class Lattice:
         for j in range(1, int(size[0]) + 1 if len(size) else 0):
             live = int(np.searchsorted(-size, -j, "right"))
             new = np.zeros((live, p.shape[1]))
-            for k in range(1, min(j, LONGEST) + 1):
+            for k in range(1, min(j, self.longest) + 1):
                 new += ring[-k][:live] * p[self.piece[k, start[:live] + j - k]]
-            ring = [r[:live] for r in ring[-LONGEST:]] + [new]
+            ring = [r[:live] for r in ring[-self.longest :]] + [new]
             if j % 16 == 0:
                 top = new.max(axis=1, keepdims=True)
                 scale[:live] += np.log(top)
@@ -88,26 +89,24 @@ class Lattice:
         """How often each piece is expected, over all segmentations of words that stand ``times`` times."""
         n, letters = len(self.size), int(self.edge[-1])
         begin = self.edge[:-1] + np.arange(n)  # places between letters: one more for each word
-        a, b = np.zeros(letters + n), np.zeros(letters + n)
-        a[begin] = 1
-        b[begin + self.size] = 1
+        a, b = np.zeros(letters + n), np.zeros(letters + n)  # logs, so that long runs do not vanish
         by = np.argsort(-self.size, kind="stable")
         size, start, place = self.size[by], self.edge[:-1][by], begin[by]
         for j in range(1, int(size[0]) + 1 if n else 0):
             live = int(np.searchsorted(-size, -j, "right"))
-            for k in range(1, min(j, LONGEST) + 1):
-                a[place[:live] + j] += a[place[:live] + j - k] * p[self.piece[k, start[:live] + j - k]]
-                end = size[:live]
-                b[place[:live] + end - j] += b[place[:live] + end - j + k] * p[self.piece[k, start[:live] + end - j]]
+            at, end, v, w = place[:live] + j, place[:live] + size[:live] - j, np.zeros(live), np.zeros(live)
+            for k in range(1, min(j, self.longest) + 1):
+                v += np.exp(a[at - k] - a[at - 1]) * p[self.piece[k, start[:live] + j - k]]
+                w += np.exp(b[end + k] - b[end + 1]) * p[self.piece[k, start[:live] + size[:live] - j]]
+            a[at], b[end] = a[at - 1] + np.log(v), b[end + 1] + np.log(w)
         total = a[begin + self.size]
         out = np.zeros(len(p))
         of = np.repeat(np.arange(n), self.size)
         at = np.arange(letters) + of
-        share = times[of] / np.maximum(total[of], 1e-300)
-        for k in range(1, LONGEST + 1):
+        for k in range(1, self.longest + 1):
             fits = np.flatnonzero(self.piece[k] < len(p) - 1)
             fits = fits[fits + k <= self.edge[1:][of[fits]]]
-            out += np.bincount(self.piece[k, fits], a[at[fits]] * p[self.piece[k, fits]] * b[at[fits] + k] * share[fits], minlength=len(p))
+            out += np.bincount(self.piece[k, fits], np.exp(a[at[fits]] + b[at[fits] + k] - total[of[fits]]) * p[self.piece[k, fits]] * times[of[fits]], minlength=len(p))
         return out
 
 
@@ -117,16 +116,11 @@ def _words(column: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.DictionaryArra
     for part, data, offsets in blocks(pa.record_batch([lower], ["text"]), "text", 1 << 22):
         start, end = _runs(_LETTER[data], offsets)
         of = np.searchsorted(start, offsets)
-        if len(start) and (end - start).max() > STRETCH:
-            number = -(-(end - start) // STRETCH)
-            start2 = np.repeat(start, number) + spread(np.zeros(len(start), np.int64), number) * STRETCH
-            end, start = np.minimum(start2 + STRETCH, np.repeat(end, number)), start2
-            of = np.searchsorted(start, offsets)
         yield part, to_binary(data[spread(start, end - start)], np.concatenate([[0], np.cumsum(end - start)])).dictionary_encode(), of
 
 
 def _text(word: bytes) -> str:
-    return word.decode("utf-8", "ignore")
+    return word.decode("utf-8")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +139,12 @@ class Model:
 
     def __init__(self, docs: DataFrame, learn, vocabulary: list[str], sample: int = SAMPLE):
         chosen = docs.filter(F.col("lang").isNotNull() & learn)
-        sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        sizes = {r["lang"]: (r["n"], r["size"] or 1) for r in chosen.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
         self.langs = sorted(sizes)
         scale = 1 << 20
-        # about as many documents of each language
-        share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(scale, scale * sample // max(1, len(sizes)) // n + 1))) for x, n in sorted(sizes.items())), F.lit(0)) if sizes else F.lit(0)
+        # about as many documents of each language, and a bounded size of text
+        part = lambda n, size: min(scale, scale * sample // len(sizes) // n + 1, scale * SAMPLE_BYTES // len(sizes) // size + 1)
+        share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(part(*n))) for x, n in sorted(sizes.items())), F.lit(0)) if sizes else F.lit(0)
         picked = chosen.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(scale)) < share).select("text", "lang")
         rows = picked.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect() if sizes else []
         letters, edge = np.frombuffer("".join(vocabulary).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in vocabulary])])
@@ -158,7 +153,7 @@ class Model:
         for k in np.unique(size):
             keys[size == k] = (gram_hash(letters, int(k), BYTE_BASE) + np.uint64(k))[edge[:-1][size == k]]
         order = np.argsort(keys)
-        self.pieces, self.order = keys[order], order.astype(np.int32)
+        self.pieces, self.order, self.longest = keys[order], order.astype(np.int32), int(size.max(initial=1))
         n = len(vocabulary)
         self.p = np.zeros((n + 2, len(self.langs)))
         for k, lang in enumerate(self.langs):
@@ -173,7 +168,17 @@ class Model:
             self.p[:, k] = p
 
     def lattice(self, words: list[str]) -> Lattice:
-        return Lattice(self.pieces, self.order, words)
+        return Lattice(self.pieces, self.order, self.longest, words)
+
+    def likelihoods(self, words: list[bytes]) -> np.ndarray:
+        """Log of the sum over all segmentations of each word in each language, however long the word."""
+        out, at = np.empty((len(words), len(self.langs))), 0
+        edge = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + LATTICE_BYTES, "right")) - 1)
+            out[at:to] = self.lattice([_text(w) for w in words[at:to]]).forward(self.p)
+            at = to
+        return out
 
 
 def _predicted(model: Model) -> Callable:
@@ -186,18 +191,21 @@ def _predicted(model: Model) -> Callable:
                 words = coded.dictionary.to_pylist()
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                new = [w for w in words if w not in known]
+                new = [w for w in words if len(w) <= KEPT_BYTES and w not in known]
                 have = len(known)
                 while have + len(new) > len(values):
                     values = np.concatenate([values, np.zeros_like(values)])
-                for k in range(0, len(new) if model.langs else 0, 20_000):
-                    values[have + k : have + k + len(new[k : k + 20_000])] = model.lattice([_text(w) for w in new[k : k + 20_000]]).forward(model.p)
+                values[have : have + len(new)] = model.likelihoods(new) if model.langs else 0
                 known.update((w, have + k) for k, w in enumerate(new))
-                row = np.fromiter((known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy().astype(np.int64)] if words else np.zeros(0, np.int64)
+                at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+                of_word, long = values[at], np.flatnonzero(at < 0)
+                if model.langs:
+                    of_word[long] = model.likelihoods([words[k] for k in long])
+                row = coded.indices.to_numpy().astype(np.int64)
                 total = np.zeros((len(part), len(model.langs)))
                 text_of = np.repeat(np.arange(len(part)), np.diff(of))
                 for k in range(len(model.langs)):
-                    total[:, k] = np.bincount(text_of, values[row, k], minlength=len(part))
+                    total[:, k] = np.bincount(text_of, of_word[row, k], minlength=len(part))
                 data, offsets = binary(part.column(0))
                 ascii_letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
                 plain = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
@@ -220,9 +228,11 @@ def language(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang:
 
     The prediction depends on the letters of the whole text alone; score is the posterior of the language under equal
     priors. A null text, one without letters, or any text if nothing could be learned, is ``und`` with score 0; ties go
-    to the first name. Each row has its own result; a null id stays null, is not held out and not learned from.
+    to the first name. Each row has its own result; a null id stays null, is not held out and not learned from. Bytes
+    that are not UTF-8 count as U+FFFD; bytes from 0x80 on count as letters, signs of other scripts included, and a run
+    of letters is one word, summed over as a whole. Other columns are not read.
     """
-    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.make_valid_utf8(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     model = Model(ready, crc_mod("doc_id", folds) != held_out, default_vocabulary() if vocabulary is None else vocabulary)
     out = ready.select("doc_id", "text").mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -238,18 +238,64 @@ def test_top_k(spark):
     local = np.random.default_rng(5)
     centres = local.normal(size=(6, 8))
     vectors = [(i, (centres[i % 6] + 0.05 * local.normal(size=8)).tolist()) for i in range(900)]
-    vectors += [(900, None), (902, [1.0] * 7 + [None]), (904, [float("nan")] * 8), (906, [float("inf")] * 8), (None, [1.0] * 8), (908, vectors[4][1]), (4, vectors[4][1]), (910, [0.5] * 3), (912, [0.25] * 3)]
-    table = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors], "vec_id long, embedding array<double>, v string, dim int")
-    good = {i: np.floor(256 * np.array(v)).astype(np.int64) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    vectors += [(900, None), (902, [1.0] * 7 + [None]), (904, [float("nan")] * 8), (906, [float("inf")] * 8), (None, [1.0] * 8), (908, vectors[4][1]), (910, [0.5] * 3), (912, [0.25] * 3)]
+    vectors += [(4, vectors[4][1])] * 7 + [(54, vectors[5][1]), (914, [1e307] * 3), (916, [])]  # repeated rows, an id of another row
+    table = spark.createDataFrame([(i, v, "x", 1, "k") for i, v in vectors], "vec_id long, embedding array<double>, v string, dim int, key string")
+    good = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e300 for x in v)]
     expected = []
-    for q in (i for i in good if i % 50 == 4 or i in (910,)):
-        scores = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-        expected += [(q, k, i, -s) for k, (s, i) in enumerate(scores[:5], 1)]
+    for at, (q, x) in enumerate(good):
+        if q % 50 == 4 or q == 910:
+            scores = sorted((-int(x @ v), i) for k, (i, v) in enumerate(good) if k != at and len(v) == len(x))
+            expected += [(q, k, i, -s) for k, (s, i) in enumerate(scores[:5], 1)]
     query = (F.col("vec_id") % 50 == 4) | (F.col("vec_id") == 910)
-    same(top_k(table, query).collect(), expected)
+    same(top_k(table.filter("vec_id is null or vec_id != 914"), query & (F.col("vec_id") != 904)).collect(), expected)
     assert top_k(table.limit(0), query).count() == 0
-    large = spark.createDataFrame([(k, [1e15 * (k + 1), 3.0]) for k in range(4)], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in top_k(large, F.col("vec_id") == 0, 2).orderBy("rank").collect()] == [1, 2]  # beyond 64 bits all tie
+    # beyond 64 bits scores are null, and ranked as whole numbers
+    large = spark.createDataFrame([(k, [1e15 * (k + 1), 3.0 + k % 2]) for k in range(6)] + [(9, [-1e15, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(large, F.col("vec_id") == 0, 6).orderBy("rank").collect()] == [(5, None), (4, None), (3, None), (2, None), (1, None), (9, None)]
+    close = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**10, 2.0]), (2, [2.0**10, 3.0]), (3, [2.0**10, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(close, F.col("vec_id") == 0, 3).orderBy("rank").collect()] == [(k, 2**66 and None) if 2**66 + v * 2**16 >= 2**63 else (k, 0) for k, v in ((2, 3), (1, 2), (3, 1))]
+
+
+def test_cover_tree():
+    """Nested, covering, separated; the search prunes and still gives the best."""
+    from tempora.llm.op9_topk import LEAF, dual_search, tree
+
+    local = np.random.default_rng(2)
+    x = np.floor(256 * np.concatenate([local.normal(size=(40, 1, 16)) + 0.02 * local.normal(size=(40, 50, 16)), 4 * local.normal(size=(100, 1, 16))], axis=None).reshape(-1, 16))
+    work = [tree(x)]
+    assert sorted(work[0].points.tolist()) == list(range(len(x)))
+    while work:
+        node = work.pop()
+        d = np.sqrt(((x[node.points] - node.center) ** 2).sum(axis=1))
+        assert (d <= node.radius).all() and (node.children or len(node.points) <= LEAF or len(np.unique(x[node.points], axis=0)) == 1 or all(len(n.points) for n in work) or node.children == [])
+        if node.children:
+            assert sorted(np.concatenate([n.points for n in node.children]).tolist()) == sorted(node.points.tolist())
+            own = [n for n in node.children if len(n.points) > 1 and n.radius <= node.radius / 2 * (1 + 1e-6)]
+            far = np.stack([n.center for n in own]) if own else np.zeros((0, 16))
+            gap = np.sqrt(((far[:, None] - far[None]) ** 2).sum(axis=2)) + np.eye(len(far)) * 1e18
+            assert (gap > d.max() / 2 * (1 - 1e-9)).all()
+            work.extend(n for n in node.children if n.points is not node.points and len(n.points) < len(node.points))
+    ids = np.arange(len(x))
+    best, scored = dual_search(x[::20], ids[::20], x, ids, ids, 5)
+    assert scored < 0.9 * len(x[::20]) * len(x)
+    for i, q in enumerate(ids[::20]):
+        expected = sorted((-int(x[q] @ x[j]), j) for j in ids if j != q)[:5]
+        assert [(-int(s), j) for s, j in zip(best.score[i], best.id[i], strict=True)] == expected
+
+
+def test_pairs_scored_on_the_table():
+    """On the embeddings of sf0.1 fewer pairs are scored in full than exist."""
+    import duckdb
+
+    from tempora.llm.op9_topk import dual_search
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.floor(256 * np.array([r[1] for r in rows], float))
+    at = np.flatnonzero(ids % 50 == 0)
+    _, scored = dual_search(x[at], ids[at], x, ids, ids, 5)
+    print("share of pairs scored", scored / (len(at) * (len(x) - 1)))
+    assert scored < len(at) * (len(x) - 1)
 
 
 def _labelled(spark, n=700):
@@ -285,7 +331,7 @@ def test_classifiers(spark, nothing):
 
 
 def test_language(spark, nothing):
-    from tempora.llm.op5_language import Lattice, Model, language
+    from tempora.llm.op5_language import Lattice, Model, default_vocabulary, language
 
     texts = {"en": "the river and the stone were green under this light", "de": "der Fluss und die Steine waren grün unter diesem Licht", "fr": "la rivière et les pierres étaient vertes sous cette lumière"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(texts[lang].split()).tolist()), lang) for i, lang in enumerate(list(texts) * 40)]
@@ -296,6 +342,18 @@ def test_language(spark, nothing):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:120]) and got[None].lang_pred == "de" and got[503].lang_pred in texts
     assert language(nothing).count() == 0
     assert {r.lang_pred for r in language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    # a run of any length is one word: against the recurrence over all segmentations
+    whole = Model(docs, F.lit(True), default_vocabulary())
+    run = ("a" + "я" * 60 + "bcd" * 400)
+    got = whole.likelihoods([run.encode()])[0]
+    where = {p: k for k, p in enumerate(default_vocabulary())}
+    marked = "▁" + run
+    for lang in range(len(whole.langs)):
+        log = [0.0]
+        for j in range(1, len(marked) + 1):
+            terms = [log[j - k] + np.log(whole.p[where[marked[j - k : j]], lang] if marked[j - k : j] in where else 1e-7) for k in range(1, min(j, whole.longest) + 1) if k == 1 or marked[j - k : j] in where]
+            log.append(np.logaddexp.reduce(terms))
+        assert np.isclose(log[-1], got[lang])
     # the forward algorithm against all segmentations
     model = Model(docs, F.lit(True), ["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
     lattice: Lattice = model.lattice(["abab", "b", "zb"])
