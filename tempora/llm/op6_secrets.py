@@ -31,6 +31,8 @@ RULES: dict[str, tuple[str, bool, int, int]] = {
 BASE = ("assign", "access", "hex")
 #: Literal strings that one place of an expression may stand for at most; beyond, the place counts as unknown.
 ALTERNATIVES = 24
+#: Matches that are placed in one fold.
+PART = 256
 
 
 def _literals(node) -> set[str] | None:
@@ -101,17 +103,25 @@ def _matches(kind: str, text: str = "text") -> Column:
     java = F.lit(("(?i)" if ignore else "") + expression)
     gaps, hits = F.split(text, ("(?i)" if ignore else "") + expression, -1), F.regexp_extract_all(text, java, F.lit(0))
     value = F.regexp_extract_all(text, java, F.lit(group)) if group else hits
-    start = lambda a, x: a["at"] + F.length(x["gap"])
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    walked = F.aggregate(
-        F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), value.alias("value")), lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (start(a, x) + F.length(x["hit"])).cast("bigint").alias("at"),
-            F.when(F.length(x["value"]) >= least, F.concat(a["out"], F.array(F.struct(start(a, x).cast("bigint").alias("start"), (start(a, x) + F.length(x["hit"])).cast("bigint").alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
+    empty = lambda fields: F.array().cast(f"array<struct<{fields}>>")
+    zero = F.lit(0).cast("bigint")
+    all_ = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), value.alias("value")), lambda x: x["hit"].isNotNull())
+    size = lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("bigint")
+
+    def step(a, x):
+        end = a["at"] + size(x)
+        span = F.struct((end - F.length(x["hit"])).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    # places are sums of lengths; in parts, as a list that grows by one is copied each time
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(all_) / PART).cast("int") - 1)), lambda k: F.slice(all_, k * PART + 1, PART))
+    placed = F.aggregate(
+        parts,
+        F.struct(zero.alias("at"), F.slice(F.transform(parts, lambda p: F.struct(zero.alias("at"), p.alias("part"))), 1, 0).alias("out")),
+        lambda a, p: F.struct((a["at"] + F.aggregate(p, zero, lambda n, y: n + size(y))).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), p.alias("part")))).alias("out")),
         lambda a: a["out"],
     )
+    walked = F.flatten(F.transform(placed, lambda q: F.aggregate(q["part"], F.struct(q["at"].alias("at"), empty("start:bigint,end:bigint").alias("out")), step, lambda a: a["out"])))
     order = list(RULES).index(kind)
     return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 

@@ -198,6 +198,9 @@ def test_secrets(docs, nothing, rows):
     same(got.collect(), expected)
     assert {s["kind"] for r in found.collect() for s in r.spans} == {"assign", "access", "hex", "github"}
     assert scan_secrets(nothing).count() == 0
+    many = nothing.sparkSession.createDataFrame([(1, " \U0001f600 token=abcdef" * 3001), (2, "AKIA" + "B" * 20 + " " + "f" * 30 + " password: " + "x" * 99)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in scan_secrets(many).collect()}
+    assert [(x.start, x.end) for x in found[1]] == [(15 * k + 3, 15 * k + 15) for k in range(3001)] and [x.kind for x in found[2]] == ["access", "hex", "assign"]
     assert trigram_query(r"[0-9a-f]{24,}") == []
     assert trigram_query("AKIA[A-Z0-9]+") == [{"aki", "kia"}]
     assert {frozenset(c) for c in trigram_query("(secret|token)=x")} == {frozenset({"sec", "ecr", "cre", "ret", "et=", "t=x"}), frozenset({"tok", "oke", "ken", "en=", "n=x"})}
@@ -209,7 +212,6 @@ def test_packing(docs, nothing, rows):
     from tempora.llm.op8_packing import default_tokenizer, pack_documents
 
     tokenizer = Tokenizer.from_file(default_tokenizer())
-    tokenizer.encode_special_tokens = True
     ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows]
     pieces = pack_documents(docs, window=256, shard=3000).collect()
     sequences = defaultdict(list)
@@ -224,7 +226,7 @@ def test_packing(docs, nothing, rows):
     for i in {i for i, _ in rows}:
         wanted = Counter(t for (j, _), x in zip(rows, ids, strict=True) if j == i for t in x)
         assert Counter(t for p in pieces if p.doc_id == i for t in np.frombuffer(p.ids, "<u4").tolist()) == wanted
-    single = {i: x for (i, _), x in zip(rows, ids, strict=True) if i not in (None, 16)}
+    single = {i: x for (i, _), x in zip(rows, ids, strict=True) if i not in (None, 16, 4)}
     for p in pieces:
         if p.doc_id in single:
             x = single[p.doc_id]
@@ -232,6 +234,52 @@ def test_packing(docs, nothing, rows):
     assert pack_documents(nothing).count() == 0
 
 
+def test_encoder():
+    """The ids of the untouched tokenizer, added tokens included, whatever stands in the texts."""
+    from tokenizers import Tokenizer
+
+    from tempora.llm.op8_packing import Encoder, default_tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer())
+    assert encoder.stretches
+    local = np.random.default_rng(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "hello", " ", "\n", "don't", "'s", "X", "ß", "é", "e\u0301", "日本", "12", "3", "!?", "--", "\u2003", "\U0001f600", "|>", "<|", "_", "a"]
+    texts = ["", "hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b<|startoftext|>"] + ["".join(local.choice(parts, local.integers(1, 12)).tolist()) for _ in range(3000)]
+    data = [t.encode() for t in texts]
+    ids, n = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_neighbours_by_bm25():
+    """The order of neighbours against BM25 written out, and windows filled in that order."""
+    import math
+
+    from tempora.llm.op8_packing import B, K1, Index, fill
+
+    local = np.random.default_rng(11)
+    docs = [local.choice(40, local.integers(3, 30), p=np.arange(40, 0, -1) / 820).tolist() for _ in range(60)]
+    size = np.array([len(d) for d in docs])
+    index = Index(np.concatenate(docs).astype(np.int64), size)
+    df = Counter(t for d in docs for t in set(d))
+
+    def score(seed: int, doc: int) -> float:
+        tf = Counter(docs[doc])
+        return sum(math.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * size[doc] / size.mean())) for t in set(docs[seed]) if t in tf)
+
+    for seed in range(60):
+        scores = [score(seed, j) for j in range(60)]
+        got = index.neighbours(seed).tolist()
+        assert set(got) == {j for j in range(60) if scores[j] > 0}
+        assert all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+    pieces = fill(size, index.neighbours, 64)
+    order = list(dict.fromkeys(p[0] for p in pieces))
+    left, seed = [j for j in order[1:]], order[0]
+    first = [p[0] for p in pieces if p[3] == 0]
+    best = [j for j in index.neighbours(seed).tolist() if j != seed][: len(first) - 1]
+    assert first[1:] == best and len(left) == 59  # the seed's window holds its best neighbours, in their order
+
+
 def test_top_k(spark):
     from tempora.llm.op9_topk import top_k
 
