@@ -3,11 +3,11 @@
 One permutation places a shingle on a circle, a second gives the values there; coordinate k of a signature is the least
 value k places on from the shingles, so all coordinates of a shingle are one contiguous stretch of the value table.
 Documents with equal sets collapse into one node first, named by a digest of the whole set, so ids play no part in the
-linking. Signatures fall into bands; the nodes of a bucket form a star around the least of them, and stars that touch
-are a family, which holds every candidate pair. Each node is verified against one centre; what stays outside its
-family's main component is then compared with those members of the family whose size allows a link, in blocks of
-bounded bytes and on full sets, and only links that join components leave a block, fewer than it has rows. So no group
-emits its pairs, and no link found by the bands is lost.
+linking. Signatures fall into bands; the nodes of a bucket form a star around the earliest of them, and each node is
+verified against the centres of its buckets. Where a bucket's members are not all in one component by then, they are
+verified against its hub, the member with most links so far. Those still outside its main component are compared with
+the members whose size allows a link, in blocks of bounded bytes and on full sets, and only links that join components
+leave a block, fewer than it has rows. So no group emits its pairs, and no link found by the bands is lost.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ SHINGLE = 5
 #: band with probability (1 - 0.75**4)**32 = 5e-6 if the coordinates were independent; neighbouring ones are not quite,
 #: so a test measures the recall.
 CIRCLE, COORDINATES, ROWS = 1 << 20, 128, 4
-#: Shingles on either side of a block of a family, about.
+#: Shingles on either side of a block of a bucket, about.
 BLOCK = 1 << 19
-#: Parts in which the members of a family look up their blocks.
+#: Parts in which the members of a bucket look up their blocks.
 SPREAD = 32
 _VALUES: list[np.ndarray] = []
 
@@ -112,7 +112,7 @@ def linked(shared, n_a, n_b):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components among the rows of each (family, window, s, m): rows outside the main component against all."""
+    """Links between components among the rows of each (bucket, window, s, m): rows outside the main component against all."""
     held: list[pa.RecordBatch] = []
 
     def done():
@@ -171,26 +171,39 @@ def _window(n):
 
 
 def _blocks_of(part: DataFrame) -> DataFrame:
-    """Rows (family, window, s, m, outside, comp, node) such that each node outside its family's main component meets all members that it may be linked with."""
-    sizes = part.groupBy("family", "comp").agg(F.count("*").alias("size"))
+    """Rows (bucket, window, s, m, outside, comp, node) such that each node outside its bucket's main component meets all members that it may be linked with."""
+    sizes = part.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = (
-        sizes.groupBy("family").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("family", F.col("top.comp").alias("main"))
+        sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("top.comp").alias("main"))
     )
-    open_ = part.join(main, "family").withColumns({"outside": F.col("comp") != F.col("main"), "window": _window("n"), "at": F.pmod(F.xxhash64("node"), F.lit(1 << 40))}).drop("main")
-    held = open_.groupBy("family", "window").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out"))
+    open_ = part.join(main, "bucket").withColumns({"outside": F.col("comp") != F.col("main"), "window": _window("n"), "at": F.pmod(F.xxhash64("node"), F.lit(1 << 40))}).drop("main")
+    held = open_.groupBy("bucket", "window").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out"))
     near = lambda: F.explode(F.array(F.col("window") - 1, F.col("window"), F.col("window") + 1))
-    room = held.select("family", "all", near().alias("window")).groupBy("family", "window").agg(F.sum("all").alias("all"))
-    cells = held.filter("out is not null").select("family", "window", F.ceil(F.col("out") / BLOCK).alias("ns")).join(room, ["family", "window"])
-    # cells are few; some copies of each, so that a large family is joined in several tasks
-    cells = cells.select("family", "window", "ns", F.ceil(F.col("all") / BLOCK).alias("nm"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    room = held.select("bucket", "all", near().alias("window")).groupBy("bucket", "window").agg(F.sum("all").alias("all"))
+    cells = held.filter("out is not null").select("bucket", "window", F.ceil(F.col("out") / BLOCK).alias("ns")).join(room, ["bucket", "window"])
+    # cells are few; some copies of each, so that a large bucket is joined in several tasks
+    cells = cells.select("bucket", "window", "ns", F.ceil(F.col("all") / BLOCK).alias("nm"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
     open_ = open_.withColumn("salt", (F.col("at") % SPREAD).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = open_.filter("outside").join(cells, ["family", "window", "salt"]).select("family", "window", (F.col("at") % F.col("ns")).alias("s"), every("nm").alias("m"), "outside", "comp", "node")
-    inside = open_.select("family", near().alias("window"), "salt", "at", "comp", "node").join(cells, ["family", "window", "salt"])
-    inside = inside.select("family", "window", every("ns").alias("s"), (F.col("at") % F.col("nm")).alias("m"), F.lit(False).alias("outside"), "comp", "node")
+    outside = open_.filter("outside").join(cells, ["bucket", "window", "salt"]).select("bucket", "window", (F.col("at") % F.col("ns")).alias("s"), every("nm").alias("m"), "outside", "comp", "node")
+    inside = open_.select("bucket", near().alias("window"), "salt", "at", "comp", "node").join(cells, ["bucket", "window", "salt"])
+    inside = inside.select("bucket", "window", every("ns").alias("s"), (F.col("at") % F.col("nm")).alias("m"), F.lit(False).alias("outside"), "comp", "node")
     return outside.unionByName(inside)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, a: str = "node", b: str = "centre") -> DataFrame:
+    """The columns ``a`` and ``b`` of those (node, centre) whose sets are alike."""
+    x, y = sets.select("node", F.col("set").alias("x")), sets.select(F.col("node").alias("centre"), F.col("set").alias("y"))
+    alike = linked(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))
+    return pairs.join(x, "node").join(y, "centre").filter(alike).select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def _unresolved(member: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    several = member.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi").select("bucket")
+    return member.join(several, "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept of each row.
 
@@ -208,19 +221,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     placed = classes.select("node", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("bands").alias("bucket"))
     # the centre of a bucket is its earliest document, which copies are often copies of
     centres = placed.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("first.node").alias("centre"))
-    stars = checkpointed(placed.join(centres, "bucket").select("node", "centre").distinct())
-    family = components(stars, "node", "centre").withColumnRenamed("component", "family")
-    family = checkpointed(family.join(classes.select("node", "row", "n"), "node"))
+    starred = checkpointed(placed.select("node", "bucket").join(centres, "bucket"))
+    ends = starred.filter("node != centre").select("node", "centre").distinct()
     # a node's set, from the text of one of its rows
-    sets = ready.join(family.select("row"), "row", "left_semi").mapInArrow(_sets, "node long, set array<long>")
+    wanted = starred.select("node").distinct().join(classes.select("node", "row", "n"), "node")
+    sets = ready.join(wanted.select("row"), "row", "left_semi").mapInArrow(_sets, "node long, set array<long>")
     sets = checkpointed(sets.groupBy("node").agg(F.first("set").alias("set")))
-    ends = stars.filter("node != centre").groupBy("node").agg(F.min("centre").alias("centre"))
-    first = ends.join(sets.withColumnRenamed("set", "x"), "node").join(sets.select(F.col("node").alias("centre"), F.col("set").alias("y")), "centre")
-    shared, a, b = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
-    links = checkpointed(first.filter(linked(shared, a, b)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    part = family.join(components(links, "a", "b"), "node", "left").select("node", "family", "n", F.coalesce("component", "node").alias("comp"))
-    keys = ("family", "window", "s", "m")
-    rows = _blocks_of(part).join(sets, "node").select(*keys, "outside", "comp", "set")
+    links = checkpointed(_verified(ends, sets))
+    part = wanted.select("node", "n").join(components(links, "a", "b"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
+    member = checkpointed(starred.select("bucket", "node").join(part, "node"))
+    # again, where a bucket holds several components: against its hub
+    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("degree")).withColumnRenamed("a", "node")
+    open_ = _unresolved(member).join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = open_.groupBy("bucket").agg(F.max(F.struct("degree", F.negative("node").alias("_"), "node", "comp")).alias("hub")).select("bucket", F.col("hub.node").alias("centre"), F.col("hub.comp").alias("to"))
+    # of a component, one pair with each hub would do, but which is not known: each member once
+    again = open_.join(hubs, "bucket").filter("comp != to").select("node", "centre", "comp", "to").distinct()
+    joined = _verified(again, sets, "comp", "to")
+    final = components(joined, "a", "b").withColumnRenamed("node", "comp")
+    part = part.join(final, "comp", "left").select("node", "n", F.coalesce("component", "comp").alias("comp"))
+    member = checkpointed(_unresolved(member.join(final, "comp", "left").select("bucket", "node", "n", F.coalesce("component", "comp").alias("comp"))))
+    keys = ("bucket", "window", "s", "m")
+    rows = _blocks_of(member).join(sets, "node").select(*keys, "outside", "comp", "set")
     more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
     final = components(more.distinct(), "a", "b").withColumnRenamed("node", "comp")
     part = part.select("node", "comp").join(final, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
