@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .temporal import EPISODE, ORDER, global_index, over
+from .temporal import EPISODE, ORDER, global_index, over, running
 
 
-def dense(ids: DataFrame, key: str, out: str, buckets: int = 256) -> DataFrame:
-    """Numbers 0, 1, ... in the order of a long key, in two steps: ranges are counted, then numbered on their own."""
-    span = ids.agg(F.min(key).alias("_lo"), ((F.max(key) - F.min(key)) / buckets).alias("_step"))
-    ranged = ids.join(F.broadcast(span)).withColumn("_b", F.when(F.col("_step") == 0, F.lit(0)).otherwise(F.floor((F.col(key) - F.col("_lo")) / F.col("_step")))).drop("_lo", "_step")
-    counts = ranged.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return ranged.join(F.broadcast(before), "_b").withColumn(out, (F.col("_before") + number).cast("long")).drop("_b", "_before")
+def dense(ids: DataFrame, key: str, out: str) -> DataFrame:
+    """Numbers 0, 1, ... in the order of a long key."""
+    return running(ids, key, {out: None})
 
 
 def renumbered(frames: DataFrame) -> DataFrame:
-    """Frames with dense episode numbers and a fresh global index; ``old_episode`` keeps the former number."""
-    numbers = dense(frames.select(EPISODE).distinct(), EPISODE, "new_episode").withColumnRenamed(EPISODE, "old_episode")
-    named = frames.withColumnRenamed(EPISODE, "old_episode").join(numbers, "old_episode").withColumnRenamed("new_episode", EPISODE)
-    return global_index(named)
+    """Frames with dense episode numbers and a fresh global index; ``old_episode`` keeps the former number.
+
+    Numbers and offsets are given on one table of episodes, which the frames join once.
+    """
+    episodes = running(frames.groupBy(F.col(EPISODE).alias("old_episode")).agg(F.count("*").alias("_n")), "old_episode", {EPISODE: None, "_from": "_n"}).drop("_n")
+    named = frames.withColumnRenamed(EPISODE, "old_episode").join(episodes, "old_episode")
+    return named.withColumn("index", F.col("_from") + F.col(ORDER)).drop("_from")
 
 
 def split(frames: DataFrame, keep: Column) -> DataFrame:
@@ -37,13 +35,13 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     for k, part in enumerate(parts):
         part = part.withColumn("source", F.lit(k))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    numbers = rows.select("source", EPISODE).distinct()
+    numbers = rows.groupBy("source", EPISODE).agg(F.count("*").alias("_n"))
     # one long that sorts as (source, episode)
     span = numbers.agg((F.max(EPISODE) - F.min(EPISODE) + 1).alias("_span"), F.min(EPISODE).alias("_lo"))
-    numbers = numbers.join(F.broadcast(span)).select("source", EPISODE, (F.col("source") * F.col("_span") + F.col(EPISODE) - F.col("_lo")).alias("_key"))
-    numbers = dense(numbers, "_key", "new_episode").drop("_key")
+    numbers = numbers.join(F.broadcast(span)).select("source", EPISODE, "_n", (F.col("source") * F.col("_span") + F.col(EPISODE) - F.col("_lo")).alias("_key"))
+    numbers = running(numbers, "_key", {"new_episode": None, "_from": "_n"}).drop("_key", "_n")
     named = rows.join(numbers, ["source", EPISODE]).withColumnRenamed(EPISODE, "old_episode").withColumnRenamed("new_episode", EPISODE)
-    return global_index(named)
+    return named.withColumn("index", F.col("_from") + F.col(ORDER)).drop("_from")
 
 
 def delete(frames: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -13,8 +13,21 @@ def dims(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("dim", "x"))
 
 
-def episode_stats(df: DataFrame, vector: str) -> DataFrame:
-    """Min, max, mean, population std and count of each component in each episode."""
+def vector_stats(df: DataFrame, vector: str, width: int, *keys: str) -> DataFrame:
+    """Keys, dim, min, max, mean, population std and count of each component of vectors of a known width.
+
+    Components are aggregated side by side and become rows afterwards, so rows are not multiplied by the width.
+    """
+    x = [F.get(vector, k) for k in range(width)]
+    of = lambda c: F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count(c).alias("count"))
+    held = df.groupBy(*keys).agg(*(of(c).alias(f"_{k}") for k, c in enumerate(x)))
+    return held.select(*keys, F.posexplode(F.array(*(f"_{k}" for k in range(width)))).alias("dim", "_s")).select(*keys, "dim", "_s.*").filter("count > 0")
+
+
+def episode_stats(df: DataFrame, vector: str, width: int | None = None) -> DataFrame:
+    """A01 for each episode."""
+    if width is not None:
+        return vector_stats(df, vector, width, EPISODE)
     return dims(df, vector, EPISODE).groupBy(EPISODE, "dim").agg(F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("count"))
 
 
@@ -101,9 +114,10 @@ def running_mean(df: DataFrame, value: str, weight: Column) -> DataFrame:
     return df.withColumn("running_mean", F.sum(F.col(value) * weight).over(w) / F.sum(weight).over(w))
 
 
-def inverted_index(df: DataFrame, key: str) -> DataFrame:
-    """The distinct episodes of each key, sorted, and how many."""
-    return df.select(key, EPISODE).distinct().groupBy(key).agg(F.sort_array(F.collect_list(EPISODE)).alias("episodes"), F.count("*").alias("n"))
+def inverted_index(df: DataFrame, key: str, span: int = 4096) -> DataFrame:
+    """The distinct episodes of each key, sorted, and how many; a list covers ``span`` episode numbers at most, so that no row grows with the data."""
+    chunk = F.floor(F.col(EPISODE) / span).alias("chunk")
+    return df.select(key, EPISODE).distinct().groupBy(key, chunk).agg(F.sort_array(F.collect_list(EPISODE)).alias("episodes"), F.count("*").alias("n"))
 
 
 def column_normaliser(stats: DataFrame, dim: str = "dim") -> DataFrame:

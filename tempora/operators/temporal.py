@@ -32,25 +32,62 @@ def delta_window(df: DataFrame, columns: list[str], offsets: list[int], episode:
 
 
 def wide_window(df: DataFrame, column: str, offsets: list[int], episode: str = EPISODE, order: str = ORDER) -> DataFrame:
-    """T02-T04 for many offsets: the episode's values once, as an array, and a slice of it for each frame."""
-    w = whole(over(episode, order))
-    values, n, at = F.collect_list(column).over(w), F.count(F.lit(1)).over(w), F.row_number().over(over(episode, order)) - 1
+    """T02-T04 for many offsets: the values from the least to the largest offset as an array, and those wanted of it."""
+    w, lo, hi = over(episode, order), min(0, *offsets), max(0, *offsets)
+    near = F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(lo, hi))
+    n, at = F.count(F.lit(1)).over(whole(w)), F.row_number().over(w) - 1
     wanted = F.array(*(F.lit(k) for k in offsets))
-    return df.withColumns({"_v": values, "_n": n.cast("int"), "_at": at}).withColumns({
-        f"{column}_window": F.transform(wanted, lambda k: F.get("_v", F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_at") + k)))),
+    place = lambda k: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_at") + k)) - F.greatest(F.lit(0), F.col("_at") + lo)
+    return df.withColumns({"_v": near, "_n": n.cast("int"), "_at": at}).withColumns({
+        f"{column}_window": F.transform(wanted, lambda k: F.get("_v", place(k))["v"]),
         f"{column}_is_pad": F.transform(wanted, lambda k: (F.col("_at") + k < 0) | (F.col("_at") + k >= F.col("_n"))),
     }).drop("_v", "_n", "_at")
 
 
-def offsets_from_lengths(episodes: DataFrame, blocks: int = 64) -> DataFrame:
-    """From and to of each episode, by a running sum in two steps: within ranges of episodes, then over the ranges."""
-    ranged = episodes.withColumn("_block", F.floor(F.col("episode_index") / F.lit(blocks)))
-    sums = ranged.groupBy("_block").agg(F.sum("length").alias("_sum"))
-    before = F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    running = F.sum("length").over(Window.partitionBy("_block").orderBy("episode_index"))
-    out = ranged.join(sums, "_block").withColumn("to_index", F.col("_before") + running)
-    return out.withColumn("from_index", F.col("to_index") - F.col("length")).drop("_block", "_before")
+def frame_offsets(deltas: dict[str, list[float]], fps: float, tolerance: float = 1e-4) -> dict[str, list[int]]:
+    """Seconds as numbers of frames, rounded half to even; those that are no multiple of 1 / fps are an error that names them."""
+    wrong = {c: [d for d in ds if abs(d * fps - round(d * fps)) / fps > tolerance] for c, ds in deltas.items()}
+    wrong = {c: ds for c, ds in wrong.items() if ds}
+    if wrong:
+        raise ValueError(f"no multiples of 1 / {fps} within {tolerance}: {wrong}")
+    return {c: [round(d * fps) for d in ds] for c, ds in deltas.items()}
+
+
+def delta_windows(df: DataFrame, deltas: dict[str, list[float]], fps: float, tolerance: float = 1e-4) -> DataFrame:
+    """Each column at the seconds given for it, as an array, and whether those lie outside the episode."""
+    for column, offsets in frame_offsets(deltas, fps, tolerance).items():
+        df = wide_window(df, column, offsets)
+    return df
+
+
+def query_timestamps(df: DataFrame, deltas: list[float], fps: float) -> DataFrame:
+    """The times of the frames that ``deltas`` seconds from each frame lead to, within the episode."""
+    return wide_window(df, "timestamp", frame_offsets({"timestamp": deltas}, fps)["timestamp"]).withColumnRenamed("timestamp_window", "query_timestamps")
+
+
+def running(rows: DataFrame, key: str, sums: dict[str, str | None], buckets: int = 1024) -> DataFrame:
+    """The sum of a column (None: the number of rows) over all rows before each, in the order of a long key, in two steps.
+
+    The keys fall into ranges of equal width, and a range that holds more than its share into ranges of its own; those are
+    summed (two for each of ``buckets`` at most), and each is walked through on its own.
+    """
+    span = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count("*").alias("_all"))
+    cut = lambda x, lo, hi, n: F.when(hi > lo, F.least(n - 1, F.floor((x.cast("double") - lo) / (hi.cast("double") - lo) * n))).otherwise(F.lit(0)).cast("long")
+    one = rows.join(F.broadcast(span)).withColumn("_b", cut(F.col(key), F.col("_lo"), F.col("_hi"), F.lit(buckets)))
+    own = one.groupBy("_b").agg(F.min(key).alias("_l"), F.max(key).alias("_h"), F.ceil(F.count("*") * buckets / F.first("_all")).alias("_k"))
+    two = one.drop("_lo", "_hi", "_all").join(F.broadcast(own), "_b").withColumn("_c", cut(F.col(key), F.col("_l"), F.col("_h"), F.col("_k"))).drop("_l", "_h", "_k")
+    total = lambda c: F.sum(c) if c else F.count("*")
+    held = two.groupBy("_b", "_c").agg(*(total(c).alias(f"_s{k}") for k, c in enumerate(sums.values())))
+    before = Window.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_b", "_c", *(F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_s{k}") for k in range(len(sums))))
+    here = Window.partitionBy("_b", "_c").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = {out: (F.col(f"_s{k}") + F.coalesce(total(c).over(here), F.lit(0))).cast("long") for k, (out, c) in enumerate(sums.items())}
+    return two.join(F.broadcast(held), ["_b", "_c"]).withColumns(inside).drop("_b", "_c", *(f"_s{k}" for k in range(len(sums))))
+
+
+def offsets_from_lengths(episodes: DataFrame) -> DataFrame:
+    """From and to of each episode, by a running sum."""
+    return running(episodes, EPISODE, {"from_index": "length"}).withColumn("to_index", F.col("from_index") + F.col("length"))
 
 
 def islands(df: DataFrame, value: str, episode: str = EPISODE, order: str = ORDER) -> DataFrame:
@@ -97,11 +134,14 @@ def transitions(df: DataFrame, column: str, threshold: float) -> DataFrame:
 
 def zero_runs(df: DataFrame, column: str, near_zero: float = 0.03, neighbour: float = 0.25, jump: float = 0.45, longest: int = 2) -> DataFrame:
     """Short runs near zero between large neighbours: first frame and length of each."""
-    runs = islands(df.withColumn("_zero", F.abs(column) <= near_zero), "_zero").filter(F.col("_zero") & (F.col("length") <= longest))
-    edge = df.select(EPISODE, F.col(ORDER).alias("_at"), F.col(column).alias("_x"))
-    before = runs.join(edge, (runs[EPISODE] == edge[EPISODE]) & (runs["first"] - 1 == edge["_at"])).select(runs["*"], F.col("_x").alias("before"))
-    both = before.join(edge, (before[EPISODE] == edge[EPISODE]) & (before["last"] + 1 == edge["_at"])).select(before["*"], F.col("_x").alias("after"))
+    w = over()
+    marked = df.withColumns({"_zero": F.abs(column) <= near_zero, "_before": F.lag(column).over(w), "_after": F.lead(column).over(w)})
+    change = F.coalesce(F.col("_zero") != F.lag("_zero").over(w), F.lit(True))
+    runs = marked.withColumn("_new", change.cast("int")).withColumn("_run", F.sum("_new").over(w)).filter("_zero").groupBy(EPISODE, "_run").agg(
+        F.min(ORDER).alias("first"), F.count("*").alias("length"), F.min_by("_before", ORDER).alias("before"), F.max_by("_after", ORDER).alias("after")
+    )
     large = F.least(F.abs("before"), F.abs("after")) >= neighbour
+    both = runs.filter((F.col("length") <= longest) & F.col("before").isNotNull() & F.col("after").isNotNull())
     return both.filter(large & (F.greatest(F.abs("before"), F.abs("after")) >= jump)).select(EPISODE, "first", "length", "before", "after")
 
 
@@ -134,6 +174,12 @@ def at_most_points(df: DataFrame, points: int) -> DataFrame:
     return df.withColumn("stride", F.ceil(n / points)).filter(F.col(ORDER) % F.col("stride") == 0)
 
 
+def change_sizes(df: DataFrame, before: str, after: str) -> DataFrame:
+    """Root of the mean square and largest size of the change of a column in each episode."""
+    d = F.col(after) - F.col(before)
+    return df.groupBy(EPISODE).agg(F.sqrt(F.avg(d * d)).alias("rms"), F.max(F.abs(d)).alias("max_change"))
+
+
 def evenly_spaced(df: DataFrame, k: int) -> DataFrame:
     """K frames of each episode, evenly spaced from the first to the last, rounded half to even."""
     n = df.groupBy(EPISODE).agg(F.count("*").alias("n"))

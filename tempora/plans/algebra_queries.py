@@ -37,10 +37,10 @@ def merge_union(spark, d):
     return a.merge([f.filter("episode_index % 3 = 0"), f.filter("episode_index % 2 = 0")]).select("source", "old_episode", "episode_index", "frame_index", "index")
 
 
-@query(_with_index(f"WITH {EVENT_FRAMES}, k AS (SELECT episode_index AS old_episode, frame_index FROM f WHERE episode_index NOT IN (SELECT user_id FROM events WHERE value > 99.5))"))
+@query(_with_index(f"WITH {EVENT_FRAMES}, k AS (SELECT episode_index AS old_episode, frame_index FROM f WHERE episode_index NOT IN (SELECT user_id FROM events WHERE value > 250))"))
 def delete_reindex(spark, d):
     f = event_frames(spark, d)
-    return a.delete(f, f.filter("value > 99.5").select("episode_index").distinct()).select("old_episode", "episode_index", "frame_index", "index")
+    return a.delete(f, f.filter("value > 250").select("episode_index").distinct()).select("old_episode", "episode_index", "frame_index", "index")
 
 
 SAME = """p AS (SELECT episode_index, string_agg(value::VARCHAR || task, '|' ORDER BY frame_index) AS fp FROM f GROUP BY 1)"""
@@ -52,10 +52,13 @@ def subtract_fingerprint(spark, d):
     return a.subtract(f, f.filter("episode_index % 3 = 1"), ["value", "task"]).groupBy("episode_index").agg(F.count("*").alias("frames"))
 
 
-@query(f"""WITH {EVENT_FRAMES}, {SAME} SELECT count_if(episode_index % 5 < 2)::BIGINT AS matched, count_if(episode_index % 5 >= 2)::BIGINT AS unmatched FROM p""")
+@query(f"""WITH {EVENT_FRAMES}, {SAME}, g AS (SELECT episode_index + 500 AS episode_index, frame_index, CASE WHEN episode_index % 5 = 1 AND frame_index = 3 THEN value + 1 ELSE value END AS value, task FROM f WHERE episode_index % 5 < 2),
+o AS (SELECT string_agg(value::VARCHAR || task, '|' ORDER BY frame_index) AS fp FROM g GROUP BY episode_index) SELECT count_if(fp IN (SELECT fp FROM o)) AS matched, count_if(fp NOT IN (SELECT fp FROM o)) AS unmatched FROM p""")
 def intersect_counts(spark, d):
+    """D04 against episodes with other numbers, some of them with one value changed."""
     f = event_frames(spark, d)
-    return a.intersect_counts(f, f.filter("episode_index % 5 < 2"), ["value", "task"])
+    other = f.filter("episode_index % 5 < 2").withColumn("value", F.when((F.col("episode_index") % 5 == 1) & (F.col("frame_index") == 3), F.col("value") + 1).otherwise(F.col("value")))
+    return a.intersect_counts(f, other.withColumn("episode_index", F.col("episode_index") + 500), ["value", "task"])
 
 
 @query("""WITH x AS (SELECT DISTINCT p_brand AS k FROM part WHERE p_size < 4), y AS (SELECT DISTINCT p_brand AS k FROM part WHERE p_size > 46)
@@ -147,27 +150,27 @@ def zero_reset_spikes(spark, d):
     return q.zero_resets(runs).select("episode_index", "events", "joints", "most_at_once")
 
 
-@query(f"""WITH {EVENT_FRAMES}, n AS (SELECT episode_index, count(DISTINCT CASE WHEN value > 90 THEN task END) AS n FROM f GROUP BY 1) SELECT episode_index, CASE WHEN n = 0 THEN 'missing_state' ELSE 'unsegmented_state' END AS type FROM n WHERE n < 2""")
+@query(f"""WITH {EVENT_FRAMES}, n AS (SELECT episode_index, count(DISTINCT CASE WHEN value > 150 THEN task END) AS n FROM f GROUP BY 1) SELECT episode_index, CASE WHEN n = 0 THEN 'missing_state' ELSE 'unsegmented_state' END AS type FROM n WHERE n < 2""")
 def missing_states(spark, d):
-    return q.missing_states(event_frames(spark, d).withColumn("state", F.when(F.col("value") > 90, F.col("task"))), "state")
+    return q.missing_states(event_frames(spark, d).withColumn("state", F.when(F.col("value") > 150, F.col("task"))), "state")
 
 
-@query("SELECT c_custkey AS episode_index FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id AS episode_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_frames(spark, d):
-    episodes = table(spark, d, "customer").select(F.col("c_custkey").alias("episode_index"))
-    return q.missing_frames(episodes, table(spark, d, "orders").select(F.col("o_custkey").alias("episode_index")))
+    of = lambda name: table(spark, d, name).select(F.col("doc_id").alias("episode_index"))
+    return q.missing_frames(of("documents"), of("labels"))
 
 
-@query("""WITH c AS (SELECT conv_id AS episode_index, list(DISTINCT left(text, 30)) AS p FROM conversations GROUP BY 1)
+@query("""WITH c AS (SELECT conv_id AS episode_index, list(DISTINCT text) AS p FROM conversations GROUP BY 1)
 SELECT episode_index, 'multi_sentence_prompt' AS type FROM c WHERE len(list_filter(p, lambda x: regexp_matches(x, '[,.]'))) > 0 UNION ALL SELECT episode_index, 'multiple_task_assignments' FROM c WHERE len(p) > 1""")
 def prompt_issues(spark, d):
-    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(F.collect_set(F.substring("text", 1, 30)).alias("p"))
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(F.collect_set("text").alias("p"))
     return q.prompt_issues(c, "p")
 
 
 @query()
 def prompt_issues_whole(spark, d):
-    """On whole texts, where prompt_issues and its SQL read 30 characters; three texts of each conversation decide, however many it has."""
+    """The same from three texts of each conversation, which decide however many it has."""
     t = F.col("text")
     three = F.array_compact(F.array(F.min(t), F.max(t), F.min(F.when(t.rlike("[,.]"), t))))
     return q.prompt_issues(table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(three.alias("p")), "p")

@@ -19,12 +19,12 @@ def _rounded(df, *columns, digits=6):
 
 @query(f"{STATS} SELECT episode_index, dim, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std, count FROM st")
 def episode_stats(spark, d):
-    return _rounded(s.episode_stats(order_frames(spark, d), "action"), "min", "max", "mean", "std")
+    return _rounded(s.episode_stats(order_frames(spark, d), "action", 4), "min", "max", "mean", "std")
 
 
 @query(f"{DIMS} SELECT dim, round(min(x), 3) AS min, round(max(x), 3) AS max, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS std, count(x)::BIGINT AS count FROM x GROUP BY 1")
 def merge_stats(spark, d):
-    return _rounded(s.merge_stats(s.episode_stats(order_frames(spark, d), "action"), "dim"), "min", "max", "mean", "std", digits=3)
+    return _rounded(s.merge_stats(s.episode_stats(order_frames(spark, d), "action", 4), "dim"), "min", "max", "mean", "std", digits=3)
 
 
 @query(f"""WITH {EVENT_FRAMES} SELECT task, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS count
@@ -113,9 +113,9 @@ def running_mean(spark, d):
     return _rounded(s.running_mean(event_frames(spark, d), "value", 1 + F.col("frame_index") % 3), "running_mean", digits=7).select("episode_index", "frame_index", "running_mean")
 
 
-@query("SELECT task, array_to_string(list_sort(list(DISTINCT e)), ',') AS episodes, count(DISTINCT e) AS n FROM (SELECT event_type AS task, user_id AS e FROM events) GROUP BY 1")
+@query("SELECT task, e // 16 AS chunk, array_to_string(list_sort(list(DISTINCT e)), ',') AS episodes, count(DISTINCT e) AS n FROM (SELECT event_type AS task, user_id AS e FROM events) GROUP BY 1, 2")
 def inverted_index(spark, d):
-    return s.inverted_index(event_frames(spark, d), "task").select("task", F.array_join(F.transform("episodes", lambda e: e.cast("string")), ",").alias("episodes"), "n")
+    return s.inverted_index(event_frames(spark, d), "task", 16).select("task", "chunk", F.array_join(F.transform("episodes", lambda e: e.cast("string")), ",").alias("episodes"), "n")
 
 
 @query("SELECT conv_id AS episode_index, array_to_string(list_sort(list(DISTINCT role)), ',') AS tasks, count(*) AS length FROM conversations GROUP BY 1")

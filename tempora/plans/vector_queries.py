@@ -18,7 +18,7 @@ def _per_row(expression: str) -> str:
 
 def _normalised(spark, d, f):
     frames = order_frames(spark, d)
-    stats = s.column_normaliser(s.merge_stats(s.episode_stats(frames, "action"), "dim"))
+    stats = s.column_normaliser(s.vector_stats(frames, "action", 4))
     out = frames.join(F.broadcast(stats)).select("episode_index", "frame_index", F.posexplode(f(F.col("action"), F.col("mean"), F.col("std"), F.col("min"), F.col("max"))).alias("dim", "x"))
     return out.withColumn("x", F.round("x", 6))
 
@@ -47,11 +47,11 @@ def mean_pool(spark, d):
     return v.mean_pool(table(spark, d, "embeddings"), "embedding", "label").select("label", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH {ORDER_FRAMES}, x AS (SELECT episode_index, i, action[i] AS x FROM o, (SELECT unnest(range(1, 5)) AS i) WHERE episode_index < 2000), st AS (SELECT episode_index, i, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1, 2),
+@query(f"""WITH {ORDER_FRAMES}, x AS (SELECT episode_index, i, action[i] AS x FROM o, (SELECT unnest(range(1, 5)) AS i)), st AS (SELECT episode_index, i, avg(x) AS m, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1, 2),
 p AS (SELECT episode_index, i - 1 AS place, m AS x FROM st UNION ALL SELECT episode_index, i + 3, sd FROM st UNION ALL SELECT episode_index, i + 7, lo FROM st UNION ALL SELECT episode_index, i + 11, hi FROM st), n AS (SELECT episode_index, sqrt(sum(x * x)) AS n FROM p GROUP BY 1)
 SELECT episode_index, place::INTEGER AS place, round(x / n, 6) AS x FROM p JOIN n USING (episode_index)""")
 def stat_embedding(spark, d):
-    st = s.episode_stats(order_frames(spark, d), "action")
+    st = s.episode_stats(order_frames(spark, d), "action", 4)
     return v.stat_embedding(st, "episode_index", 16).select("episode_index", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MANDATORY = {"timestamp": T.FloatType(), "frame_index": T.LongType(), "episode_index": T.LongType(), "index": T.LongType(), "task_index": T.LongType()}
 CHUNK = 1000
-POINTER = "version string, info string, schema string"
+POINTER = "number long, version string, info string, schema string"
 
 
 @dataclass
@@ -34,20 +34,37 @@ class EpisodicDataset:
 
 
 def write(data: EpisodicDataset, path: str, version: str) -> None:
-    """A new version is written beside the old ones, and a pointer is replaced last, so readers see one of them."""
+    """A new version is written beside the old ones, then a line that names it is added; readers take the last line.
+
+    The line's file appears in one step and nothing is deleted, so readers see a whole version at any time, also if the
+    writer dies in between. One writer at a time.
+    """
     chunked = data.frames.withColumn("episode_chunk", F.floor(F.col("episode_index") / CHUNK))
     chunked.repartition("episode_chunk").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
     data.episodes.write.mode("overwrite").json(f"{path}/{version}/episodes")
     data.tasks.write.mode("overwrite").json(f"{path}/{version}/tasks")
     spark = data.frames.sparkSession
+    last = latest(spark, f"{path}/versions", POINTER)
     # the frames' schema goes along: a version without frames has no file to infer it from
-    one = spark.createDataFrame([(version, json.dumps(data.info, sort_keys=True), chunked.schema.json())], POINTER)
-    one.coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json()))
+
+
+def append_row(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
+    """One more line of a table of JSON lines."""
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(path)
+
+
+def latest(spark: SparkSession, path: str, schema: str, by: str = "number") -> Row | None:
+    """The line with the largest number; None if there is no table yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).json(path).orderBy(F.desc(by)).first()
 
 
 def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> EpisodicDataset:
     """The version that the pointer names; of listed episodes only their chunks are read (partition pruning)."""
-    version, info, schema = spark.read.schema(POINTER).json(f"{path}/current").first()
+    _, version, info, schema = latest(spark, f"{path}/versions", POINTER)
     frames = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/{version}/frames")
     table = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{path}/{version}/episodes")
     if episodes is not None:
@@ -58,11 +75,14 @@ def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> E
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines; malformed ones are skipped, and of each key the last line of the last file counts."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_at")))
-    return rows.filter(F.col(key).isNotNull()).withColumn("_last", last).filter("_last = 1").drop("_file", "_at", "_last")
+    """JSON lines; malformed ones are skipped, partly malformed ones too, and of each key the last line of the last file counts.
+
+    Lines are in the order of their file's path, of the part of the file, and of the lines in it.
+    """
+    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_block"), F.desc("_at")))
+    return rows.filter(F.col(key).isNotNull() & F.col("_bad").isNull()).withColumn("_last", last).filter("_last = 1").drop("_file", "_block", "_at", "_last", "_bad")
 
 
 def head(frames: DataFrame, rows: int, *columns: str) -> DataFrame:

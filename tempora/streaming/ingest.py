@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.dataset import append_row, latest
+
 FRAMES = "episode_index long, frame_index long, timestamp double, value double, last boolean"
 
 
@@ -35,22 +37,20 @@ def record(stream: DataFrame, fps: float) -> DataFrame:
 class FifoBuffer:
     """The last ``capacity`` frames that a stream has brought, with an index that goes on over batches.
 
-    Each batch writes a new version (bounded by the capacity) and then moves the pointer; a batch that comes again after
-    a failure finds its number there and changes nothing.
+    Each batch writes a new version (bounded by the capacity) and then adds a line that names it; nothing is deleted, so
+    a crash in between leaves the version before. A batch that comes again after a failure finds its number there and
+    changes nothing.
     """
 
+    POINTER = "number long, last long"
+
     def __init__(self, spark: SparkSession, path: str, capacity: int):
         self.spark, self.path, self.capacity = spark, path, capacity
 
     def _current(self) -> tuple[int, int] | None:
         """Batch and last index of the newest version."""
-        try:
-            rows = self.spark.read.schema("batch long, last long").json(f"{self.path}/pointer").collect()
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return tuple(rows[0]) if rows else None
+        row = latest(self.spark, f"{self.path}/versions", self.POINTER)
+        return tuple(row) if row else None
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/batch={self._current()[0]}")
@@ -67,7 +67,11 @@ class FifoBuffer:
         rows = numbered.unionByName(self.read().drop("slot")) if now else numbered
         kept = rows.filter(F.col("index") > last + n - self.capacity).withColumn("slot", F.col("index") % self.capacity)
         kept.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        self.spark.createDataFrame([(number, last + n)], "batch long, last long").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointer")
+        append_row(self.spark, f"{self.path}/versions", self.POINTER, (number, last + n))
+
+    def counts(self) -> DataFrame:
+        """Distinct episodes and frames in the buffer."""
+        return self.read().agg(F.count_distinct("episode_index").alias("episodes"), F.count("*").alias("frames"))
 
     def sink(self, stream: DataFrame, order: list[str], checkpoint: str):
         return stream.writeStream.foreachBatch(lambda df, k: self.add(df, k, order)).option("checkpointLocation", checkpoint)

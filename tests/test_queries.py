@@ -34,6 +34,7 @@ def test_query(spark, db, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     expected = sorted(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in columns) for r in found.fetchall())
+    assert expected
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == expected
 
 
