@@ -181,11 +181,12 @@ def _anchors(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 ids, rows = doc[text], row[text]
                 lo, hi = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
                 plain = (lo == hi) & (lo == rows[begin])  # the row says it all
-                yield pa.record_batch({
+                out = pa.record_batch({
                     "anchor": pa.array(key[begin]), "lo": pa.array(lo, mask=plain), "hi": pa.array(hi, mask=plain), "row": pa.array(rows[begin]), "place": pa.array(place[begin]),
                     "again": pa.array((count > 1) | np.logical_or.reduceat(twice, begin)),
                     "more": pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(rows), pa.array(place)], ["row", "place"]), mask=pa.array(count == 1)),
                 })
+                yield out.take(pa.array(np.argsort(text[begin], kind="stable")))  # in the order of the rows: neighbours compress
 
     return run
 
