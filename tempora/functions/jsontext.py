@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def extract(text: Column) -> Column:
@@ -29,3 +30,21 @@ def merge(base: Column, update: Column, fields: list[str]) -> Column:
 def flags(text: Column) -> Column:
     """Flagged episodes, from a list or from an object that holds it."""
     return F.coalesce(F.from_json(text, "array<bigint>"), F.from_json(text, "struct<flagged_episodes:array<bigint>>")["flagged_episodes"])
+
+
+def typed(text: Column, schema: str, lengths: dict[str, int] | None = None) -> Column:
+    """JSON text as a value of a schema with exactly its keys; other keys, other types, and lists of other lengths than those stated for a field are errors that say so."""
+    kind = T.StructType.fromDDL(schema)
+    raw = F.from_json(text, "map<string,string>")
+    value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    names = F.array(*(F.lit(f.name) for f in kind.fields))
+    keys = F.when(F.array_sort(F.map_keys(raw)) != F.array_sort(names), F.concat(F.lit("keys "), F.array_join(F.array_sort(F.map_keys(raw)), ","), F.lit(" instead of "), F.array_join(F.array_sort(names), ",")))
+    types = [F.when(raw[f.name].isNotNull() & value[f.name].isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")) for f in kind.fields]
+    sizes = [F.when(F.size(value[n]) != k, F.concat(F.lit(f"{n} has "), F.size(value[n]).cast("string"), F.lit(f" items instead of {k}"))) for n, k in (lengths or {}).items()]
+    wrong = F.coalesce(F.when(raw.isNull(), F.lit("no JSON object")), keys, *types, *sizes)
+    return F.struct(F.when(wrong.isNull(), value).alias("value"), wrong.alias("error"))
+
+
+def safe(value: Column) -> Column:
+    """A value as JSON text; numbers that JSON lacks are null."""
+    return F.regexp_replace(F.to_json(value, {"ignoreNullFields": "false"}), r'"(?:NaN|-?Infinity)"', "null")

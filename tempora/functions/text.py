@@ -244,7 +244,7 @@ def prompt_with_target(template: Column, target: Column) -> Column:
 
 def prompt(action: Column, target: Column, direction: Column, reference: Column) -> Column:
     """X11: the prompt of a scenario."""
-    give = F.concat(F.lit("Give the "), target, F.lit(" to me"))
+    give = F.concat(F.lit("Give me the "), target)
     where = F.when(direction.isNull(), "").when(reference.isNull(), F.concat(F.lit(" on the "), direction)).otherwise(F.concat(F.lit(" to the "), direction, F.lit(" of the "), reference))
     return F.when(action == "give", give).otherwise(F.concat(F.lit("Pick up the "), target, where))
 
@@ -283,9 +283,23 @@ def several_sentences(text: Column) -> Column:
     return text.rlike("[,.]")
 
 
+#: Words for counts (fixed values).
+COUNTS = {"zero": 0, "none": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+
+
 def count_text(text: Column) -> Column:
-    """The first number of a text."""
-    return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).try_cast("long")
+    """The first word for a count (in their order) that stands in a text, else its first number."""
+    low, out = F.lower(stripped(text)), None
+    for word, n in COUNTS.items():
+        hit = low.rlike(rf"\b{word}\b")
+        out = F.when(hit, n) if out is None else out.when(hit, n)
+    return out.otherwise(F.nullif(F.regexp_extract(low, r"(\d+)", 1), F.lit("")).try_cast("long")).cast("long")
+
+
+def colour(text: Column) -> Column:
+    """A colour in lower case with single spaces, at most 64 characters; null for nothing and for unclear ones."""
+    clean = F.regexp_replace(F.lower(stripped(text)), r"\s+", " ")
+    return F.when(~clean.isin("", "null", "none", "unknown", "unclear", "n/a"), F.substring(clean, 1, 64))
 
 
 def count_bucket(n: Column) -> Column:

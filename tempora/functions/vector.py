@@ -123,3 +123,13 @@ def grasp_event(df: DataFrame, column: str, episode: str = "episode_index", orde
     w = Window.partitionBy(episode).orderBy(order)
     d = df.withColumn("_d", F.abs(F.col(column) - F.lag(column).over(w))).filter("_d IS NOT NULL")
     return d.groupBy(episode).agg(F.min_by(order, F.struct(-F.col("_d"), F.col(order))).alias("grasp_frame"), F.max("_d").alias("grasp_change"))
+
+
+def kmeans(df: DataFrame, vector: str, clusters: int, rounds: int, seed: int = 7) -> DataFrame:
+    """``df`` with the cluster of each vector, by Lloyd's rounds."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    model = KMeans(k=clusters, maxIter=rounds, seed=seed, featuresCol="_v", predictionCol="cluster").fit(ready)
+    return model.transform(ready).drop("_v")

@@ -124,3 +124,11 @@ def column_normaliser(stats: DataFrame, dim: str = "dim") -> DataFrame:
     """One row with the arrays of means, stds, minima and maxima by component."""
     at = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(dim, c))), lambda s: s[c]).alias(c)
     return stats.agg(*(at(c) for c in ("mean", "std", "min", "max")))
+
+
+def bincount(df: DataFrame, group: str, value: str, minlength: int) -> DataFrame:
+    """How often each value from 0 to ``minlength`` - 1 (or more, if there is more) stands in each group, 0 where it does not."""
+    counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
+    top = F.greatest(F.lit(minlength - 1), F.max(value))
+    every = counts.groupBy(group).agg(top.alias("_top")).select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top").cast("long"))).alias(value))
+    return every.join(counts, [group, value], "left").select(group, value, F.coalesce("n", F.lit(0)).alias("n"))

@@ -196,7 +196,7 @@ def count_buckets(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), x.count_bucket(F.col("p_size") - 10).alias("bucket"))
 
 
-@query(f"""WITH {PROMPT_SQL} SELECT id, CASE WHEN kind < 2 THEN 'Give the ' || name || ' to me' WHEN kind < 7 THEN 'Pick up the ' || name || CASE WHEN kind = 6 THEN '' WHEN kind = 4 THEN ' on the left' WHEN kind = 5 THEN ' on the right' WHEN kind = 2 THEN ' to the left of the ' || brand ELSE ' to the right of the ' || brand END END AS prompt FROM pr""")
+@query(f"""WITH {PROMPT_SQL} SELECT id, CASE WHEN kind < 2 THEN 'Give me the ' || name WHEN kind < 7 THEN 'Pick up the ' || name || CASE WHEN kind = 6 THEN '' WHEN kind = 4 THEN ' on the left' WHEN kind = 5 THEN ' on the right' WHEN kind = 2 THEN ' to the left of the ' || brand ELSE ' to the right of the ' || brand END END AS prompt FROM pr""")
 def prompt_generation(spark, d):
     p = x.parse_prompt(F.col("prompt"))
     new = F.when(p["kind"].isNotNull(), x.prompt(p["action"], p["target"], p["direction"], p["reference"]))
@@ -225,9 +225,20 @@ def truthiness(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), x.truth(v).alias("truth"))
 
 
-@query("SELECT part AS id, nullif(regexp_extract(name, '(\\d+)', 1), '')::BIGINT AS number FROM (SELECT p_partkey AS part, p_brand || ' ' || p_type AS name FROM part)")
+COUNT_CASES = [("two ducks", 2), ("Exactly 7 objects, 8 at most", 7), ("none", 0), ("TEN", 10), ("stone, 4", 4), ("many", None), ("one or three", 1), ("", None)]
+COLOUR_CASES = [(" Dark   Blue ", "dark blue"), ("unclear", None), ("RED", "red"), ("x" * 70, "x" * 64), ("N/A", None)]
+
+
+@query(cases_sql(COUNT_CASES, "c1::BIGINT AS number"))
 def count_text(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), x.count_text(F.concat_ws(" ", "p_brand", "p_type")).alias("number"))
+    """X16."""
+    return cases(spark, d, [c[:1] for c in COUNT_CASES]).select("id", x.count_text(F.col("c0")).alias("number"))
+
+
+@query(cases_sql(COLOUR_CASES, "c1 AS colour"))
+def colours(spark, d):
+    """X16."""
+    return cases(spark, d, [c[:1] for c in COLOUR_CASES]).select("id", x.colour(F.col("c0")).alias("colour"))
 
 
 @query("SELECT DISTINCT w AS word, min(p_partkey) AS first, count(*) AS uses FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY 1")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -111,3 +113,12 @@ def manifest(episodes: DataFrame) -> DataFrame:
     """One JSON text for each chunk of episodes."""
     row = F.struct("episode_index", "length", "tasks")
     return episodes.groupBy(F.floor(F.col("episode_index") / CHUNK).alias("chunk")).agg(F.to_json(F.sort_array(F.collect_list(row))).alias("manifest"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one use, below the one that spark.checkpoint.dir names; in one process a temporary one serves."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and (context.master.startswith("local-") or not context.master.startswith("local")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{folder or tempfile.mkdtemp(prefix='scratch-')}/{name}-{uuid.uuid4().hex}"
