@@ -103,3 +103,21 @@ def rescale_gripper(frames: DataFrame, column: str, limit: float = 1.5, factor:
     """An episode whose values exceed the limit is in percent."""
     top = F.max(F.abs(column)).over(whole(over()))
     return frames.withColumn(column, F.when(top > limit, F.col(column) / factor).otherwise(F.col(column)))
+
+
+def scan(frames: DataFrame, action: str, state: str, threshold: float = GRIPPER, seconds: float = 0.3, lead: int = 3, lag: int = 1, stuck: dict | None = None, runs: DataFrame | None = None, stage: str | None = None, prompts: DataFrame | None = None) -> DataFrame:
+    """Q01: episode_index and reason of every detector that finds something: Q02 on action and state, Q03, Q04, Q05 on ``runs`` (see zero_resets), Q06 on ``stage``, Q07 and Q08 on ``prompts`` (episode_index, prompts)."""
+    said = lambda rows, reason: rows.select(EPISODE, F.lit(reason).alias("reason"))
+    found = [said(early_transition(frames, c, threshold, seconds), "early_gripper_transition") for c in (action, state)]
+    found.append(said(stuck_closed(frames, state, action, threshold, **(stuck or {})), "stuck_closed_gripper_no_action"))
+    found.append(said(unmatched_transitions(frames, state, action, lead, lag, threshold, threshold), "state_gripper_transition_without_action"))
+    if runs is not None:
+        found.append(said(zero_resets(runs), "joint_zero_reset_spike"))
+    if stage is not None:
+        found.append(missing_states(frames, stage).select(EPISODE, F.col("type").alias("reason")))
+    if prompts is not None:
+        found.append(prompt_issues(prompts, "prompts").select(EPISODE, F.col("type").alias("reason")))
+    every = found[0]
+    for rows in found[1:]:
+        every = every.union(rows)
+    return every.distinct()

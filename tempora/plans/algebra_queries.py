@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import algebra as a
 from ..operators import quality as q
 from ..sources.adapters import EVENT_FRAMES, ORDER_FRAMES, event_frames, order_frames, table
-from .registry import query
+from .registry import ORACLES, query
 
 DENSE = "dense_rank() OVER (ORDER BY {}) - 1"
 FLIPS = f"""WITH {EVENT_FRAMES}, g AS (SELECT *, (event_id * 37) % 100 AS act FROM f),
@@ -220,3 +220,25 @@ def trim_from_seconds(spark, d):
     f = event_frames(spark, d)
     cut = f.groupBy("episode_index").agg(F.min_by("frame_index", F.struct(F.abs(F.col("timestamp") - 300000), "frame_index")).alias("cut"))
     return f.join(cut, "episode_index").filter(F.col("frame_index") >= F.col("cut")).select("episode_index", "frame_index", "value")
+
+
+_ACT = "(event_id * 37) % 100"
+_STUCK = f"""WITH {EVENT_FRAMES}, x AS (SELECT *, {_ACT} AS act, abs({_ACT} - lag({_ACT}) OVER w) AS dd FROM f WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index))
+SELECT episode_index FROM x GROUP BY 1 HAVING avg((value > 50)::INT) >= 0.35 AND max(abs(act)) <= 98 AND coalesce(max(dd), 0) <= 97"""
+
+
+@query(
+    " UNION ".join(
+        f"SELECT episode_index, {reason} AS reason FROM ({sql})"
+        for reason, sql in (
+            ("'early_gripper_transition'", ORACLES["early_transition"]), ("'early_gripper_transition'", ORACLES["early_transition"].replace("value > 50", f"{_ACT} > 50")), ("'stuck_closed_gripper_no_action'", _STUCK),
+            ("'state_gripper_transition_without_action'", ORACLES["transition_without_action"]), ("'joint_zero_reset_spike'", ORACLES["zero_reset_spikes"]), ("type", ORACLES["missing_states"]), ("type", ORACLES["prompt_issues"]),
+        )
+    )
+)
+def quality_scan(spark, d):
+    """Q01: all detectors together, each as in its own query."""
+    f = event_frames(spark, d).withColumns({"act": (F.col("event_id") * 37) % 100, "state": F.when(F.col("value") > 150, F.col("task"))})
+    runs = f.filter("value < 20").select("episode_index", F.col("frame_index").alias("first"), (F.col("event_id") % 6).alias("dim"))
+    prompts = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(F.collect_set("text").alias("prompts"))
+    return q.scan(f, "act", "value", 50, 86400, 3, 1, {"ratio": 0.35, "action_max": 98, "delta_max": 97}, runs, "state", prompts)
