@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -164,6 +165,22 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[t
         at = to
 
 
+def released(run):
+    """``run`` (over the batches of a task), after which the worker, which goes on to other tasks, gives unused memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _KEPT.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def to_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array out of bytes and offsets."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())

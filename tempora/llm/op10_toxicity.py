@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import BYTE_BASE, blocks, crc_mod, mix, prefix_hash, span_hash, table
+from .common import BYTE_BASE, blocks, crc_mod, mix, prefix_hash, released, span_hash, table
 from .sampling import labelled_sample
 
 #: Documents to learn from, and entries of the lexicon, at most about.
@@ -216,13 +216,13 @@ class Model:
         chosen = labelled_sample(docs, labels, "toxic", learn, sample)
         sizes = {r["label"]: r["n"] for r in chosen.filter("part < 0.5").groupBy("label").agg(F.count("*").alias("n")).collect()}
         toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-        counted = chosen.filter("part < 0.5").select("text", "label").mapInArrow(_counts, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+        counted = chosen.filter("part < 0.5").select("text", "label").mapInArrow(released(_counts), "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
         rate = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
         best = counted.filter(F.col("t") >= max(2, toxic // 100)).withColumn("w", rate).filter("w > 1.5").orderBy(F.desc(F.col("w") * F.log1p("t")), "key").limit(LEXICON).collect()
         names = np.array([r["key"] for r in best], np.int64).view(np.uint64)
         order = np.argsort(names)
         self.names, self.weight = names[order], np.array([r["w"] for r in best], float)[order]
-        rows = chosen.filter("part >= 0.5").select("text", "label", "part").mapInArrow(_rows(self.names, self.weight), "label int, part double, x array<double>").collect()
+        rows = chosen.filter("part >= 0.5").select("text", "label", "part").mapInArrow(released(_rows(self.names, self.weight)), "label int, part double, x array<double>").collect()
         rows.sort(key=lambda r: (r["part"], r["x"]))
         x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
         y, part = np.array([r["label"] for r in rows], float), np.array([r["part"] for r in rows])
@@ -246,7 +246,7 @@ class Model:
 def _scored(model, out: str, text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in blocks(batch, text):
+            for part, data, offsets in blocks(batch, text, 1 << 18):
                 columns = [*part.columns, pa.array(model.score(data, offsets))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, out])
 
@@ -255,7 +255,7 @@ def _scored(model, out: str, text: str) -> Callable:
 
 def scored(docs: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score in the new column ``out``."""
-    return docs.mapInArrow(_scored(model, out, text), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(released(_scored(model, out, text)), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", folds: int = 5, held_out: int = 0) -> DataFrame:
