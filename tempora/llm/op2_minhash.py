@@ -4,7 +4,7 @@ One permutation places a shingle on a circle, a second gives the values there; c
 value k places on from the shingles, so all coordinates of a shingle are one contiguous stretch of the value table.
 Documents with equal sets collapse into one node first, named by a digest of the whole set, so ids play no part in the
 linking. Signatures fall into bands; the nodes of a bucket form a star around the earliest of them, and each node is
-verified against the centres of its buckets. Where a bucket's members are not all in one component by then, they are
+verified against the centre that it shares most buckets with. Where a bucket's members are not all in one component by then, they are
 verified against its hub, the member with most links so far. Those still outside its main component are compared with
 the members whose size allows a link, in blocks of bounded bytes and on full sets, and only links that join components
 leave a block, fewer than it has rows. So no group emits its pairs, and no link found by the bands is lost.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Words, blocks, checkpointed, gram_hash, mix, prefix_hash, span_hash, spread, table
+from .common import WORD_BASE, Words, blocks, checkpointed, gram_hash, mix, prefix_hash, released, span_hash, spread, table
 from .components import components
 
 SHINGLE = 5
@@ -77,7 +77,7 @@ def signatures(value: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
+        for part, data, offsets in blocks(batch, "text", 1 << 18):
             value, count = shingle_sets(data, offsets)
             sign = signatures(value, count).astype(np.uint64).reshape(len(count), -1, ROWS)
             band = np.zeros(sign.shape[:2], np.uint64) + np.arange(1, sign.shape[1] + 1, dtype=np.uint64)
@@ -100,7 +100,7 @@ def _digests(value: np.ndarray, count: np.ndarray) -> Iterator[bytes]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, offsets in blocks(batch, "text"):
+        for _, data, offsets in blocks(batch, "text", 1 << 18):
             value, count = shingle_sets(data, offsets)
             node = np.frombuffer(b"".join(d[:8] for d in _digests(value, count)), np.int64)
             yield pa.record_batch({"node": pa.array(node), "set": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value.view(np.int64)))})
@@ -215,17 +215,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     equal sets by 128 bits of a digest of them. Other columns are not read.
     """
     ready = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    signed = checkpointed(ready.mapInArrow(_signed, "doc long, row long, n long, node long, check long, bands array<long>"))
+    signed = checkpointed(ready.mapInArrow(released(_signed), "doc long, row long, n long, node long, check long, bands array<long>"))
     name = ["node", "check"]
     classes = checkpointed(signed.filter("n > 0").groupBy(*name).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     placed = classes.select("node", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("bands").alias("bucket"))
     # the centre of a bucket is its earliest document, which copies are often copies of
     centres = placed.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("first.node").alias("centre"))
     starred = checkpointed(placed.select("node", "bucket").join(centres, "bucket"))
-    ends = starred.filter("node != centre").select("node", "centre").distinct()
+    # a node's centre: the one it shares most buckets with
+    votes = starred.filter("node != centre").groupBy("node", "centre").agg(F.count("*").alias("votes"))
+    ends = votes.groupBy("node").agg(F.max(F.struct("votes", F.negative("centre").alias("_"), "centre")).alias("top")).select("node", F.col("top.centre").alias("centre"))
     # a node's set, from the text of one of its rows
     wanted = starred.select("node").distinct().join(classes.select("node", "row", "n"), "node")
-    sets = ready.join(wanted.select("row"), "row", "left_semi").mapInArrow(_sets, "node long, set array<long>")
+    sets = ready.join(wanted.select("row"), "row", "left_semi").mapInArrow(released(_sets), "node long, set array<long>")
     sets = checkpointed(sets.groupBy("node").agg(F.first("set").alias("set")))
     links = checkpointed(_verified(ends, sets))
     part = wanted.select("node", "n").join(components(links, "a", "b"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"))
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     member = checkpointed(_unresolved(member.join(final, "comp", "left").select("bucket", "node", "n", F.coalesce("component", "comp").alias("comp"))))
     keys = ("bucket", "window", "s", "m")
     rows = _blocks_of(member).join(sets, "node").select(*keys, "outside", "comp", "set")
-    more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
+    more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_compare), "a long, b long")
     final = components(more.distinct(), "a", "b").withColumnRenamed("node", "comp")
     part = part.select("node", "comp").join(final, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
     of_class = classes.select(*name, "least", "row").join(part, "node", "left").select(*name, "least", "row", F.coalesce("comp", "node").alias("comp"))
