@@ -131,3 +131,10 @@ def overlay(original: DataFrame, reviewed: DataFrame, key: str, fields: list[str
     """Reviewed values over original ones, field by field."""
     r = reviewed.select(F.col(key), *(F.col(f).alias(f"_r_{f}") for f in fields), F.lit(True).alias("_r"))
     return original.join(r, key, "full").select(key, *(F.coalesce(f"_r_{f}", f).alias(f) for f in fields), F.coalesce("_r", F.lit(False)).alias("reviewed"))
+
+
+def remapped(rows: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Cached rows (source, episode_index, frame_index, ...) under the numbers of a merge: episodes holds source, old_episode, episode_index and from_index."""
+    new = episodes.select("source", F.col("old_episode").alias(EPISODE), F.col(EPISODE).alias("_new"), F.col("from_index").alias("_from"))
+    out = rows.join(new, ["source", EPISODE])
+    return out.withColumns({"index": F.col("_from") + F.col(ORDER), EPISODE: F.col("_new")}).drop("_new", "_from")

@@ -147,3 +147,10 @@ def image_constants(stats: DataFrame, features: list[str], mean: list[float], st
     image = F.col("feature").isin(*features)
     out = stats.join(F.broadcast(fixed), "dim", "left")
     return out.withColumns({"mean": F.when(image, F.col("_m")).otherwise(F.col("mean")), "std": F.when(image, F.col("_s")).otherwise(F.col("std"))}).drop("_m", "_s").select(*stats.columns)
+
+
+def beyond_tolerance(stats: DataFrame, reference: DataFrame, keys: list[str], values: list[str], rtol: float = 5e-6, atol: float = 6e-5) -> DataFrame:
+    """Keys, name, value and reference of the statistics that differ from the reference by more than atol + rtol * |reference|."""
+    long = lambda t, out: t.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias(out)) for v in values))).alias("_")).select(*keys, "_.name", f"_.{out}")
+    both = long(stats, "value").join(long(reference, "reference"), [*keys, "name"])
+    return both.filter(F.abs(F.col("value") - F.col("reference")) > atol + rtol * F.abs("reference"))

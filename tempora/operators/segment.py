@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import EPISODE
@@ -90,3 +90,19 @@ def as_transitions(bounds: DataFrame) -> DataFrame:
 def decode_stage(value: Column, most: int) -> Column:
     """A stage from a value between 0 and 1."""
     return F.when(value.between(0, 1), F.bround(value * most).cast("int"))
+
+
+def initial_opens(frames: DataFrame, changes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """How many grippers of each episode begin closed and are open where their first change has come through.
+
+    frames: episode_index, frame_index, gripper, value (the state, or the action where there is none); changes:
+    episode_index, gripper, action_frame, state_frame. Episodes without such a gripper count 0.
+    """
+    first = changes.groupBy(EPISODE, "gripper").agg(F.min_by(F.greatest("action_frame", "state_frame", F.lit(0)), "action_frame").alias("_at"))
+    finite = F.col("value").isNotNull() & ~F.isnan("value")
+    marked = frames.join(first, [EPISODE, "gripper"])
+    end = F.least(F.col("_at"), F.col("_last"))
+    held = marked.withColumn("_last", F.max("frame_index").over(Window.partitionBy(EPISODE, "gripper")))
+    each = held.groupBy(EPISODE, "gripper").agg(F.min_by(F.when(finite, F.col("value")), F.when(finite, F.col("frame_index"))).alias("_first"), F.max(F.when(finite & (F.col("frame_index") == end), F.col("value"))).alias("_then"))
+    opened = F.coalesce((F.col("_first") > threshold) & (F.col("_then") <= threshold), F.lit(False))
+    return each.groupBy(EPISODE).agg(F.count_if(opened).alias("initial_opens"))

@@ -496,3 +496,40 @@ def fifo_buffer(spark, d):
         buffer.add(numbered.filter((F.col("_at") >= n * k // 3) & (F.col("_at") < n * (k + 1) // 3)).drop("_at"), k, ["event_id"])
     assert buffer.counts().first().frames == min(100, n)
     return buffer.read().select("index", "value", "slot")
+
+
+@query(f"""WITH {EVENT_FRAMES}, g AS (SELECT *, event_id % 2 AS g FROM f), h AS (SELECT *, value > 50 AS high, lag(value > 50) OVER w AS before, first_value(value) OVER w AS v0, max(frame_index) OVER (PARTITION BY episode_index, g) AS last FROM g WINDOW w AS (PARTITION BY episode_index, g ORDER BY frame_index)),
+c AS (SELECT episode_index, g, min(frame_index) AS at, any_value(v0) AS v0, any_value(last) AS last FROM h WHERE before <> high GROUP BY 1, 2)
+SELECT c.episode_index, count(*) FILTER (c.v0 > 50 AND h.value <= 50) AS initial_opens FROM c LEFT JOIN h ON h.episode_index = c.episode_index AND h.g = c.g AND h.frame_index = least(c.at + 2, c.last) GROUP BY 1""")
+def initial_opens(spark, d):
+    """Two grippers, the state two frames behind the action."""
+    from ..operators.segment import initial_opens as opens
+
+    f = event_frames(spark, d).withColumn("gripper", F.col("event_id") % 2)
+    w = t.Window.partitionBy("episode_index", "gripper").orderBy("frame_index")
+    high = F.col("value") > 50
+    changes = f.withColumn("_b", F.lag(high).over(w)).filter(F.col("_b") != high).select("episode_index", "gripper", F.col("frame_index").alias("action_frame"), (F.col("frame_index") + 2).alias("state_frame"))
+    return opens(f, changes, 50)
+
+
+@query(f"""WITH {ORDER_FRAMES}, x AS (SELECT episode_index, (i - 1)::INTEGER AS dim, action[i] AS x FROM o, (SELECT unnest(range(1, 5)) AS i)), s AS (SELECT episode_index, dim, min(x) AS min, avg(x) AS mean FROM x GROUP BY 1, 2)
+SELECT episode_index, dim, 'mean' AS name, round(mean, 5) AS value, round(mean + CASE WHEN episode_index % 9 = 0 THEN 0.5 ELSE 1e-6 END, 5) AS reference FROM s WHERE episode_index % 9 = 0 AND 0.5 > 6e-5 + 5e-6 * abs(mean + 0.5)""")
+def stats_beyond_tolerance(spark, d):
+    """U12."""
+    st = s.vector_stats(order_frames(spark, d), "action", 4, "episode_index")
+    other = st.withColumn("mean", F.col("mean") + F.when(F.col("episode_index") % 9 == 0, 0.5).otherwise(1e-6))
+    return fl.beyond_tolerance(st, other, ["episode_index", "dim"], ["min", "mean"]).withColumns({c: F.round(c, 5) for c in ("value", "reference")})
+
+
+@query(f"""WITH {EVENT_FRAMES}, k AS (SELECT 0 AS source, * FROM f WHERE episode_index % 3 = 0 UNION ALL SELECT 1, * FROM f WHERE episode_index % 2 = 0), n AS (SELECT source, episode_index, count(*) AS n FROM k GROUP BY 1, 2),
+m AS (SELECT source, episode_index, row_number() OVER (ORDER BY source, episode_index) - 1 AS e, sum(n) OVER (ORDER BY source, episode_index) - n AS start FROM n)
+SELECT source, e AS episode_index, frame_index, (start + frame_index)::BIGINT AS index, value FROM k JOIN m USING (source, episode_index)""")
+def merged_cached_rows(spark, d):
+    """Rows of two caches under the numbers that a merge of their datasets gives."""
+    from ..operators import algebra as al
+
+    f = event_frames(spark, d)
+    parts = [f.filter("episode_index % 3 = 0"), f.filter("episode_index % 2 = 0")]
+    merged = al.merge(parts).groupBy("source", "old_episode", "episode_index").agg((F.min("index") - F.min("frame_index")).alias("from_index"))
+    cached = parts[0].withColumn("source", F.lit(0)).unionByName(parts[1].withColumn("source", F.lit(1)))
+    return al.remapped(cached, merged).select("source", "episode_index", "frame_index", "index", "value")

@@ -122,3 +122,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not folder and (context.master.startswith("local-") or not context.master.startswith("local")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{folder or tempfile.mkdtemp(prefix='scratch-')}/{name}-{uuid.uuid4().hex}"
+
+
+def created(spark: SparkSession, fps: float, robot_type: str, features: dict[str, dict]) -> EpisodicDataset:
+    """An empty dataset; names of features hold no /, and the columns that every dataset has are added to them."""
+    wrong = [n for n in features if "/" in n]
+    if wrong:
+        raise ValueError(f"names of features hold no /: {wrong}")
+    from ..operators.validate import storage_schema
+
+    stored = storage_schema({n: f for n, f in features.items() if n not in MANDATORY})
+    schema = T.StructType([*stored.fields, *(T.StructField(n, t) for n, t in MANDATORY.items())])
+    empty = lambda s: spark.createDataFrame([], s)
+    info = {"fps": fps, "robot_type": robot_type, "features": features, "total_episodes": 0, "total_frames": 0, "total_tasks": 0, "total_chunks": 0, "chunks_size": CHUNK}
+    return EpisodicDataset(empty(schema), empty("episode_index long, tasks array<string>, length long"), empty("task_index long, task string"), info)

@@ -178,3 +178,12 @@ def test_a_version_that_was_not_finished(spark, tmp_path, monkeypatch):
     assert dataset.read(spark, str(tmp_path)).info == {"fps": 1} and buffer.read().first().value == 1.0
     buffer.add(frames.withColumn("value", F.lit(9.0)), 1, ["frame_index"])  # the batch comes again
     assert sorted((r["index"], r.value) for r in buffer.read().collect()) == [(0, 1.0), (1, 9.0)]
+
+
+def test_created(spark, tmp_path):
+    data = dataset.created(spark, 10, "arm", {"action": {"dtype": "float32", "shape": [2]}})
+    dataset.write(data, str(tmp_path), "v1")
+    back = dataset.read(spark, str(tmp_path))
+    assert back.info["fps"] == 10 and back.frames.columns == ["action", "timestamp", "frame_index", "episode_index", "index", "task_index"] and back.frames.count() == 0
+    with pytest.raises(ValueError):
+        dataset.created(spark, 10, "arm", {"a/b": {"dtype": "float32", "shape": [1]}})
