@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: the least id that each id in the edges is linked with, itself included."""
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct()
     now, mark = checkpointed(now), None
-    while mark != (mark := _mark(now)):
+    while mark != (mark := _mark(now)) and mark[0]:  # until nothing changes, or there is nothing
         swapped = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
         now = _star(now.union(swapped), larger=True)
         now = checkpointed(_star(now, larger=False))
