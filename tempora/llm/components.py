@@ -20,7 +20,8 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
         out = both.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = both.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a != b").distinct()
+    out = out.filter("a != b")
+    return out if larger else out.distinct()  # what the larger side repeats, the smaller one makes one
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
