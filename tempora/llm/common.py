@@ -21,6 +21,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, other bytes as they are.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Spark's setting by which the shuffle files of a query are removed when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
@@ -41,7 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and (context.master.startswith("local-") or not context.master.startswith("local")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    # what the shuffles of this run have written is of no use once the result stands, so it goes at once
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def fresh(df: DataFrame, name: str) -> str:
