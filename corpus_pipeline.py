@@ -31,7 +31,10 @@ def _row_key() -> Column:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the least id of each group of near duplicates, null ids last; rows that repeat an id and text are one."""
+    """Keeps the row with the least id of each group of near duplicates, null ids last.
+
+    Rows that repeat an id and text are one, with the least of their other columns, so that every run keeps the same.
+    """
     name = fresh(docs, "row")
     keyed = docs.withColumn(name, _row_key())
     group = near_duplicates(keyed, doc_id=name).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
@@ -39,13 +42,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # partial minima first, so that a large group is not gathered in one task
     least = group.join(ids, "key").groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("least"))
     kept = least.select(F.col("least.key").alias(name))
-    return keyed.join(kept, name, "left_semi").dropDuplicates([name, "doc_id", "text"]).select(*docs.columns)
+    same, others = ("doc_id", "text"), [c for c in docs.columns if c not in ("doc_id", "text")]
+    stay = keyed.join(kept, name, "left_semi")
+    if others:
+        stay = stay.groupBy(*same).agg(F.min(F.struct(*others)).alias(name)).select(*same, *(F.col(name)[c].alias(c) for c in others))
+    else:
+        stay = stay.select(*same).distinct()
+    return stay.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that hold three quarters of the shingles of a benchmark item, each by its own text."""
+    """Drops rows that hold three quarters of the shingles of a benchmark item, each by its own id and text.
+
+    The key is a digest of 128 bits: rows that shared a shorter one would go with each other.
+    """
     name = fresh(docs, "row")
-    keyed = docs.withColumn(name, _row_key())
+    keyed = docs.withColumn(name, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
     leaks = contaminated(keyed, table(spark, sf_dir, "benchmark", "item_id", "text"), doc_id=name).select(F.col("doc_id").alias(name)).distinct()
     return keyed.join(leaks, name, "left_anti").select(*docs.columns)
 
