@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.operators import algebra, sampling, segment, temporal
+from tempora.operators import algebra, sampling, temporal
 from tempora.sources import dataset as ds
 from tempora.streaming import ingest
 
@@ -63,24 +63,6 @@ def test_balanced(spark):
     assert [r.episode_index for r in got] == [0, 8, 1, 9]
 
 
-def test_boundaries(spark):
-    t = np.arange(80) / 10
-    motion = np.where((t > 1) & (t < 6), np.sin(t * 3), 0.0)
-    rows = [(1, f, float(t[f]), float(f >= 40), float(f >= 43), float(motion[f]), "Pick up the cube") for f in range(80)]
-    rows += [(2, f, float(t[f]), float(30 <= f < 65), float(33 <= f < 68), float(motion[f]), "Give the cube to me") for f in range(80)]
-    rows += [(3, f, float(t[f]), 0.0, 0.0, 0.0, "Pick up the cube") for f in range(80)] + [(4, 0, 0.0, 0.0, 0.0, 0.0, "x")]
-    table = spark.createDataFrame(rows, "episode_index long, frame_index long, timestamp double, action double, state double, motion double, task string")
-    found = segment.boundaries(table, "action", "state", "motion", "task")
-    got = {r.episode_index: r for r in found.collect()}
-    for e in (1, 2):
-        times = list(got[e])[1:6]
-        assert got[e].error is None and times == sorted(times)
-    assert got[3].error == "no_transition" and got[4].error == "too_few_frames"
-    changes = segment.as_transitions(found)
-    stages = temporal.step_function(table, changes).filter("episode_index = 1").orderBy("frame_index").collect()
-    assert [r.state for r in stages] == sorted(r.state for r in stages) and {r.state for r in stages} >= {0, 1, 2, 3, 4}
-
-
 def test_streams(spark, tmp_path):
     schema = "episode_index long, seq long, value double, last boolean"
     for k, rows in enumerate([[(1, 0, 1.0, False), (2, 1, 5.0, False), (1, 2, 2.0, False)], [(1, 3, 3.0, True), (2, 4, 6.0, False)], [(1, 5, 9.0, False)]]):
