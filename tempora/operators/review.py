@@ -157,10 +157,14 @@ def balanced_sources(found: DataFrame, counts: dict[str, int], oversample: float
 
     Chosen one after the other: the pair (candidate, object) that leaves the choice most even, by how often its object,
     count bucket, background, object with count bucket, object with background, target, reference, object with target and
-    direction were chosen so far, in this order; then by uncertainty, episode and object. An episode is chosen once. The
-    choice is sequential by definition: a scenario's candidates are one pandas frame, bounded as they are reviewed by hand.
+    direction were chosen so far, in this order; then by uncertainty, episode and object. An episode is chosen once. Of the
+    pairs that agree in all of these but the last three, only the first as many as are wanted can ever be chosen, since
+    before the last choice fewer episodes are gone. So a scenario is first cut to those, and what one pandas frame holds is
+    bounded by the combinations of objects, counts, backgrounds, targets, references and directions.
     """
     want = {s: max(n, math.ceil(n * max(1.0, oversample))) for s, n in counts.items() if n > 0}
+    if not want:
+        want = {"": 0}
     out = T.StructType([
         T.StructField(n, t) for n, t in (("scenario", T.StringType()), ("pick", T.LongType()), (EPISODE, T.LongType()), ("missing_object", T.StringType()), ("new_task", T.StringType()), ("source_scenario", T.StringType()), ("uncertainty", T.LongType()))
     ])
@@ -170,9 +174,9 @@ def balanced_sources(found: DataFrame, counts: dict[str, int], oversample: float
         pairs = []
         for r in rows.itertuples():
             none = lambda v: "" if v is None or v != v else v
-            for m in r.missing:
-                keys = (m, ("n", r.count_bucket), ("b", r.background), ("mn", m, r.count_bucket), ("mb", m, r.background), ("s", r.target), ("r", none(r.reference)), ("ms", m, r.target), ("d", none(r.direction)))
-                pairs.append((keys, (int(r.uncertainty), int(r.episode_index), m), r))
+            m = r.object
+            keys = (m, ("n", r.count_bucket), ("b", r.background), ("mn", m, r.count_bucket), ("mb", m, r.background), ("s", r.target), ("r", none(r.reference)), ("ms", m, r.target), ("d", none(r.direction)))
+            pairs.append((keys, (int(r.uncertainty), int(r.episode_index), m), r))
         seen: dict = {}
         gone, picks = set(), []
         while len(picks) < want[scenario]:
@@ -187,7 +191,14 @@ def balanced_sources(found: DataFrame, counts: dict[str, int], oversample: float
             picks.append((scenario, len(picks), order[1], order[2], new_prompt(scenario, order[2], *text, list(r.existing)), r.source_scenario, order[0]))
         return pd.DataFrame(picks, columns=out.names)
 
-    return by_scenario(found, pick_to_give).filter(F.col("scenario").isin(*want)).groupBy("scenario").applyInPandas(choose, out)
+    pairs = by_scenario(found, pick_to_give).filter(F.col("scenario").isin(*want)).withColumn("object", F.explode("missing"))
+    alike = ("scenario", "object", "count_bucket", "background", "target", "reference", "direction")
+    number = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    # an episode once for each combination, then the first of each
+    pairs = pairs.withColumn("_r", number((*alike, EPISODE), "uncertainty")).filter("_r = 1").withColumn("_r", number(alike, "uncertainty", EPISODE))
+    most = F.element_at(F.create_map(*(F.lit(x) for p in want.items() for x in p)), F.col("scenario"))
+    columns = ("scenario", EPISODE, "uncertainty", "object", "count_bucket", "background", "target", "reference", "direction", "existing", "source_scenario")
+    return pairs.filter(F.col("_r") <= most).select(*columns).groupBy("scenario").applyInPandas(choose, out)
 
 
 def constructed(frames: DataFrame, plans: DataFrame, tasks: DataFrame, first_episode: int) -> tuple[DataFrame, DataFrame]:

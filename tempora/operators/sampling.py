@@ -56,7 +56,9 @@ def weighted_subset(df: DataFrame, weight: str, k: int, seed: int, key: str) ->
 def balanced(candidates: DataFrame, group: str, n: int, features: list[str], order: list[str]) -> DataFrame:
     """N candidates of each group, one after the other, each the one whose features were chosen least so far.
 
-    The choice is sequential by definition, so a group (a scenario's bounded list of candidates) is one pandas frame.
+    The choice is sequential, but of the candidates with the same features only the first n can ever be chosen: before
+    the last choice fewer than n of them are gone. So each group is first cut to those, exactly, and what one pandas frame
+    holds is bounded by the combinations of features.
     """
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,7 +74,9 @@ def balanced(candidates: DataFrame, group: str, n: int, features: list[str], ord
                 seen[k, v] = seen.get((k, v), 0) + 1
         return rows.loc[out].assign(pick=range(len(out)))
 
-    return candidates.groupBy(group).applyInPandas(pick, StructType([*candidates.schema.fields, StructField("pick", LongType())]))
+    first = F.row_number().over(Window.partitionBy(group, *features).orderBy(*order))
+    able = candidates.withColumn("_r", first).filter(F.col("_r") <= n).drop("_r")
+    return able.groupBy(group).applyInPandas(pick, StructType([*candidates.schema.fields, StructField("pick", LongType())]))
 
 
 def action_chunks(frames: DataFrame, steps: int) -> DataFrame:

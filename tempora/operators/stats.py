@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import EPISODE, ORDER, over
+from .written import written
 
 
 def dims(df: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -50,9 +51,53 @@ def range_stats(df: DataFrame, start: Column, n: Column) -> DataFrame:
     return df.withColumns({"min": start, "max": start + n - 1, "mean": start + (n - 1) / 2, "std": F.sqrt((n * n - 1) / 12), "count": n})
 
 
+def same(left: str, right: str, keys: tuple[str, ...]) -> Column:
+    """Whether the keys of two aliased sides are equal, nulls together."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], *keys: str, parts: int = 1024, few: int = 1 << 14) -> DataFrame:
+    """The keys and q0, q1, ... for each of ``shares``, exact, with linear interpolation; nulls and NaN do not count.
+
+    Selection in passes: each wanted rank lies in a range of values, whose ``parts`` parts are counted with their least
+    and largest values, and the part that holds the rank is the next range. A range of one value is done, one of ``few``
+    rows is sorted; so no task and no state holds all values of a key.
+    """
+    rows = written(df.select(*keys, F.col(column).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)"))
+    one = lambda t: t.groupBy(*keys) if keys else t.groupBy()
+    whole = one(rows).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter("_n > 0")
+    place = [F.lit(q) * (F.col("_n") - 1) for q in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(p), F.ceil(p)) for p in place))))
+    state = written(whole.select(*keys, "_n", F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_held")))
+    names = [*keys, "_n", "_rank", "_lo", "_hi", "_before", "_held"]
+    within = lambda t: rows.alias("r").join(t.alias("s"), same("r", "s", keys) & F.col("r._x").between(F.col("s._lo"), F.col("s._hi"))).select("s.*", "r._x")
+    while state.filter((F.col("_lo") < F.col("_hi")) & (F.col("_held") > few)).limit(1).count():
+        wide = (F.col("_lo") < F.col("_hi")) & (F.col("_held") > few)
+        # halves, as the width of a range may be beyond what a double holds
+        part = F.least(F.lit(parts - 1), F.floor((F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * parts))
+        counted = within(state.filter(wide)).groupBy(*keys, "_n", "_rank", "_before", part.alias("_part")).agg(F.count("*").alias("_held"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        w = Window.partitionBy(*keys, "_rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_held").over(w), F.lit(0)))
+        found = placed.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_held")))
+        state = written(state.filter(~wide).select(*names).unionByName(found.select(*names)))
+    short = within(state.filter("_lo < _hi")).groupBy(*keys, "_n", "_rank", "_before").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    short = short.select(*keys, "_n", "_rank", F.get("_xs", (F.col("_rank") - F.col("_before")).cast("int")).alias("_v"))
+    known = state.filter("_lo = _hi").select(*keys, "_n", "_rank", F.col("_lo").alias("_v")).unionByName(short)
+    of = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+    share = lambda p: p - F.floor(p)
+    ends = known.groupBy(*keys, "_n").agg(*(c for k, p in enumerate(place) for c in (of(F.floor(p)).alias(f"_a{k}"), of(F.ceil(p)).alias(f"_b{k}"))))
+    return ends.select(*keys, *((F.col(f"_a{k}") * (1 - share(p)) + F.col(f"_b{k}") * share(p)).alias(f"q{k}") for k, p in enumerate(place)))
+
+
 def timings(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Mean, median, 90th percentile (linear interpolation), maximum and sum."""
-    return df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.9)).alias("p90"), F.max(column).alias("max"), F.sum(column).alias("total"))
+    totals = df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.max(column).alias("max"), F.sum(column).alias("total"))
+    middle = quantiles(df, column, [0.5, 0.9], *keys)
+    joined = totals.alias("t").join(middle.alias("m"), same("t", "m", keys), "left")
+    return joined.select(*(F.col(f"t.{k}").alias(k) for k in keys), "mean", F.col("q0").alias("p50"), F.col("q1").alias("p90"), "max", "total")
 
 
 def distribution(df: DataFrame, *keys: str, of: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Windows over the frames of an episode. Every operator partitions by the episode alone; nothing sorts all frames."""
+"""Windows over the frames of an episode; nothing sorts all frames.
+
+Operators that look a bounded number of frames back or ahead cut an episode into pieces of SPAN frames, each with the
+neighbours that it looks at, so that an episode of any length spreads over tasks. They need frames numbered from 0 without
+gaps (algebra.fix_indices gives such numbers). The others partition by the episode.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPISODE, ORDER = "episode_index", "frame_index"
+#: Frames of a piece of an episode.
+SPAN = 1 << 16
 
 
 def over(episode: str = EPISODE, *order: str) -> WindowSpec:
@@ -16,32 +23,51 @@ def whole(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def delta_window(df: DataFrame, columns: list[str], offsets: list[int], episode: str = EPISODE, order: str = ORDER) -> DataFrame:
+def in_pieces(df: DataFrame, before: int, after: int, episode: str = EPISODE, order: str = ORDER, span: int = SPAN) -> tuple[DataFrame, WindowSpec]:
+    """Each row in the piece that it belongs to (``_own``) and in those that look at it from up to ``before`` frames later or ``after`` frames earlier; and the window over a piece.
+
+    A row of a piece finds all frames of its episode in it that it looks at, so one that is missing lies outside the
+    episode, and then the piece begins or ends with the episode.
+    """
+    at = F.col(order)
+    piece = F.floor(at / span)
+    of = F.sequence(F.greatest(F.lit(0), F.floor((at - after) / span)), F.floor((at + before) / span))
+    out = df.withColumn("_piece", F.explode(of)).withColumn("_own", F.col("_piece") == piece)
+    return out, Window.partitionBy(episode, "_piece").orderBy(order)
+
+
+def own(pieces: DataFrame) -> DataFrame:
+    """The rows that belong to their piece."""
+    return pieces.filter("_own").drop("_own", "_piece")
+
+
+def delta_window(df: DataFrame, columns: list[str], offsets: list[int], episode: str = EPISODE, order: str = ORDER, span: int = SPAN) -> DataFrame:
     """The value at each offset, clamped to the episode, and whether the offset lies outside (``_is_pad``)."""
-    w = over(episode, order)
+    rows, w = in_pieces(df, -min(0, *offsets), max(0, *offsets), episode, order, span)
     out = {}
     for c in columns:
         for k in offsets:
             name = f"{c}_{'m' if k < 0 else 'p'}{abs(k)}"
-            near = F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else F.col(c)
+            to = lambda x, k=k: F.lag(x, -k).over(w) if k < 0 else F.lead(x, k).over(w) if k else F.col(x)
             edge = (F.first(c) if k < 0 else F.last(c)).over(whole(w))
-            here, n = F.row_number().over(w), F.count(F.lit(1)).over(whole(w))
-            outside = (here + k < 1) | (here + k > n)
-            out[name], out[f"{name}_is_pad"] = F.when(outside, edge).otherwise(near), outside
-    return df.withColumns(out)
+            outside = to(order).isNull()
+            out[name], out[f"{name}_is_pad"] = F.when(outside, edge).otherwise(to(c)), outside
+    return own(rows.withColumns(out))
 
 
-def wide_window(df: DataFrame, column: str, offsets: list[int], episode: str = EPISODE, order: str = ORDER) -> DataFrame:
+def wide_window(df: DataFrame, column: str, offsets: list[int], episode: str = EPISODE, order: str = ORDER, span: int = SPAN) -> DataFrame:
     """T02-T04 for many offsets: the values from the least to the largest offset as an array, and those wanted of it."""
-    w, lo, hi = over(episode, order), min(0, *offsets), max(0, *offsets)
+    lo, hi = min(0, *offsets), max(0, *offsets)
+    rows, w = in_pieces(df, -lo, hi, episode, order, span)
     near = F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(lo, hi))
-    n, at = F.count(F.lit(1)).over(whole(w)), F.row_number().over(w) - 1
+    # how many frames lie before and after, as far as the offsets reach
+    behind, ahead = F.count(F.lit(1)).over(w.rowsBetween(lo, 0)) - 1, F.count(F.lit(1)).over(w.rowsBetween(0, hi)) - 1
     wanted = F.array(*(F.lit(k) for k in offsets))
-    place = lambda k: F.greatest(F.lit(0), F.least(F.col("_n") - 1, F.col("_at") + k)) - F.greatest(F.lit(0), F.col("_at") + lo)
-    return df.withColumns({"_v": near, "_n": n.cast("int"), "_at": at}).withColumns({
+    place = lambda k: F.greatest(F.lit(0), F.least(F.col("_ahead"), k) + F.col("_behind")).cast("int")
+    return own(rows.withColumns({"_v": near, "_behind": behind, "_ahead": ahead})).withColumns({
         f"{column}_window": F.transform(wanted, lambda k: F.get("_v", place(k))["v"]),
-        f"{column}_is_pad": F.transform(wanted, lambda k: (F.col("_at") + k < 0) | (F.col("_at") + k >= F.col("_n"))),
-    }).drop("_v", "_n", "_at")
+        f"{column}_is_pad": F.transform(wanted, lambda k: (F.col("_behind") + k < 0) | (k > F.col("_ahead"))),
+    }).drop("_v", "_behind", "_ahead")
 
 
 def frame_offsets(deltas: dict[str, list[float]], fps: float, tolerance: float = 1e-4) -> dict[str, list[int]]:
@@ -98,51 +124,59 @@ def islands(df: DataFrame, value: str, episode: str = EPISODE, order: str = ORDE
     return numbered.groupBy(episode, "run").agg(F.first(value).alias(value), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
 
 
-def sync_violations(df: DataFrame, fps: float, tolerance: float) -> DataFrame:
+def sync_violations(df: DataFrame, fps: float, tolerance: float, span: int = SPAN) -> DataFrame:
     """steps that differ from 1 / fps by more than the tolerance."""
-    step = F.lead("timestamp").over(over()) - F.col("timestamp")
-    return df.withColumn("step", step).filter(F.abs(F.col("step") - 1 / fps) > tolerance)
+    rows, w = in_pieces(df, 0, 1, span=span)
+    step = F.lead("timestamp").over(w) - F.col("timestamp")
+    return own(rows.withColumn("step", step)).filter(F.abs(F.col("step") - 1 / fps) > tolerance)
 
 
-def difference(df: DataFrame, column: str, out: str = "delta") -> DataFrame:
+def difference(df: DataFrame, column: str, out: str = "delta", span: int = SPAN) -> DataFrame:
     """T08."""
-    return df.withColumn(out, F.col(column) - F.lag(column).over(over()))
+    rows, w = in_pieces(df, 1, 0, span=span)
+    return own(rows.withColumn(out, F.col(column) - F.lag(column).over(w)))
 
 
-def moving_average(df: DataFrame, column: str, window: int, out: str = "smooth") -> DataFrame:
+def moving_average(df: DataFrame, column: str, window: int, out: str = "smooth", span: int = SPAN) -> DataFrame:
     """Centred mean over an odd window; beyond the ends the first or last value repeats."""
     if window % 2 == 0:
         raise ValueError("the window must be odd")
-    p, w = window // 2, over()
-    x, at, n = F.col(column).cast("double"), F.row_number().over(w) - 1, F.count(F.lit(1)).over(whole(w))
-    left, right = F.greatest(F.lit(0), p - at), F.greatest(F.lit(0), at + p - (n - 1))
-    total = F.sum(x).over(w.rowsBetween(-p, p)) + left * F.first(x).over(whole(w)) + right * F.last(x).over(whole(w))
-    return df.withColumn(out, total / window)
+    p = window // 2
+    rows, w = in_pieces(df, p, p, span=span)
+    x = F.col(column).cast("double")
+    lacking = lambda lo, hi: p + 1 - F.count(F.lit(1)).over(w.rowsBetween(lo, hi))
+    total = F.sum(x).over(w.rowsBetween(-p, p)) + lacking(-p, 0) * F.first(x).over(whole(w)) + lacking(0, p) * F.last(x).over(whole(w))
+    return own(rows.withColumn(out, total / window))
 
 
-def centered_range(df: DataFrame, column: str, window: int, out: str = "range") -> DataFrame:
+def centered_range(df: DataFrame, column: str, window: int, out: str = "range", span: int = SPAN) -> DataFrame:
     """Rolling maximum - minimum; an even window reaches one frame further back."""
-    w = over().rowsBetween(-(window // 2), (window - 1) // 2)
-    return df.withColumn(out, F.max(column).over(w) - F.min(column).over(w))
+    rows, w = in_pieces(df, window // 2, (window - 1) // 2, span=span)
+    near = w.rowsBetween(-(window // 2), (window - 1) // 2)
+    return own(rows.withColumn(out, F.max(column).over(near) - F.min(column).over(near)))
 
 
-def transitions(df: DataFrame, column: str, threshold: float) -> DataFrame:
+def transitions(df: DataFrame, column: str, threshold: float, span: int = SPAN) -> DataFrame:
     """Frames at which the value crosses the threshold, and the side that it comes to."""
-    high = F.col(column) > threshold
-    return df.withColumn("high", high).withColumn("_before", F.lag("high").over(over())).filter("_before != high").drop("_before")
+    rows, w = in_pieces(df.withColumn("high", F.col(column) > threshold), 1, 0, span=span)
+    return own(rows.withColumn("_before", F.lag("high").over(w))).filter("_before != high").drop("_before")
 
 
-def zero_runs(df: DataFrame, column: str, near_zero: float = 0.03, neighbour: float = 0.25, jump: float = 0.45, longest: int = 2) -> DataFrame:
-    """Short runs near zero between large neighbours: first frame and length of each."""
-    w = over()
-    marked = df.withColumns({"_zero": F.abs(column) <= near_zero, "_before": F.lag(column).over(w), "_after": F.lead(column).over(w)})
-    change = F.coalesce(F.col("_zero") != F.lag("_zero").over(w), F.lit(True))
-    runs = marked.withColumn("_new", change.cast("int")).withColumn("_run", F.sum("_new").over(w)).filter("_zero").groupBy(EPISODE, "_run").agg(
-        F.min(ORDER).alias("first"), F.count("*").alias("length"), F.min_by("_before", ORDER).alias("before"), F.max_by("_after", ORDER).alias("after")
-    )
-    large = F.least(F.abs("before"), F.abs("after")) >= neighbour
-    both = runs.filter((F.col("length") <= longest) & F.col("before").isNotNull() & F.col("after").isNotNull())
-    return both.filter(large & (F.greatest(F.abs("before"), F.abs("after")) >= jump)).select(EPISODE, "first", "length", "before", "after")
+def zero_runs(df: DataFrame, column: str, near_zero: float = 0.03, neighbour: float = 0.25, jump: float = 0.45, longest: int = 2, span: int = SPAN) -> DataFrame:
+    """Short runs near zero between large neighbours: first frame and length of each.
+
+    A run of at most ``longest`` frames shows from its first frame by looking that far ahead; longer ones need no numbering.
+    """
+    rows, w = in_pieces(df.withColumn("_zero", F.coalesce(F.abs(column) <= near_zero, F.lit(False))), 1, longest, span=span)
+    ahead = {f"_z{k}": F.lead("_zero", k).over(w) for k in range(1, longest + 1)} | {f"_v{k}": F.lead(column, k).over(w) for k in range(1, longest + 1)}
+    marked = rows.withColumns(ahead | {"before": F.lag(column).over(w), "_into": F.lag("_zero").over(w)})
+    length, after = F.lit(None).cast("long"), F.lit(None).cast("double")
+    for k in range(longest, 0, -1):
+        ends = ~F.col(f"_z{k}")
+        length, after = F.when(ends, F.lit(k).cast("long")).otherwise(length), F.when(ends, F.col(f"_v{k}")).otherwise(after)
+    runs = own(marked).filter(F.col("_zero") & ~F.col("_into")).select(EPISODE, F.col(ORDER).alias("first"), length.alias("length"), "before", after.alias("after"))
+    least, most = F.least(F.abs("before"), F.abs("after")), F.greatest(F.abs("before"), F.abs("after"))
+    return runs.filter("length is not null and before is not null and after is not null").filter((least >= neighbour) & (most >= jump))
 
 
 def stable_window(df: DataFrame, column: str, frames: int, limit: float) -> DataFrame:
@@ -222,11 +256,13 @@ def nearest(left: DataFrame, right: DataFrame, time: str, value: str, tolerance:
     """The nearest row of the other side in time (ties to the earlier), null beyond the tolerance: windows, no range join."""
     a = left.withColumns({"_kind": F.lit(1), "_rt": F.lit(None).cast("double"), "_rv": F.lit(None).cast("double")})
     b = right.select(EPISODE, F.col(time), F.lit(0).alias("_kind"), F.col(time).alias("_rt"), F.col(value).alias("_rv"))
-    w = Window.partitionBy(EPISODE).orderBy(time, "_kind")
+    w = Window.partitionBy(EPISODE).orderBy(time, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # the next one is the last one so far when rows are walked through from the end: a frame up to the end would be gone through for every row
+    back = Window.partitionBy(EPISODE).orderBy(F.desc(time), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     near = F.struct(F.col("_rt").alias("t"), F.col("_rv").alias("v"))
     pair = F.when(F.col("_rt").isNotNull(), near)
     both = a.unionByName(b, allowMissingColumns=True)
-    both = both.withColumns({"_b": F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first(pair, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("_kind = 1")
+    both = both.withColumns({"_b": F.last(pair, ignorenulls=True).over(w), "_a": F.last(pair, ignorenulls=True).over(back)}).filter("_kind = 1")
     db, da = F.abs(F.col(time) - F.col("_b.t")), F.abs(F.col("_a.t") - F.col(time))
     best = F.when(F.col("_a").isNull() | (db <= da), F.col("_b")).otherwise(F.col("_a"))
     out = both.withColumn("_m", best).withColumn("_d", F.abs(F.col("_m.t") - F.col(time)))
