@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stage_text
 from ..functions.vector import near_pose
 from .temporal import EPISODE, ORDER, over, whole
 from .written import written
@@ -286,3 +287,21 @@ def initial_opens(frames: DataFrame, changes: DataFrame, threshold: float = 0.5)
     each = held.groupBy(EPISODE, "gripper").agg(F.min_by(F.when(finite, F.col("value")), F.when(finite, F.col("frame_index"))).alias("_first"), F.max(F.when(finite & (F.col("frame_index") == end), F.col("value"))).alias("_then"))
     opened = F.coalesce((F.col("_first") > threshold) & (F.col("_then") <= threshold), F.lit(False))
     return each.groupBy(EPISODE).agg(F.count_if(opened).alias("initial_opens"))
+
+
+def stage_values(frames: DataFrame, bounds: DataFrame) -> DataFrame:
+    """What is written back: subtask_state of each frame of the episodes that have boundaries."""
+    found = bounds.filter("error is null")
+    return assigned(frames.join(found.select(EPISODE), EPISODE, "left_semi"), found).select(EPISODE, ORDER, F.col("stage").cast("int").alias("subtask_state"))
+
+
+def stage_texts(frames: DataFrame, episodes: DataFrame, state: str = "subtask_state", exist: str | None = None) -> DataFrame:
+    """subtask_state, -1 where the object is not there (``exist`` is 0), and the text of the stage of the episode's first task; frames without a state keep none."""
+    task = F.coalesce(F.get("tasks", F.lit(0)), F.lit(""))
+    rows = frames.join(episodes.select(EPISODE, task.alias("_task")), EPISODE, "left")
+    at = F.col(state).cast("int")
+    at = F.when(F.col(exist).cast("int") == 0, F.lit(-1)).otherwise(at) if exist else at
+    rows = rows.select(EPISODE, ORDER, at.alias("subtask_state"), F.coalesce("_task", F.lit("")).alias("_task"))
+    # the rule runs once for each task and state, not for each frame
+    told = rows.select("_task", "subtask_state").distinct().filter("subtask_state is not null").withColumn("subtask", stage_text(F.col("_task"), F.col("subtask_state")))
+    return rows.join(told, ["_task", "subtask_state"], "left").select(EPISODE, ORDER, "subtask_state", "subtask")

@@ -431,6 +431,77 @@ def dataset_totals(spark, d):
     return ds.read(spark, path).totals()
 
 
+def _urgent(spark, d):
+    """Orders as a dataset, and those of the highest priority as the episodes that were scanned."""
+    frames = order_frames(spark, d).select("episode_index", "frame_index", F.col("action")[0].alias("value"))
+    lengths = frames.groupBy("episode_index").agg(F.array(F.lit("t")).alias("tasks"), F.count("*").alias("length"))
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("episode_index"))
+    return ds.EpisodicDataset(frames, lengths, spark.createDataFrame([(0, "t")], "task_index long, task string"), {"fps": 10}), urgent
+
+
+def _written_back(spark, d) -> str:
+    """A dataset whose urgent episodes got stages, then some of them other ones."""
+    path = ds.scratch(spark, "dataset")
+    data, urgent = _urgent(spark, d)
+    ds.write(data, path, "v1")
+    stage = lambda rows, n: rows.select("episode_index", "frame_index", (F.col("frame_index") % n).cast("int").alias("subtask_state"))
+    ds.write_back(spark, path, "v2", stage(data.frames.join(urgent, "episode_index", "left_semi"), 3), urgent, {"subtask_state": {"dtype": "int32", "shape": [1], "names": None}})
+    again = urgent.filter("episode_index % 7 = 0")
+    ds.write_back(spark, path, "v3", stage(ds.read(spark, path).frames.join(again, "episode_index", "left_semi"), 2), again)
+    return path
+
+
+_URGENT = f"""{ORDER_FRAMES}, s AS (SELECT episode_index, frame_index, CASE WHEN o_orderkey IS NOT NULL THEN frame_index % CASE WHEN episode_index % 7 = 0 THEN 2 ELSE 3 END END AS stage FROM o LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') ON o_orderkey = episode_index)"""
+
+
+@query(f"WITH {_URGENT} SELECT episode_index, frame_index, stage::INTEGER AS subtask_state FROM s")
+def written_back_stages(spark, d):
+    """Stages of scanned episodes written into their chunks, twice, and read again with all others."""
+    return ds.read(spark, _written_back(spark, d)).frames.select("episode_index", "frame_index", "subtask_state")
+
+
+@query(f"WITH {_URGENT} SELECT episode_index, 'subtask_state' AS feature, min(stage)::DOUBLE AS min, max(stage)::DOUBLE AS max, round(avg(stage), 6) AS mean, round(stddev_pop(stage), 6) AS std, count(*) AS count FROM s WHERE stage IS NOT NULL GROUP BY 1")
+def written_back_stats(spark, d):
+    """The statistics that went along."""
+    st = ds.read_stats(spark, _written_back(spark, d))
+    return st.select("episode_index", "feature", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "count")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS e, o_orderpriority AS p, o_orderstatus AS s FROM orders)
+SELECT e AS episode_index, 'error' AS type, 'old ' || p AS reason FROM x WHERE s <> 'F' UNION ALL SELECT e, 'quality_flag', 'kept' FROM x WHERE s = 'F' AND e % 3 = 0 UNION ALL SELECT e, 'error', 'new' FROM x WHERE s = 'F' AND e % 2 = 0""")
+def scanned_issues(spark, d):
+    """Issues of finished orders are scanned anew; their quality flags and the issues of others stay."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("episode_index"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    issue = lambda rows, kind, reason: rows.select("episode_index", F.lit(kind).alias("type"), reason.alias("reason"))
+    done = o.filter("s = 'F'")
+    issues = ds.SidecarTable(spark, ds.scratch(spark, "issues"), "episode_index long, type string, reason string", ["episode_index", "type", "reason"])
+    issues.write(issue(o, "error", F.concat(F.lit("old "), F.col("p"))).unionByName(issue(done.filter("episode_index % 3 = 0"), "quality_flag", F.lit("kept"))), "v1")
+    issues.replace_scanned(issue(done.filter("episode_index % 2 = 0"), "error", F.lit("new")), done, "v2", F.col("type").isin("error", "multi_gripper"))
+    return issues.read()
+
+
+@query("""WITH x AS (SELECT o_orderkey AS e, o_orderstatus AS s FROM orders) SELECT e AS episode_index, 0.5::DOUBLE AS time, 1 AS state FROM x WHERE s = 'F' UNION ALL SELECT e, 0.7, 2 FROM x WHERE s <> 'F' AND e % 2 = 0""")
+def added_annotations(spark, d):
+    """Annotations come only for episodes that have none."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("episode_index"), F.col("o_orderstatus").alias("s"))
+    row = lambda rows, t, n: rows.select("episode_index", F.lit(t).alias("time"), F.lit(n).alias("state"))
+    notes = ds.SidecarTable(spark, ds.scratch(spark, "annotations"), "episode_index long, time double, state int", ["episode_index", "time"])
+    notes.write(row(o.filter("s = 'F'"), 0.5, 1), "v1")
+    notes.add_missing(row(o.filter("episode_index % 2 = 0"), 0.7, 2), "v2")
+    return notes.read()
+
+
+@query(f"""WITH {EVENT_FRAMES} SELECT episode_index, frame_index, CASE WHEN event_id % 5 = 0 THEN -1 ELSE (frame_index % 4)::INTEGER END AS subtask_state,
+CASE WHEN event_id % 5 = 0 THEN 'lemon not found' ELSE ['prepare to grasp lemon', 'reach for lemon', 'grasp lemon', 'lift lemon'][frame_index % 4 + 1] END AS subtask FROM f""")
+def written_texts(spark, d):
+    """U02."""
+    from ..operators.segment import stage_texts
+
+    f = event_frames(spark, d).withColumns({"subtask_state": F.col("frame_index") % 4, "exist": (F.col("event_id") % 5 != 0).cast("int")})
+    episodes = f.select("episode_index").distinct().withColumn("tasks", F.array(F.lit("Pick up the lemon")))
+    return stage_texts(f, episodes, exist="exist")
+
+
 @query("SELECT user_id AS episode_index, 'v' || (max(event_id) FILTER (event_id % 5 <> 0)) AS task FROM events GROUP BY 1")
 def tolerant_lines(spark, d):
     """Lines of which every fifth is broken; the last good one of each episode counts."""

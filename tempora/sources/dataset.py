@@ -7,13 +7,16 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.written import shared_folder
+
 MANDATORY = {"timestamp": T.FloatType(), "frame_index": T.LongType(), "episode_index": T.LongType(), "index": T.LongType(), "task_index": T.LongType()}
 CHUNK = 1000
-POINTER = "number long, version string, info string, schema string"
+POINTER = "number long, version string, info string, schema string, parts string"
+STATS = "episode_index long, feature string, dim int, min double, max double, mean double, std double, count long"
 
 
 @dataclass
@@ -48,7 +51,7 @@ def write(data: EpisodicDataset, path: str, version: str) -> None:
     spark = data.frames.sparkSession
     last = latest(spark, f"{path}/versions", POINTER)
     # the frames' schema goes along: a version without frames has no file to infer it from
-    append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json()))
+    append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json(), None))
 
 
 def append_row(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
@@ -64,16 +67,130 @@ def latest(spark: SparkSession, path: str, schema: str, by: str = "number") -> R
     return spark.read.schema(schema).json(path).orderBy(F.desc(by)).first()
 
 
+def parts_of(row: Row) -> dict:
+    """Where a version's tables lie: folders of frames and statistics, each without the chunks that later ones hold; the folder of the other tables."""
+    return json.loads(row.parts) if row.parts else {"frames": [[row.version, []]], "stats": [], "tables": row.version}
+
+
+def pieces(spark: SparkSession, path: str, kind: str, folders: list, schema: T.StructType) -> DataFrame:
+    """The chunks of all folders; those that a later folder holds are pruned, columns that an earlier one lacks are null."""
+    out = spark.createDataFrame([], schema)
+    for folder, without in folders:
+        rows = spark.read.schema(schema).parquet(f"{path}/{folder}/{kind}")
+        out = out.unionByName(rows.filter(~F.col("episode_chunk").isin(without)) if without else rows)
+    return out
+
+
 def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> EpisodicDataset:
     """The version that the pointer names; of listed episodes only their chunks are read (partition pruning)."""
-    _, version, info, schema = latest(spark, f"{path}/versions", POINTER)
-    frames = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/{version}/frames")
-    table = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{path}/{version}/episodes")
+    row = latest(spark, f"{path}/versions", POINTER)
+    parts = parts_of(row)
+    frames = pieces(spark, path, "frames", parts["frames"], T.StructType.fromJson(json.loads(row.schema)))
+    table = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{path}/{parts['tables']}/episodes")
     if episodes is not None:
         frames = frames.filter(F.col("episode_chunk").isin(sorted({e // CHUNK for e in episodes})) & F.col("episode_index").isin(episodes))
         table = table.filter(F.col("episode_index").isin(episodes))
-    tasks = spark.read.schema("task_index long, task string").json(f"{path}/{version}/tasks")
-    return EpisodicDataset(frames.drop("episode_chunk"), table, tasks, json.loads(info))
+    tasks = spark.read.schema("task_index long, task string").json(f"{path}/{parts['tables']}/tasks")
+    return EpisodicDataset(frames.drop("episode_chunk"), table, tasks, json.loads(row.info))
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics of episodes that the newest version has."""
+    return pieces(spark, path, "stats", parts_of(latest(spark, f"{path}/versions", POINTER))["stats"], _stats_schema()).drop("episode_chunk")
+
+
+def _stats_schema() -> T.StructType:
+    return T.StructType.fromDDL(STATS + ", episode_chunk long")
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("episode_index") / CHUNK)
+
+
+def write_back(spark: SparkSession, path: str, version: str, values: DataFrame, scanned: DataFrame, features: dict[str, dict] | None = None) -> list[int]:
+    """New columns of the frames of scanned episodes, with their statistics; returns the chunks that were written.
+
+    values: episode_index, frame_index and the columns; frames of scanned episodes that have no row there get nulls, other
+    episodes keep what they have. Only the chunks of scanned episodes are written, to a folder of this version; all other
+    files stay as they are, and the line that names the version is added last. So a run that fails leaves the version
+    before, and may be repeated; one that has come to its end changes nothing when it is repeated.
+    """
+    last = latest(spark, f"{path}/versions", POINTER)
+    parts = parts_of(last)
+    keys = ["episode_index", "frame_index"]
+    names = [c for c in values.columns if c not in keys]
+    if last.version == version:
+        return next((without for _, without in parts["frames"] if without), [])
+    who = scanned.select("episode_index").distinct()
+    chunks = sorted(r[0] for r in who.select(_chunk()).distinct().collect())  # one number for a thousand episodes
+    schema = T.StructType.fromJson(json.loads(last.schema))
+    now = pieces(spark, path, "frames", parts["frames"], schema).filter(F.col("episode_chunk").isin(chunks))
+    marked = now.join(who.withColumn("_scanned", F.lit(True)), "episode_index", "left").join(values.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in names)), keys, "left")
+    old = lambda c: F.col(c) if c in schema.names else F.lit(None)
+    changed = marked.withColumns({c: F.when(F.col("_scanned"), F.col(f"_new_{c}")).otherwise(old(c)) for c in names}).drop("_scanned", *(f"_new_{c}" for c in names))
+    changed.repartition("episode_chunk").sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
+    # statistics of what was written, and of these chunks' other features and episodes as they were
+    numbers = [f.name for f in values.schema.fields if f.name in names and isinstance(f.dataType, T.NumericType)]
+    x = lambda c: F.col(c).cast("double")
+    own = lambda c: F.struct(F.lit(c).alias("feature"), F.lit(0).alias("dim"), F.min(x(c)).alias("min"), F.max(x(c)).alias("max"), F.avg(x(c)).alias("mean"), F.stddev_pop(x(c)).alias("std"), F.count(c).alias("count"))
+    fresh = spark.createDataFrame([], STATS)
+    if numbers:
+        each = values.join(who, "episode_index", "left_semi").groupBy("episode_index").agg(*(own(c).alias(f"_{c}") for c in numbers))
+        fresh = each.select("episode_index", F.explode(F.array(*(f"_{c}" for c in numbers))).alias("_s")).select("episode_index", "_s.*").filter("count > 0")
+    before = pieces(spark, path, "stats", parts["stats"], _stats_schema()).filter(F.col("episode_chunk").isin(chunks)).drop("episode_chunk")
+    mine = who.crossJoin(spark.createDataFrame([(c,) for c in names], "feature string"))  # a few names
+    stats = before.join(mine, ["episode_index", "feature"], "left_anti").unionByName(fresh)
+    stats.withColumn("episode_chunk", _chunk()).repartition("episode_chunk").sortWithinPartitions("episode_index", "feature").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/stats")
+    less = lambda folders: [[f, sorted({*w, *chunks})] for f, w in folders] + [[version, []]]
+    told = json.dumps({"frames": less(parts["frames"]), "stats": less(parts["stats"]), "tables": parts["tables"]})
+    info = json.loads(last.info)
+    info["features"] = info.get("features", {}) | (features or {})
+    new = T.StructType([*(f for f in schema.fields if f.name not in names), *(f for f in changed.schema.fields if f.name in names)])
+    append_row(spark, f"{path}/versions", POINTER, (last.number + 1, version, json.dumps(info, sort_keys=True), new.json(), told))
+    return chunks
+
+
+class SidecarTable:
+    """A table of records of episodes beside a dataset, in the order of ``order``; a change writes a new version and then a line that names it."""
+
+    POINTER = "number long, version string"
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, order: list[str]):
+        self.spark, self.path, self.schema, self.order = spark, path, schema, order
+
+    def read(self) -> DataFrame:
+        row = latest(self.spark, f"{self.path}/versions", self.POINTER)
+        return self.spark.read.schema(self.schema).json(f"{self.path}/{row.version}") if row else self.spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, version: str) -> None:
+        """All rows, sorted through all files; a version that stands is not written again."""
+        last = latest(self.spark, f"{self.path}/versions", self.POINTER)
+        if last and last.version == version:
+            return
+        rows.repartitionByRange(*self.order).sortWithinPartitions(*self.order).write.mode("overwrite").json(f"{self.path}/{version}")
+        append_row(self.spark, f"{self.path}/versions", self.POINTER, (last.number + 1 if last else 0, version))
+
+    def replace_scanned(self, new: DataFrame, scanned: DataFrame | None, version: str, of: Column | None = None) -> None:
+        """Records of scanned episodes (None: all) that satisfy ``of`` go, the new ones come; all others stay."""
+        of = F.lit(True) if of is None else F.coalesce(of, F.lit(False))
+        old = self.read().withColumn("_of", of)
+        if scanned is None:
+            kept = old.filter(~F.col("_of"))
+        else:
+            gone = scanned.select("episode_index").distinct().withColumn("_gone", F.lit(True))
+            kept = old.join(gone, "episode_index", "left").filter(F.col("_gone").isNull() | ~F.col("_of")).drop("_gone")
+        columns = self.read().columns
+        self.write(kept.select(*columns).unionByName(new.select(*columns)), version)
+
+    def add_missing(self, new: DataFrame, version: str, overwrite: bool = False) -> None:
+        """Records of episodes that have none yet, or with ``overwrite`` of all episodes of ``new``."""
+        old, columns = self.read(), self.read().columns
+        names = lambda df: df.select("episode_index").distinct()
+        if overwrite:
+            old = old.join(names(new), "episode_index", "left_anti")
+        else:
+            new = new.join(names(old), "episode_index", "left_anti")
+        self.write(old.unionByName(new.select(*columns)), version)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -117,11 +234,7 @@ def manifest(episodes: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for one use, below the one that spark.checkpoint.dir names; in one process a temporary one serves."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder and (context.master.startswith("local-") or not context.master.startswith("local")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{folder or tempfile.mkdtemp(prefix='scratch-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark) or tempfile.mkdtemp(prefix='scratch-')}/{name}-{uuid.uuid4().hex}"
 
 
 def created(spark: SparkSession, fps: float, robot_type: str, features: dict[str, dict]) -> EpisodicDataset:
