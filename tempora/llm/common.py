@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -53,6 +54,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has the driver collect what nothing refers to any more, so that Spark's cleaner removes those shuffles and checkpoints."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores until no column has it in any case."""
     have = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Words, blocks, checkpointed, gram_hash, mix, prefix_hash, released, span_hash, spread, table
+from .common import WORD_BASE, Words, blocks, checkpointed, forget, gram_hash, mix, prefix_hash, released, span_hash, spread, table
 from .components import components
 
 SHINGLE = 5
@@ -204,20 +204,8 @@ def _unresolved(member: DataFrame) -> DataFrame:
     return member.join(several, "bucket", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept of each row.
-
-    A set holds the distinct runs of five words, A-Z in lower case; with fewer words the whole sequence; without words,
-    or for a null text, it is empty and linked with nothing. Rows are linked at a similarity of 0.75 or more, whatever
-    their ids: rows that share an id, or have none, are rows of their own. class_id: the least id with the same set;
-    component_id: the least id of the component; both null if none of those rows has an id. kept: component_id is the
-    row's own id; where a component has no id, one of its rows is kept. Shingles are compared by 64 bits of hash, and
-    equal sets by 128 bits of a digest of them. Other columns are not read.
-    """
-    ready = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    signed = checkpointed(ready.mapInArrow(released(_signed), "doc long, row long, n long, node long, check long, bands array<long>"))
-    name = ["node", "check"]
-    classes = checkpointed(signed.filter("n > 0").groupBy(*name).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+def _parted(ready: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, comp: the component of each node that shares a bucket with another."""
     placed = classes.select("node", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"), F.explode("bands").alias("bucket"))
     # the centre of a bucket is its earliest document, which copies are often copies of
     centres = placed.groupBy("bucket").agg(F.min(F.struct("least", "node")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("bucket", F.col("first.node").alias("centre"))
@@ -240,13 +228,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     again = open_.join(hubs, "bucket").filter("comp != to").select("node", "centre", "comp", "to").distinct()
     joined = _verified(again, sets, "comp", "to")
     final = components(joined, "a", "b").withColumnRenamed("node", "comp")
-    part = part.join(final, "comp", "left").select("node", "n", F.coalesce("component", "comp").alias("comp"))
+    part = checkpointed(part.join(final, "comp", "left").select("node", "n", F.coalesce("component", "comp").alias("comp")))
     member = checkpointed(_unresolved(member.join(final, "comp", "left").select("bucket", "node", "n", F.coalesce("component", "comp").alias("comp"))))
+    # what the steps before have written goes before sets travel to their blocks
+    del starred, links, open_, hubs, again, joined, degree, votes, ends, wanted
+    forget(ready.sparkSession)
     keys = ("bucket", "window", "s", "m")
     rows = _blocks_of(member).join(sets, "node").select(*keys, "outside", "comp", "set")
     more = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(_compare), "a long, b long")
     final = components(more.distinct(), "a", "b").withColumnRenamed("node", "comp")
-    part = part.select("node", "comp").join(final, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp"))
+    return checkpointed(part.select("node", "comp").join(final, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, kept of each row.
+
+    A set holds the distinct runs of five words, A-Z in lower case; with fewer words the whole sequence; without words,
+    or for a null text, it is empty and linked with nothing. Rows are linked at a similarity of 0.75 or more, whatever
+    their ids: rows that share an id, or have none, are rows of their own. class_id: the least id with the same set;
+    component_id: the least id of the component; both null if none of those rows has an id. kept: component_id is the
+    row's own id; where a component has no id, one of its rows is kept. Shingles are compared by 64 bits of hash, and
+    equal sets by 128 bits of a digest of them. Other columns are not read.
+    """
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+    signed = checkpointed(ready.mapInArrow(released(_signed), "doc long, row long, n long, node long, check long, bands array<long>"))
+    name = ["node", "check"]
+    classes = checkpointed(signed.filter("n > 0").groupBy(*name).agg(F.min("doc").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    part = _parted(ready, classes)
+    forget(ready.sparkSession)  # sets and buckets are of no more use
     of_class = classes.select(*name, "least", "row").join(part, "node", "left").select(*name, "least", "row", F.coalesce("comp", "node").alias("comp"))
     tops = of_class.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("row").alias("first"))
     known = of_class.join(tops, "comp").select(*name, F.col("least").alias("class_id"), "component_id", "first", F.lit(True).alias("known"))

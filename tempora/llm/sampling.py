@@ -34,17 +34,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     if most_bytes is not None:
         found = found.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 16)
     kept = checkpointed(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SCALE)) / SCALE))
-    if most_bytes is not None:
-        place = F.struct(F.xxhash64("doc_id", F.lit(13)).alias("at"), "doc_id", "label")
-        total, last = 0, None
-        rows = sorted((tuple(r["place"]), r["size"]) for r in kept.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), place.alias("place")).collect())
-        for at, size in rows:  # about ``limit`` numbers
-            total += size
-            if total > most_bytes:
-                break
-            last = at
-        if last is None:
-            return kept.limit(0)
+    if most_bytes is None:
+        return kept
+    at = F.xxhash64("doc_id", F.lit(13))
+    sizes: dict[int, int] = {}
+    for r in kept.select(at.alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).collect():  # about ``limit`` pairs of numbers
+        sizes[r["at"]] = sizes.get(r["at"], 0) + r["size"]
+    total, last = 0, None
+    for place in sorted(sizes):
+        total += sizes[place]
         if total > most_bytes:
-            kept = kept.filter(place <= F.struct(*(F.lit(x) for x in last)))
+            return kept.filter(at <= last) if last is not None else kept.limit(0)
+        last = place
     return kept
