@@ -4,34 +4,182 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.dataset import append_row, latest
 
 FRAMES = "episode_index long, frame_index long, timestamp double, value double, last boolean"
+QUEUE = "episode_index long, seq long, queue array<double>"
+ENSEMBLED = "episode_index long, step long, action double, predictions int"
+#: The state store that transformWithState needs.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def record(stream: DataFrame, fps: float) -> DataFrame:
+class _Idle(StatefulProcessor):
+    """State that goes when the watermark has passed the last row of its key by ``idle`` milliseconds (None: it stays)."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.keep()
+
+    def keep(self) -> None:
+        """Names the states."""
+
+    def forget(self) -> None:
+        """Clears them."""
+
+    def again(self, batch: pd.DataFrame) -> None:
+        """Older timers go, one for the last of these rows is set."""
+        self.stop()
+        if self.idle is not None:
+            self.handle.registerTimer(int(batch["event_ms"].max()) + self.idle)
+
+    def stop(self) -> None:
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(stream: DataFrame, processor: _Idle, schema: str, time: str | None) -> DataFrame:
+    """``processor`` over the episodes of a stream; with a column ``time``, which must have a watermark, abandoned ones are forgotten."""
+    if time is not None:
+        stream = stream.withColumn("event_ms", F.unix_millis(time))
+    return stream.groupBy("episode_index").transformWithStateInPandas(processor, schema, "Append", "EventTime" if time is not None else "None")
+
+
+class _Recorder(_Idle):
+    def __init__(self, fps: float, idle: int | None):
+        super().__init__(idle)
+        self.fps = fps
+
+    def keep(self) -> None:
+        self.next = self.handle.getValueState("next", "n long")
+
+    def forget(self) -> None:
+        self.next.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.next.get()[0] if self.next.exists() else 0
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        number = np.arange(n, n + len(batch))
+        if batch["last"].any():
+            self.forget()
+            self.stop()
+        else:
+            self.next.update((int(n + len(batch)),))
+            self.again(batch)
+        yield pd.DataFrame({"episode_index": key[0], "frame_index": number, "timestamp": number / self.fps, "value": batch["value"].to_numpy(), "last": batch["last"].to_numpy()})
+
+
+def record(stream: DataFrame, fps: float, time: str | None = None, idle: int = 3_600_000) -> DataFrame:
     """Numbers the frames of each episode as they come (in the order of ``seq`` within a batch), timestamp = frame / fps.
 
-    The state of an episode is its next frame number; it goes when a row marked ``last`` has come.
+    The state of an episode is its next frame number. It goes when a row marked ``last`` has come, and that of an abandoned
+    episode when the watermark of the column ``time`` has passed its last row by ``idle`` milliseconds.
     """
+    return _with_state(stream, _Recorder(fps, None if time is None else idle), FRAMES, time)
+
+
+class _Queue(_Idle):
+    def __init__(self, n: int, idle: int | None):
+        super().__init__(idle)
+        self.n = n
+
+    def keep(self) -> None:
+        self.last = self.handle.getListState("last", "value double")
+
+    def forget(self) -> None:
+        self.last.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [r[0] for r in self.last.get()]
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        out = []
+        for value in batch["value"].tolist():
+            held = [*held, value][-self.n :] if held else [value] * self.n
+            out.append(list(held))
+        if batch["last"].any():
+            self.forget()
+            self.stop()
+        else:
+            self.last.put([(float(v),) for v in held])
+            self.again(batch)
+        yield pd.DataFrame({"episode_index": key[0], "seq": batch["seq"].to_numpy(), "queue": out})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = pd.DataFrame({"episode_index": key[0], "frame_index": range(n, n + len(rows)), "value": rows["value"].to_numpy(), "last": rows["last"].to_numpy()})
-        out.insert(2, "timestamp", out["frame_index"] / fps)
-        if out["last"].any():
-            state.remove()
+
+def observation_queue(stream: DataFrame, n: int, time: str | None = None, idle: int = 3_600_000) -> DataFrame:
+    """The last n values of an episode at each row that comes; before there are n, the first one repeats.
+
+    The queue lives in list state and goes with a row marked ``last``, or as in ``record``.
+    """
+    return _with_state(stream, _Queue(n, None if time is None else idle), QUEUE, time)
+
+
+class _Ensembler(_Idle):
+    def __init__(self, coefficient: float, idle: int | None):
+        super().__init__(idle)
+        self.coefficient = coefficient
+
+    def keep(self) -> None:
+        self.sums = self.handle.getMapState("sums", "step long", "total double, weight double, n int")
+
+    def forget(self) -> None:
+        self.sums.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("step", kind="stable")
+        held = {k[0]: tuple(v) for k, v in self.sums.iterator()}
+        out = []
+        for step, chunk in zip(batch["step"].tolist(), batch["chunk"].tolist(), strict=True):
+            for k, x in enumerate(chunk):
+                total, weight, n = held.get(step + k, (0.0, 0.0, 0))
+                w = float(np.exp(-self.coefficient * n))  # the oldest prediction of a step weighs most
+                held[step + k] = (total + w * x, weight + w, n + 1)
+            total, weight, n = held.pop(step)
+            out.append((key[0], step, total / weight, n))
+            held = {k: v for k, v in held.items() if k > step}
+        self.forget()
+        if batch["last"].any():
+            self.stop()
         else:
-            state.update((n + len(rows),))
-        yield out
+            for k, v in held.items():
+                self.sums.updateValue((int(k),), (float(v[0]), float(v[1]), int(v[2])))
+            self.again(batch)
+        yield pd.DataFrame(out, columns=["episode_index", "step", "action", "predictions"])
 
-    return stream.groupBy("episode_index").applyInPandasWithState(step, FRAMES, "n long", "append", GroupStateTimeout.NoTimeout)
+
+def ensembled(stream: DataFrame, coefficient: float = 0.01, time: str | None = None, idle: int = 3_600_000) -> DataFrame:
+    """Each step's action as the mean of all predictions made for it so far, the i-th with weight exp(-coefficient * i).
+
+    stream: episode_index, step, chunk (predictions for this step and those that follow), last. Map state holds the sums of
+    the steps to come, and goes as in ``record``.
+    """
+    return _with_state(stream, _Ensembler(coefficient, None if time is None else idle), ENSEMBLED, time)
+
+
+def run_to(stream: DataFrame, path: str) -> None:
+    """All that a bounded source holds now, written as Parquet below ``path`` and nowhere else; a second run goes on where the first one ended."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], before)
 
 
 class FifoBuffer:
