@@ -45,6 +45,20 @@ def typed(text: Column, schema: str, lengths: dict[str, int] | None = None) -> C
     return F.struct(F.when(wrong.isNull(), value).alias("value"), wrong.alias("error"))
 
 
-def safe(value: Column) -> Column:
-    """A value as JSON text; numbers that JSON lacks are null."""
-    return F.regexp_replace(F.to_json(value, {"ignoreNullFields": "false"}), r'"(?:NaN|-?Infinity)"', "null")
+def _finite(value: Column, kind: T.DataType) -> Column:
+    """``value`` with null for each number that JSON lacks, however deep; texts stay as they are."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(value) < float("inf"), value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    return value
+
+
+def safe(value: Column, kind: T.DataType | str) -> Column:
+    """A value of a known type (or its DDL) as JSON text; numbers that JSON lacks are null."""
+    kind = T.StructType.fromDDL(f"_ {kind}")[0].dataType if isinstance(kind, str) else kind
+    return F.to_json(_finite(value, kind), {"ignoreNullFields": "false"})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import EPISODE, ORDER, global_index, over, running
+from .written import written
 
 
 def dense(ids: DataFrame, key: str, out: str) -> DataFrame:
@@ -16,9 +17,10 @@ def dense(ids: DataFrame, key: str, out: str) -> DataFrame:
 def renumbered(frames: DataFrame) -> DataFrame:
     """Frames with dense episode numbers and a fresh global index; ``old_episode`` keeps the former number.
 
-    Numbers and offsets are given on one table of episodes, which the frames join once.
+    Numbers and offsets are given on one table of episodes, which is written and which the frames join once.
     """
-    episodes = running(frames.groupBy(F.col(EPISODE).alias("old_episode")).agg(F.count("*").alias("_n")), "old_episode", {EPISODE: None, "_from": "_n"}).drop("_n")
+    lengths = written(frames.groupBy(F.col(EPISODE).alias("old_episode")).agg(F.count("*").alias("_n")))
+    episodes = running(lengths, "old_episode", {EPISODE: None, "_from": "_n"}).drop("_n")
     named = frames.withColumnRenamed(EPISODE, "old_episode").join(episodes, "old_episode")
     return named.withColumn("index", F.col("_from") + F.col(ORDER)).drop("_from")
 
@@ -35,7 +37,7 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     for k, part in enumerate(parts):
         part = part.withColumn("source", F.lit(k))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    numbers = rows.groupBy("source", EPISODE).agg(F.count("*").alias("_n"))
+    numbers = written(rows.groupBy("source", EPISODE).agg(F.count("*").alias("_n")))
     # one long that sorts as (source, episode)
     span = numbers.agg((F.max(EPISODE) - F.min(EPISODE) + 1).alias("_span"), F.min(EPISODE).alias("_lo"))
     numbers = numbers.join(F.broadcast(span)).select("source", EPISODE, "_n", (F.col("source") * F.col("_span") + F.col(EPISODE) - F.col("_lo")).alias("_key"))
@@ -122,9 +124,26 @@ def append_tasks(tasks: DataFrame, texts: DataFrame) -> DataFrame:
     """Texts that the dictionary lacks, numbered on from its largest index, in their own order."""
     fresh = texts.select("task").distinct().join(tasks, "task", "left_anti")
     top = tasks.agg(F.coalesce(F.max("task_index"), F.lit(-1)).alias("_top"))
-    # the dictionary is small; its new texts are numbered in one task
-    numbered = fresh.withColumn("_r", F.row_number().over(Window.orderBy("task"))).join(F.broadcast(top))
-    return tasks.select("task_index", "task").unionByName(numbered.select((F.col("_top") + F.col("_r")).cast("long").alias("task_index"), "task"))
+    numbered = in_text_order(fresh, "task", "_r").join(F.broadcast(top))
+    return tasks.select("task_index", "task").unionByName(numbered.select((F.col("_top") + 1 + F.col("_r")).cast("long").alias("task_index"), "task"))
+
+
+def in_text_order(texts: DataFrame, column: str, out: str) -> DataFrame:
+    """Numbers from 0 in the order of distinct texts: ranges of them are sorted each on its own and numbered on."""
+    part = written(texts.select(column).repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()))
+    # one row for each range
+    ranges = part.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = ranges.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return part.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part").select(column, (F.col("_before") + inside).alias(out))
+
+
+def compacted(rows: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks that no row has any more go, the others are numbered on from 0 in their order, and rows follow."""
+    used = written(tasks.join(rows.select("task_index").distinct(), "task_index", "left_semi"))
+    new = running(used, "task_index", {"_new": None})
+    moved = rows.join(new.select("task_index", "_new"), "task_index").withColumn("task_index", F.col("_new")).drop("_new")
+    return moved, new.select(F.col("_new").alias("task_index"), "task")
 
 
 def overlay(original: DataFrame, reviewed: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from .temporal import EPISODE
+from .written import written
 
 #: Buckets of durations in seconds, left-closed, the last one open (fixed values).
 DURATIONS = ((0, "0-5s"), (5, "5-10s"), (10, "10-15s"), (15, "15-20s"), (20, "20-30s"), (30, "30-45s"), (45, "45-60s"), (60, "60s+"))
@@ -105,3 +106,53 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     side = lambda t, n: t.select("distribution", "key", F.col("count").alias(f"count_{n}"), F.col("percent").alias(f"percent_{n}"))
     both = side(a, "a").join(side(b, "b"), ["distribution", "key"], "full")
     return both.select("distribution", "key", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("count_a", "percent_a", "count_b", "percent_b")))
+
+
+def side(frames: DataFrame, tasks: DataFrame, info: dict, tags: DataFrame | None = None, action: str = "action", episodes: int = 64) -> DataFrame:
+    """Section, key, value of one dataset: metadata, action statistics, vocabulary, scenarios of its tasks and tags.
+
+    frames: episode_index, frame_index and the action vector; tasks: task_index, task; tags: episode_index, tags (map of
+    strings). Action statistics are of the first ``episodes`` episodes, shorter vectors filled with zeros. All counts come
+    from one pass over the frames, one over the tasks and one over the tags.
+    """
+    cell = lambda section, key, value: F.struct(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+    long = lambda rows: rows.select(F.explode("_c").alias("_c")).select("_c.*").filter("value is not null")
+    lengths = written(frames.groupBy(EPISODE).agg(F.count("*").alias("_n"), F.max(F.size(action)).alias("_w")))
+    first = lengths.orderBy(EPISODE).limit(episodes)
+    totals = lengths.agg(F.count("*").alias("e"), F.coalesce(F.sum("_n"), F.lit(0)).alias("f"))
+    kinds = parsed_tasks(tasks)
+    counted = tasks.agg(F.count("*").alias("t"))
+    meta = totals.join(F.broadcast(counted)).select(F.array(cell("metadata", F.lit("total_episodes"), F.col("e")), cell("metadata", F.lit("total_frames"), F.col("f")), cell("metadata", F.lit("total_tasks"), F.col("t")), cell("metadata", F.lit("fps"), F.lit(info.get("fps")))).alias("_c"))
+    width = (first.agg(F.max("_w")).first()[0]) or 0
+    out = long(meta)
+    if width:
+        x = [F.coalesce(F.get(action, F.lit(k)).cast("double"), F.lit(0.0)) for k in range(width)]
+        some = frames.join(F.broadcast(first.select(EPISODE)), EPISODE).filter(F.col(action).isNotNull())  # ``episodes`` rows
+        of = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+        each = some.agg(*(f(c).alias(f"{n}_{k}") for n, f in of.items() for k, c in enumerate(x)))
+        cells = [cell("action", F.lit(f"{n}_{k}"), F.col(f"{n}_{k}")) for n in of for k in range(width)]
+        out = out.unionByName(long(each.select(F.array(cell("action", F.lit("dims"), F.lit(width)), *cells).alias("_c"))))
+    scenario = kinds.groupBy("scenario").agg(F.count("*").alias("n")).select(F.array(cell("scenarios", F.col("scenario"), F.col("n"))).alias("_c"))
+    named = kinds.select(F.explode(F.array_compact(F.array("target", "reference"))).alias("o")).distinct().select(F.array(cell("vocabulary", F.col("o"), F.lit(1))).alias("_c"))
+    out = out.unionByName(long(scenario)).unionByName(long(named))
+    if tags is not None:
+        marks = tags.select(F.explode("tags").alias("k", "v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+        out = out.unionByName(long(marks.select(F.array(cell("tags", F.concat("k", F.lit("="), F.coalesce("v", F.lit("None"))), F.col("n"))).alias("_c"))))
+    return out
+
+
+def parsed_tasks(tasks: DataFrame) -> DataFrame:
+    """scenario, target and reference (lower case) of each task; unknown where the text has no known form."""
+    from ..functions import text as x
+
+    p = x.parse_prompt(F.col("task"))
+    low = lambda c: F.nullif(F.lower(x.stripped(c)), F.lit(""))
+    scenario = x.one_of(p["kind"], {"give": "give", "single": "single_pick", "absolute": "directional_pick", "relative": "relative_pick"})
+    return tasks.select(F.coalesce(scenario, F.lit("unknown")).alias("scenario"), low(p["target"]).alias("target"), low(p["reference"]).alias("reference"))
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Section, key, a, b and where the key is (a_only, b_only, both), by one join of two tables of ``side``."""
+    mine = lambda t, n: t.select("section", "key", F.col("value").alias(n))
+    where = F.when(F.col("b").isNull(), "a_only").when(F.col("a").isNull(), "b_only").otherwise("both")
+    return mine(a, "a").join(mine(b, "b"), ["section", "key"], "full").select("section", "key", "a", "b", where.alias("where"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as x
-from .algebra import overwrite_scanned
+from .algebra import append_tasks, overwrite_scanned
 from .annotate import area, center
 from .temporal import EPISODE, running
 
@@ -207,11 +207,7 @@ def constructed(frames: DataFrame, plans: DataFrame, tasks: DataFrame, first_epi
     plans: pick order (``number`` from 0), episode_index and new_task; tasks: task_index, task. Positive episodes are
     the frames as they are.
     """
-    new = plans.select("new_task").distinct().withColumnRenamed("new_task", "task").join(tasks, "task", "left_anti")
-    top = tasks.agg(F.coalesce(F.max("task_index"), F.lit(-1)).alias("_top"))
-    # new prompts are a handful of objects and places
-    numbered = new.withColumn("_r", F.row_number().over(Window.orderBy("task"))).join(F.broadcast(top)).select((F.col("_top") + F.col("_r")).cast("long").alias("task_index"), "task")
-    every = tasks.select("task_index", "task").unionByName(numbered)
+    every = append_tasks(tasks, plans.select(F.col("new_task").alias("task")))
     named = plans.select(EPISODE, "number", F.col("new_task").alias("task")).join(every.withColumnRenamed("task_index", "_task"), "task").drop("task")
     out = frames.join(named, EPISODE).withColumns({EPISODE: F.col("number") + first_episode, "task_index": F.col("_task"), "exist_label": F.lit(0).cast("long")})
     return out.drop("_task", "number"), every

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .written import written
+
 EPISODE, ORDER = "episode_index", "frame_index"
 #: Frames of a piece of an episode.
 SPAN = 1 << 16
@@ -279,5 +281,5 @@ def stage_states(df: DataFrame, bounds: DataFrame, give: bool = False) -> DataFr
 
 def global_index(df: DataFrame) -> DataFrame:
     """index = offset of the episode + frame_index."""
-    starts = offsets_from_lengths(df.groupBy(EPISODE).agg(F.count("*").alias("length"))).select(EPISODE, "from_index")
+    starts = offsets_from_lengths(written(df.groupBy(EPISODE).agg(F.count("*").alias("length")))).select(EPISODE, "from_index")
     return df.join(starts, EPISODE).withColumn("index", F.col("from_index") + F.col(ORDER)).drop("from_index")

@@ -332,12 +332,14 @@ def typed_json(spark, d):
     return cases(spark, d, [c[:1] for c in TYPED_CASES]).withColumn("v", v).select("id", F.col("v.value.a").alias("a"), F.col("v.error").alias("error"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"x\":null,\"n\":' || event_id || '}' ELSE '{\"x\":' || (event_id % 7) || '.5,\"n\":' || event_id || '}' END AS json FROM events")
+@query("""SELECT event_id, '{"x":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 7) || '.5' END || ',"name":"' || CASE WHEN event_id % 2 = 0 THEN 'NaN' ELSE event_type END || '","all":[' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '1.0' END || ',2.0],"n":' || event_id || '}' AS json FROM events""")
 def safe_json(spark, d):
-    """N05."""
-    e = table(spark, d, "events").select("event_id")
-    v = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("event_id") % 7 + 0.5)
-    return e.select("event_id", j.safe(F.struct(v.alias("x"), F.col("event_id").alias("n"))).alias("json"))
+    """Numbers that are not finite are null, texts that say so are kept."""
+    e = table(spark, d, "events")
+    no = lambda k, x, y: F.when(F.col("event_id") % k == 0, F.lit(float(x))).otherwise(y)
+    x, name = no(3, "nan", F.col("event_id") % 7 + 0.5), F.when(F.col("event_id") % 2 == 0, "NaN").otherwise(F.col("event_type"))
+    value = F.struct(x.alias("x"), name.alias("name"), F.array(no(5, "-inf", F.lit(1.0)), F.lit(2.0)).alias("all"), F.col("event_id").alias("n"))
+    return e.select("event_id", j.safe(value, "struct<x:double,name:string,all:array<double>,n:bigint>").alias("json"))
 
 
 @query(f"WITH {ORDER_FRAMES} SELECT episode_index FROM o WHERE frame_index = 0 AND floor(action[3] * 100) % 2 = 0")
