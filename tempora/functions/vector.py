@@ -104,11 +104,13 @@ def percent_gripper(x: Column) -> Column:
 
 
 def pca_2d(df: DataFrame, vector: str, key: str) -> DataFrame:
-    """Two principal components of centred vectors; the largest loading of each is positive."""
+    """Two principal components of centred vectors; the largest loading of each is positive. A single row lies at the origin."""
     import numpy as np
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if df.limit(2).count() < 2:
+        return df.select(key, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
     centred = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(rows).transform(rows)
     model = PCA(k=2, inputCol="_c", outputCol="_p").fit(centred)

@@ -238,6 +238,18 @@ def last_observations(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.withColumn(f"{column}_queue", F.array(*(F.coalesce(F.lag(column, k).over(w), first) if k else F.col(column) for k in range(n - 1, -1, -1))))
 
 
+def last_result(stream: DataFrame, path: str) -> DataFrame:
+    """What a bounded stream of complete results ends with: each batch writes its result to a folder of its own, the last one counts."""
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
+        done.append(number)
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/out/{max(done)}")
+
+
 def replay(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Stored files as a stream, one file at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -144,6 +144,26 @@ def test_kmeans(spark):
     rows = [(i, (centres[i % 3] + 0.1 * local.normal(size=4)).tolist()) for i in range(90)]
     got = {r.id: r.cluster for r in kmeans(spark.createDataFrame(rows, "id long, v array<double>"), "v", 3, 10).collect()}
     assert len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in range(90))
+    # each row lies with the nearest of the means of the clusters
+    x = np.array([v for _, v in rows])
+    means = {c: x[[i for i in range(90) if got[i] == c]].mean(axis=0) for c in set(got.values())}
+    assert all(min(means, key=lambda c: np.linalg.norm(x[i] - means[c])) == got[i] for i in range(90))
+
+
+def test_pca(spark):
+    from tempora.functions.vector import pca_2d
+
+    local = np.random.default_rng(4)
+    x = local.normal(size=(60, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) @ np.linalg.qr(local.normal(size=(5, 5)))[0] + 7
+    got = {r.id: (r.x, r.y) for r in pca_2d(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "v", "id").collect()}
+    centred = x - x.mean(axis=0)
+    _, _, vt = np.linalg.svd(centred, full_matrices=False)
+    for k in range(2):
+        axis = vt[k] * np.sign(vt[k][np.abs(vt[k]).argmax()])
+        assert np.allclose([got[i][k] for i in range(60)], centred @ axis)
+    one = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id long, v array<double>")
+    assert [tuple(r) for r in pca_2d(one, "v", "id").collect()] == [(1, 0.0, 0.0)]
+    assert pca_2d(one.limit(0), "v", "id").count() == 0
 
 
 def test_running_sums(spark):

@@ -68,10 +68,8 @@ def test_streams(spark, tmp_path):
     for k, rows in enumerate([[(1, 0, 1.0, False), (2, 1, 5.0, False), (1, 2, 2.0, False)], [(1, 3, 3.0, True), (2, 4, 6.0, False)], [(1, 5, 9.0, False)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = ingest.record(stream, 10).writeStream.format("memory").queryName("recorded").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((r.episode_index, r.frame_index, r.value) for r in spark.table("recorded").collect())
+    ingest.run_to(ingest.record(stream, 10), f"{tmp_path}/recorded")
+    got = sorted((r.episode_index, r.frame_index, r.value) for r in spark.read.parquet(f"{tmp_path}/recorded/out").collect())
     assert len(got) == 6 and {(e, f) for e, f, _ in got} >= {(1, 0), (1, 1), (2, 0), (2, 1)}
     buffer = ingest.FifoBuffer(spark, f"{tmp_path}/fifo", 4)
     q = buffer.sink(stream, ["seq"], f"{tmp_path}/ck").start()
