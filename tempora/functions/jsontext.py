@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 
 def extract(text: Column) -> Column:
-    """The JSON of a fenced block, or else from the first { or [ to the last one that closes it."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    loose = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.nullif(F.trim(F.when(fenced != "", fenced).otherwise(loose)), F.lit(""))
+    """The JSON of a fenced block or else of the text: all of it, or from the first { or [ to the last one that closes it, or the array in it; null if none of these is JSON."""
+    block = r"(?is)```(?:json)?\s*(.*?)\s*```"
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    base = trim(F.when(text.rlike(block), F.regexp_extract(text, block, 1)).otherwise(text))
+    parsed = lambda c: F.when(F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull(), c)
+    return F.coalesce(parsed(base), *(parsed(F.regexp_extract(base, p, 0)) for p in (r"(?s)\{.*\}|\[.*\]", r"(?s)\[.*\]")))
 
 
 def lookup(record: Column, *names: str) -> Column:

@@ -514,13 +514,17 @@ def tolerant_lines(spark, d):
     return ds.read_jsonl(spark, path, "episode_index long, task string", "episode_index")
 
 
-@query(f"WITH {ORDER_FRAMES} SELECT episode_index, count(*) AS rows, round(sum(action[1]), 4) AS first, round(sum(action[4]), 4) AS last FROM o WHERE frame_index % 2 = 0 AND episode_index % 50 = 7 GROUP BY 1")
+@query(f"WITH {EVENT_FRAMES}, x AS (SELECT *, max(event_id % 6) OVER (PARTITION BY episode_index) AS top FROM f) SELECT episode_index, count(*) AS rows, round(sum(value), 4) AS first, sum(frame_index % 7)::DOUBLE AS last, round(sum((event_id % 6) / top), 4) AS stage FROM x WHERE frame_index % 2 = 0 GROUP BY 1")
 def exported_csv(spark, d):
-    """Some episodes as CSV, every second frame, read again."""
+    """Every second frame of all episodes as CSV with the stage from 0 to 1, read again."""
+    from ..operators.select import stage_shares
+
     path = ds.scratch(spark, "csv")
-    ds.export_csv(order_frames(spark, d).filter("episode_index % 50 = 7").withColumn("timestamp", F.col("frame_index") / 10), {"action": 4}, path, 2)
+    f = stage_shares(event_frames(spark, d).withColumn("stage", F.col("event_id") % 6)).withColumn("action", F.array("value", F.col("frame_index") % 7))
+    ds.export_csv(f, {"action": 2}, path, 2, ["stage"])
     back = spark.read.csv(path, header=True, inferSchema=True)
-    return back.groupBy(F.col("episode_index").cast("long").alias("episode_index")).agg(F.count("*").alias("rows"), F.round(F.sum("action_0"), 4).alias("first"), F.round(F.sum("action_3"), 4).alias("last"))
+    each = back.groupBy(F.col("episode_index").cast("long").alias("episode_index"))
+    return each.agg(F.count("*").alias("rows"), F.round(F.sum("action_0"), 4).alias("first"), F.sum(F.col("action_1").cast("double")).alias("last"), F.round(F.sum("stage"), 4).alias("stage"))
 
 
 @query(f"WITH {EVENT_FRAMES}, e AS (SELECT episode_index, count(*) AS n FROM f GROUP BY 1) SELECT episode_index // 1000 AS chunk, count(*) AS episodes, sum(n)::BIGINT AS frames FROM e GROUP BY 1")

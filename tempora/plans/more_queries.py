@@ -160,3 +160,68 @@ def ensembled_actions(spark, d):
     stream = _arriving(spark, d, path, "episode_index long, seq long, value double, last boolean, step long, chunk array<double>", step, chunk)
     ingest.run_to(ingest.ensembled(stream.select("episode_index", "step", "chunk", "last"), 0.5), path)
     return spark.read.parquet(f"{path}/out").withColumn("action", F.round("action", 6))
+
+
+# selection
+
+@query("""WITH e AS (SELECT conv_id AS episode_index, list(DISTINCT role ORDER BY role) AS tasks, count(*) AS length FROM conversations GROUP BY 1) SELECT episode_index, array_to_string(tasks, ',') AS tasks, length FROM e WHERE episode_index >= 10 AND episode_index < 100000 AND (list_contains(tasks, 'assistant') OR list_contains(tasks, 'system'))""")
+def selected_by_tokens(spark, d):
+    """a range and a list of numbers and texts of tasks."""
+    from ..operators import select as sl
+
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("episode_index")).agg(F.array_sort(F.collect_set("role")).alias("tasks"), F.count("*").alias("length"))
+    tasks = spark.createDataFrame([(0, "assistant"), (1, "user")], "task_index long, task string")
+    return sl.selected_episodes(c, "10:100000", "0,\n system, 77", tasks).withColumn("tasks", F.array_join("tasks", ","))
+
+
+@query(f"""WITH {EVENT_FRAMES}, c AS (SELECT episode_index, min_by(frame_index, (abs(timestamp - 500000), frame_index)) AS a, min_by(frame_index, (abs(timestamp - 2000000), frame_index)) AS b FROM f WHERE episode_index % 2 = 0 GROUP BY 1),
+k AS (SELECT f.*, a FROM f LEFT JOIN c USING (episode_index) WHERE a IS NULL OR frame_index BETWEEN a AND b)
+SELECT episode_index, frame_index - coalesce(a, 0) AS frame_index, round(timestamp - CASE WHEN a IS NULL THEN 0 ELSE min(timestamp) OVER (PARTITION BY episode_index) END, 6) AS timestamp, value FROM k""")
+def trimmed_episodes(spark, d):
+    """half of the episodes cut to the frames nearest to two times, times from 0."""
+    from ..operators import select as sl
+
+    f = event_frames(spark, d).select("episode_index", "frame_index", "timestamp", "value")
+    times = f.filter("episode_index % 2 = 0").select("episode_index", F.lit(500000.0).alias("start_s"), F.lit(2000000.0).alias("end_s")).distinct()
+    return sl.trimmed(f, sl.nearest_frames(f, times)).withColumn("timestamp", F.round("timestamp", 6))
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_name AS a, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) END AS b FROM part WHERE p_partkey % 3 < 2), o AS (SELECT a AS object, k, true AS target FROM t UNION ALL SELECT b, k, false FROM t WHERE b IS NOT NULL)
+SELECT object, min(k) AS first_task, bool_or(target) AS is_target FROM o GROUP BY 1""")
+def object_vocabulary(spark, d):
+    """The objects of prompts about parts, and which are targets."""
+    from ..operators import select as sl
+
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    task = F.when(k % 3 == 0, F.concat(F.lit("Pick up the "), F.upper("p_name"), F.lit(" to the left of the "), "p_type")).when(k % 3 == 1, F.concat(F.lit("Give me "), "p_name")).otherwise(F.concat(F.lit("look at "), "p_name"))
+    return sl.object_vocabulary(p.select(k.alias("task_index"), task.alias("task")))
+
+
+@query(f"""WITH {EVENT_FRAMES}, t AS (SELECT task, row_number() OVER (ORDER BY task) - 1 AS task_index FROM (SELECT DISTINCT task FROM f)) SELECT episode_index, frame_index, task_index, f.task FROM f JOIN t ON t.task = f.task""")
+def indexed_tasks(spark, d):
+    """The index of a task's text, made from the texts."""
+    from ..operators import select as sl
+
+    f = event_frames(spark, d).select("episode_index", "frame_index", F.when(F.col("frame_index") % 2 == 0, F.col("task")).otherwise(F.concat(F.lit("tf.Tensor(b'"), "task", F.lit("', shape=(), dtype=string)"))).alias("said"))
+    rows, tasks = sl.with_task_index(f, "said")
+    return rows.drop("said").join(tasks, "task_index").select("episode_index", "frame_index", "task_index", "task")
+
+
+@query(f"""WITH {ORDER_FRAMES}, a AS (SELECT row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index, episode_index FROM o WHERE episode_index % 2 = 0), b AS (SELECT row_number() OVER (ORDER BY episode_index, frame_index) - 1 AS index, episode_index FROM o WHERE episode_index % 2 = 1)
+SELECT index, episode_index, 0 AS dataset_index, index AS "row" FROM a UNION ALL SELECT index, episode_index, 1, index + (SELECT count(*) FROM a) FROM b""")
+def routed_rows(spark, d):
+    """Two datasets with one numbering of their rows."""
+    from ..operators import select as sl
+    from ..operators import temporal as t
+
+    o = order_frames(spark, d)
+    parts = [t.global_index(o.filter(f"episode_index % 2 = {k}")) for k in (0, 1)]
+    return sl.routed([parts[0].drop("action"), parts[1]]).select("index", "episode_index", "dataset_index", "row")
+
+
+@query(f"WITH {ORDER_FRAMES} SELECT episode_index, frame_index FROM o WHERE episode_index IN (SELECT DISTINCT episode_index FROM o ORDER BY 1 LIMIT 50)")
+def first_fifty_episodes(spark, d):
+    """O03."""
+    from ..operators import select as sl
+
+    return sl.first_episodes(order_frames(spark, d).select("episode_index", "frame_index"), 50)

@@ -247,10 +247,14 @@ def vocabulary(spark, d):
     return words.groupBy("word").agg(F.min("p_partkey").alias("first"), F.count("*").alias("uses"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'text ```json ' || props || ' ``` end' AS text FROM events")
+@query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN props WHEN 4 THEN props WHEN 3 THEN '[' || props || ', 2]' END AS json FROM events""")
 def json_extract(spark, d):
-    e = table(spark, d, "events").withColumn("text", F.concat(F.lit("text ```json "), "props", F.lit(" ``` end")))
-    return e.select("event_id", F.get_json_object(j.extract(F.col("text")), "$.k").cast("long").alias("k"), "text")
+    """Fenced, bare, inside words, an array after a bracket that is no JSON, and cut off."""
+    n, p = F.col("event_id") % 5, F.col("props")
+    told = lambda before, after: F.concat(F.lit(before), p, F.lit(after))
+    text = F.when(n == 0, told("text ```JSON ", " ``` end {")).when(n == 1, told(" ", "\n")).when(n == 2, told("so: ", " it is")).when(n == 3, told("in {braces} [", ", 2] done")).otherwise(told("[", ""))
+    e = table(spark, d, "events").withColumn("json", j.extract(text))
+    return e.select("event_id", F.coalesce(F.get_json_object("json", "$.k"), F.get_json_object("json", "$[0].k")).cast("long").alias("k"), "json")
 
 
 @query("""SELECT user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'old' END AS background, 'old' AS arm FROM (SELECT DISTINCT user_id FROM events)""")

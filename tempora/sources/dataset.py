@@ -219,11 +219,11 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def export_csv(frames: DataFrame, vectors: dict[str, int], path: str, every: int = 1) -> None:
-    """Vectors flattened to columns, every n-th frame, one folder for each episode."""
+def export_csv(frames: DataFrame, vectors: dict[str, int], path: str, every: int = 1, scalars: list[str] | None = None) -> None:
+    """Vectors flattened to columns, scalars as they are, every n-th frame, one folder for each episode."""
     flat = frames.filter(F.col("frame_index") % every == 0)
     cells = [F.col(v)[i].alias(f"{v}_{i}") for v, n in vectors.items() for i in range(n)]
-    flat.select("episode_index", "timestamp", *cells).repartition("episode_index").sortWithinPartitions("timestamp").write.mode("overwrite").partitionBy("episode_index").csv(path, header=True)
+    flat.select("episode_index", "timestamp", *cells, *(scalars or [])).repartition("episode_index").sortWithinPartitions("timestamp").write.mode("overwrite").partitionBy("episode_index").csv(path, header=True)
 
 
 def manifest(episodes: DataFrame) -> DataFrame:
