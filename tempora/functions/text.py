@@ -42,6 +42,28 @@ STAGE_FAMILIES = (
     (("place", "put"), ("prepare to place object", "move object to target area", "place object", "retreat gripper", "place complete")),
     ((), ("prepare for {task}", "approach target for {task}", "execute {task}", "retreat from {task}", "{task} complete")),
 )
+#: Answers that name nothing; those that leave it open too; those that are unclear too (fixed values).
+NOTHING = ("", "null", "none", "n/a")
+OPEN = (*NOTHING, "unknown")
+UNCLEAR = (*OPEN, "unclear")
+#: Forms of canonical prompts as they are tried, {o} being any object: scene, whether it is the canonical wording, and the
+#: canonical text with the groups of target, side and reference in it (fixed values).
+CANONICAL = (
+    (r"^give the {o} to me$", "give", True, ("Give the ", 1, " to me")),
+    (r"^pick up the {o} to the (left|right) of the {o}$", "relational_pick", True, ("Pick up the ", 1, " to the ", 2, " of the ", 3)),
+    (r"^pick up the {o} on the (left|right) of the {o}$", "relational_pick", False, ("Pick up the ", 1, " to the ", 2, " of the ", 3)),
+    (r"^pick up the {o} on the (left|right)$", "directional_pick", True, ("Pick up the ", 1, " on the ", 2)),
+    (r"^pick up the {o}$", "pick", True, ("Pick up the ", 1)),
+    (r"^(?:place|put)(?: the)? object$", "place", True, ("Place object",)),
+)
+#: Forms in which a target can be put into a prompt: what stands before it, the target, what follows, a full stop (fixed values).
+TARGETED = (
+    r"(?i)^(Give\s+(?:the\s+)?)(.+?)(\s+to\s+me)(\.?)$",
+    r"(?i)^(Give\s+me\s+(?:the\s+)?)(.+?)()(\.?)$",
+    r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)(\s+(?:to|on)\s+the\s+(?:left|right)\s+of\s+(?:the\s+)?.+?)(\.?)$",
+    r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)(\s+(?:on|to)\s+the\s+(?:left|right))(\.?)$",
+    r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)()(\.?)$",
+)
 #: Names of backgrounds and what they count as (fixed values).
 BACKGROUNDS = {
     "round_table": ("round_table", "round", "circular_table", "circle_table", "圆桌"),
@@ -103,15 +125,7 @@ def canonical_task(text: Column, objects: tuple[str, ...] = OBJECTS) -> dict[str
     """Canonical, scene, target, reference, side, task of a prompt that a closed vocabulary makes up in full; 'unknown' otherwise."""
     clean = _typos(F.regexp_replace(F.lower(stripped(F.coalesce(text, F.lit("")))), r"\s+", " "))
     names = "(" + "|".join(re.escape(o) for o in sorted(objects, key=len, reverse=True)) + ")"
-    pick = rf"^pick up the {names}"
-    forms = (  # pattern, scene, whether it is the canonical wording, its text; groups are target, side, reference
-        (rf"^give the {names} to me$", "give", True, ("Give the ", 1, " to me")),
-        (rf"{pick} to the (left|right) of the {names}$", "relational_pick", True, ("Pick up the ", 1, " to the ", 2, " of the ", 3)),
-        (rf"{pick} on the (left|right) of the {names}$", "relational_pick", False, ("Pick up the ", 1, " to the ", 2, " of the ", 3)),
-        (rf"{pick} on the (left|right)$", "directional_pick", True, ("Pick up the ", 1, " on the ", 2)),
-        (rf"{pick}$", "pick", True, ("Pick up the ", 1)),
-        (r"^(?:place|put)(?: the)? object$", "place", True, ("Place object",)),
-    )
+    forms = [(pattern.replace("{o}", names), *rest) for pattern, *rest in CANONICAL]
 
     def first(pick_, other: Column) -> Column:
         out = None
@@ -189,7 +203,7 @@ def object_name(text: Column) -> Column:
     """An object's name in lower case with single spaces, synonyms as their first name; null for none, null, n/a and nothing."""
     clean = F.regexp_replace(F.lower(stripped(text)), r"\s+", " ")
     names = {alias: name for name, aliases in SYNONYMS.items() for alias in (name, *aliases)}
-    return F.when(clean.isin("", "none", "null", "n/a"), None).otherwise(F.coalesce(one_of(clean, names), clean))
+    return F.when(clean.isin(*NOTHING), None).otherwise(F.coalesce(one_of(clean, names), clean))
 
 
 def slug(text: Column) -> Column:
@@ -226,17 +240,10 @@ def prompt_with_target(template: Column, target: Column) -> Column:
     """A prompt with another target in the case of its own; empty if it does not parse, without a target, or if the target is its reference."""
     parsed, name = parse_prompt(template), F.lower(stripped(F.coalesce(target, F.lit(""))))
     clean = stripped(template)
-    forms = (  # what stands before and after the target
-        (r"(?i)^(Give\s+(?:the\s+)?)(.+?)(\s+to\s+me)(\.?)$", 2),
-        (r"(?i)^(Give\s+me\s+(?:the\s+)?)(.+?)()(\.?)$", 2),
-        (r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)(\s+(?:to|on)\s+the\s+(?:left|right)\s+of\s+(?:the\s+)?.+?)(\.?)$", 2),
-        (r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)(\s+(?:on|to)\s+the\s+(?:left|right))(\.?)$", 2),
-        (r"(?i)^(Pick\s+up\s+(?:the\s+)?)(.+?)()(\.?)$", 2),
-    )
     out = None
-    for pattern, k in forms:
+    for pattern in TARGETED:
         group = lambda n, p=pattern: F.regexp_extract(clean, p, n)
-        value = F.concat(group(1), match_case(name, group(k)), group(3), group(4))
+        value = F.concat(group(1), match_case(name, group(2)), group(3), group(4))
         out = F.when(clean.rlike(pattern), value) if out is None else out.when(clean.rlike(pattern), value)
     useless = parsed["kind"].isNull() | (name == "") | F.coalesce(F.lower(parsed["reference"]) == name, F.lit(False))
     return F.when(useless, "").otherwise(out)
@@ -299,7 +306,7 @@ def count_text(text: Column) -> Column:
 def colour(text: Column) -> Column:
     """A colour in lower case with single spaces, at most 64 characters; null for nothing and for unclear ones."""
     clean = F.regexp_replace(F.lower(stripped(text)), r"\s+", " ")
-    return F.when(~clean.isin("", "null", "none", "unknown", "unclear", "n/a"), F.substring(clean, 1, 64))
+    return F.when(~clean.isin(*UNCLEAR), F.substring(clean, 1, 64))
 
 
 def count_bucket(n: Column) -> Column:
@@ -314,7 +321,7 @@ def _key(text: Column) -> Column:
 def background(text: Column) -> Column:
     """The background that a name stands for, else the name as a key; null for nothing and for unclear ones."""
     clean, names = F.lower(stripped(text)), {alias: name for name, aliases in BACKGROUNDS.items() for alias in aliases}
-    return F.when(~clean.isin("", "null", "none", "unknown", "unclear", "n/a"), F.coalesce(one_of(clean, names), one_of(_key(clean), names), _key(clean)))
+    return F.when(~clean.isin(*UNCLEAR), F.coalesce(one_of(clean, names), one_of(_key(clean), names), _key(clean)))
 
 
 def action_match(text: Column) -> Column:
@@ -322,7 +329,7 @@ def action_match(text: Column) -> Column:
     clean = F.lower(stripped(text))
     key = _key(clean)
     told = F.when(key.isin(*SAME), "match").when(key.isin(*OTHER) | any_of(key, ("mismatch", "different", "wrong")), "mismatch").when(any_of(key, ("match", "correct", "same")), "match").otherwise("unclear")
-    return F.when(~clean.isin("", "null", "none", "unknown", "n/a"), told)
+    return F.when(~clean.isin(*OPEN), told)
 
 
 def human(n: Column, precision: int = 0) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .algebra import delete, fix_indices
 from .quality import rescale_gripper
+from .segment import stage_values
 from .stats import vector_stats
-from .temporal import EPISODE, moving_average
+from .temporal import EPISODE, ORDER, moving_average
 
 #: Last parts of the names of depth fields (fixed values), and the width that vectors are standardised to.
 DEPTH = ("head_depth", "left_wrist_depth", "right_wrist_depth")
@@ -60,6 +62,16 @@ def standardized(frames: DataFrame, features: dict, vectors: list[str], gripper:
     return out, told
 
 
+def standardized_in_steps(frames: DataFrame, features: dict, vectors: list[str], bounds: DataFrame, deleted: DataFrame | None = None, gripper: int | None = None, width: int = WIDTH) -> tuple[DataFrame, dict]:
+    """Standardised, stages written for the episodes that have boundaries, listed episodes deleted, numbers and times repaired."""
+    out, told = standardized(frames, features, vectors, gripper, width)
+    states = stage_values(out, bounds)
+    out = out.drop("subtask_state").join(states, [EPISODE, ORDER], "left")
+    if deleted is not None:
+        out = delete(out, deleted).drop("old_episode", "index")
+    return fix_indices(out), told | {"subtask_state": {"dtype": "int32", "shape": [1]}}
+
+
 def upserted(frames: DataFrame, name: str, values: Column) -> DataFrame:
     """A column replaced in its place, or added at the end."""
     return frames.withColumn(name, values)

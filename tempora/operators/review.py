@@ -62,7 +62,7 @@ def selected_box(df: DataFrame) -> DataFrame:
 
 
 def uncertain(df: DataFrame) -> DataFrame:
-    """Q13: ``uncertainty`` (-1 to 100) and ``why`` of each label.
+    """Q13: ``uncertainty`` (-1 to 100) and ``why`` of each label; the steps and their limits are fixed values.
 
     Columns: skip (string), parsed (struct with direction and reference, null: not parsed), selected (boolean), satisfied
     (boolean, null: not asked), detections (array of struct<confidence, source, x>, x: the centre).

@@ -225,3 +225,19 @@ def first_fifty_episodes(spark, d):
     from ..operators import select as sl
 
     return sl.first_episodes(order_frames(spark, d).select("episode_index", "frame_index"), 50)
+
+
+@query(f"""WITH {EVENT_FRAMES}, m AS (SELECT episode_index, max(timestamp) AS top, max(abs(value / 100)) AS most FROM f GROUP BY 1), s AS (SELECT f.*, CASE WHEN most > 1.5 THEN value / 100 / 100 ELSE value / 100 END AS grip,
+  CASE WHEN episode_index % 3 <> 0 THEN CASE WHEN timestamp < top * 0.2 THEN 0 WHEN timestamp < top * 0.4 THEN 1 WHEN timestamp <= top * 0.6 THEN 2 WHEN timestamp < top * 0.8 THEN 3 ELSE 4 END END AS stage FROM f JOIN m USING (episode_index) WHERE episode_index % 7 <> 3),
+n AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS e, sum(count(*)) OVER (ORDER BY episode_index) - count(*) AS start FROM s GROUP BY 1)
+SELECT e AS episode_index, frame_index, (start + frame_index)::BIGINT AS index, round(grip, 6) AS grip, stage::INTEGER AS subtask_state, 1::BIGINT AS exist_label, 2 AS width FROM s JOIN n USING (episode_index)""")
+def standardized_dataset(spark, d):
+    """Standardised, stages written back, episodes deleted, repaired."""
+    from ..operators import fields as fl
+
+    f = event_frames(spark, d).select("episode_index", "frame_index", "timestamp", F.array("timestamp", F.col("value") / 100, F.lit(0.0)).alias("action"), F.lit("x").alias("head_depth"))
+    top = F.max("timestamp")
+    parts = {"stage0_end": 0.2, "stage2_start": 0.4, "stage2_end": 0.6, "stage4_start": 0.8}
+    bounds = f.groupBy("episode_index").agg(*((top * v).alias(k) for k, v in parts.items())).withColumns({"is_give": F.lit(False), "direct_give": F.lit(False), "stage4_end": F.lit(None).cast("double"), "error": F.when(F.col("episode_index") % 3 == 0, "none")})
+    out, _ = fl.standardized_in_steps(f, {"action": {"dtype": "float64", "shape": [3]}}, ["action"], bounds, f.filter("episode_index % 7 = 3").select("episode_index").distinct(), 1, 2)
+    return out.select("episode_index", "frame_index", "index", F.round(F.col("action")[1], 6).alias("grip"), "subtask_state", "exist_label", F.size("action").alias("width"))

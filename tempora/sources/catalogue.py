@@ -34,6 +34,14 @@ def cached_csv(spark: SparkSession, root: str) -> DataFrame:
     return told.groupBy(EPISODE).agg(F.min_by("file", F.struct("every", "file")).alias("file"), F.min("every").alias("every"))
 
 
+def component_names(feature: dict):
+    """The names that a feature states for its components, out of any groups around them."""
+    names = feature.get("names")
+    while isinstance(names, dict) and names:
+        names = next(iter(names.values()))
+    return names
+
+
 def signal_columns(features: dict[str, dict]) -> dict[str, list[str]]:
     """The features that are plotted (numbers of rank 0 or 1, the marks of time and state aside) with the names of their components."""
     out = {}
@@ -41,9 +49,7 @@ def signal_columns(features: dict[str, dict]) -> dict[str, list[str]]:
         shape = tuple(f.get("shape") or (1,))
         numeric = f["dtype"] in ("float32", "int32") or (name == "exist_label" and f["dtype"].startswith(("int", "float", "bool")))
         if numeric and len(shape) <= 1 and name not in NO_SIGNAL:
-            names = f.get("names")
-            while isinstance(names, dict) and names:
-                names = next(iter(names.values()))
+            names = component_names(f)
             out[name] = [f"{name}_{n}" for n in names] if names and len(names) == shape[0] else [name] if shape == (1,) else [f"{name}_{k}" for k in range(shape[0])]
     return out
 
@@ -67,10 +73,7 @@ def existence_columns(columns: list[str], feature: dict | None) -> tuple[list[st
     prefixed = [c for c in columns if c != "exist_label" and label_slug(c).startswith("exist_label_")]
     if feature is not None:
         explicit = [c for c in columns if c == "exist_label"] + prefixed
-        names = feature.get("names")
-        while isinstance(names, dict) and names:
-            names = next(iter(names.values()))
-        stated = [by_slug[label_slug(str(n))] for n in names or [] if label_slug(str(n)) in by_slug]
+        stated = [by_slug[s] for s in (label_slug(str(n)) for n in component_names(feature) or []) if s in by_slug]
         shape = feature.get("shape") or [0]
         numbered = [f"exist_label_{k}" for k in range(int(shape if isinstance(shape, int) else shape[0])) if f"exist_label_{k}" in columns]
         for found in (explicit, stated, numbered):
