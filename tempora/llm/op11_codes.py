@@ -238,14 +238,15 @@ def compressed(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     base = [StructField("vec_id", LongType()), StructField("label", kind), StructField("v", BinaryType()), StructField("wide", IntegerType())]
     more = [StructField("state", BinaryType()), StructField("cell", IntegerType()), StructField("limb", IntegerType()), StructField("total", LongType())]
     ready = rows.mapInArrow(released(_packed), StructType(base))
-    first = ready.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(ENTRIES).select("v", "wide").collect()
-    size = lambda r: len(r["v"]) // r["wide"]
-    d = size(first[0]) if first else 0
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    valid = rows.filter(F.col("v").isNotNull() & ~F.exists("v", bad)).orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v")
+    first = [r["v"] for r in valid.limit(ENTRIES).collect()]
+    d = len(first[0]) if first else 0
+    if any(len(v) != d for v in first):
+        first = [r["v"] for r in valid.filter(F.size("v") == d).limit(ENTRIES).collect()]
     one_length = F.octet_length("v") == d * F.col("wide")
-    if any(size(r) != d for r in first):
-        first = ready.filter(one_length).orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(ENTRIES).select("v", "wide").collect()
     edge = cuts(d)
-    start = [[int(v) for v in decoded([bytes(r["v"])], r["wide"])[0]] for r in first]
+    start = [[whole(x) for x in v] for v in first]
     history: list[Codebook] = [[[v[edge[p] : edge[p + 1]] for v in start] for p in range(PARTS)]]
     held = ready.filter(one_length).withColumns({"state": F.lit(None).cast("binary"), "cell": F.lit(None).cast("int")})
     result = StructType([*base[:2], *StructType.fromDDL("code string, error long")])

@@ -7,7 +7,7 @@ Each fingerprint chooses its own thresholds, by dynamic programming over how man
 give at each threshold, and probes the values of a group within its threshold; all fingerprints are found under the value
 they have. So every link is found from either of its ends. Values that hold many rows are told apart further by runs of the
 other bits, of which one must agree, and what is still large is compared in blocks of bounded size. A block verifies by the
-whole fingerprints and emits only links that join what it has not yet joined, fewer than its rows.
+whole fingerprints and emits only pairs that join what it has not yet joined, fewer than its rows.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def _refined(plan: Plan):
 
 
 def joined(asks: np.ndarray, held: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all fingerprints of ``asks`` with those of ``held`` that differ in MOST bits or fewer: a forest."""
+    """A forest that joins all fingerprints of ``asks`` with those of ``held`` that differ in MOST bits or fewer; its pairs are of one component, not always links themselves."""
     name, at = np.unique(np.concatenate([asks, held]), return_inverse=True)
     mine, theirs = at[: len(asks)], at[len(asks) :]
     label, pairs = np.arange(len(name)), []
@@ -279,7 +279,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def hamming_links(nodes: DataFrame) -> DataFrame:
-    """a, b: links between the distinct numbers ``fp`` that differ in MOST bits or fewer, enough of them to have the same components."""
+    """a, b: pairs of the distinct numbers ``fp`` that have the same components as all links between numbers that differ in MOST bits or fewer."""
     n = nodes.count()
     share = SCALE if n <= SAMPLE else -(-SCALE * SAMPLE // n)
     chosen = nodes.filter(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(SCALE)) < share).select("fp").collect()
