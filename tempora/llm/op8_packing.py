@@ -1,7 +1,8 @@
 """Lexical retrieval packing.
 
-Documents are tokenised where they lie and dealt to shards of bounded size by their topic: the token of a document that
-is rarest in a bounded sample, yet not alone there. Topics that many documents share are dealt in parts. Each shard has
+Documents are tokenised once, where they lie, and dealt to shards of bounded size by their topic: the rarest of a
+document's tokens that two of 4096 documents share, by the counts of all documents. Topics of more tokens than a part of a
+shard are dealt in parts. Each shard has
 a BM25 inverted index over token ids. A seed document opens a window; its unused neighbours fill it in the order of their scores; the one that
 does not fit is cut, and its rest opens the next window as its seed. So every window is full, and what is left of a
 shard at its end goes into sequences of 2048, 1024, ... tokens, which need no padding.
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary, blocks, checkpointed, mix, released, spread, table, to_binary
-from .sampling import FINE, share_of
 
 WINDOW, END_ID = 4096, 2
 #: Tokens in a shard, about.
 SHARD = 1 << 20
 K1, B = 1.2, 0.75
-#: Documents that topics are learned from, about, and how many of them a part of a topic stands for at most.
-TOPIC_SAMPLE, TOPIC_PART = 4096, 4
+#: A topic stands in two documents at least, and in two of so many.
+TOPIC_RARE = 4096
+#: Parts of a topic in a shard, about.
+TOPIC_PARTS = 4
 #: Terms in more than this share of a shard's documents are kept as rows of a table instead of postings.
 COMMON = 0.25
 #: Distinct words whose ids a worker keeps at most; then it starts anew.
@@ -191,15 +193,28 @@ class Topics:
         return name % self.parts.get(topic, 1)
 
 
-def _encoded(path: str, topics: Topics) -> Callable:
+def _encoded(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text", 1 << 22):
                 ids, n = encoder.encode(data, offsets)
-                edge = np.concatenate([[0], np.cumsum(n)])
-                topic = topics.of(ids, edge[:-1])
-                packed = to_binary(ids.view(np.uint8), edge * ids.itemsize)
+                yield pa.record_batch({"doc_id": part.column(0), "ids": to_binary(ids.view(np.uint8), np.concatenate([[0], np.cumsum(n)]) * ids.itemsize)})
+
+    return run
+
+
+def _ids(batch: pa.RecordBatch, type_: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of documents, their ids and where each one's begin; each has one id at least, its end."""
+    for part, data, edge in blocks(batch, "ids", 1 << 21):
+        yield part, np.ascontiguousarray(data).view(type_), (edge - edge[0]) // type_.itemsize
+
+
+def _dealt(topics: Topics) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, ids, edge in _ids(batch, topics.type):
+                topic, packed = topics.of(ids, edge[:-1]), part.column(1)
                 names = mix(part.column(0).fill_null(-1).to_numpy().astype(np.uint64) ^ np.fromiter((zlib.crc32(x.as_buffer()) for x in packed), np.uint64, len(packed)))
                 shares = [topics.part(t, u) for t, u in zip(topic.tolist(), names.tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": part.column(0), "ids": packed, "topic": pa.array(topic), "part": pa.array(shares, pa.int64())})
@@ -207,41 +222,44 @@ def _encoded(path: str, topics: Topics) -> Callable:
     return run
 
 
-def _document_counts(itemsize: int) -> Callable:
-    """In how many documents of a batch each token stands."""
+def _document_counts(type_: np.dtype, size: int) -> Callable:
+    """In how many documents of a task each token of a vocabulary stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
         for batch in batches:
-            data, edge = binary(batch.column(0))
-            ids, edge = np.ascontiguousarray(data).view(f"<u{itemsize}"), edge // itemsize
-            pair = np.unique(np.repeat(np.arange(len(batch), dtype=np.int64), np.diff(edge)) << 32 | ids)
-            token, n = np.unique(pair & 0xFFFFFFFF, return_counts=True)
-            yield pa.record_batch({"token": pa.array(token), "n": pa.array(n)})
+            for _, ids, edge in _ids(batch, type_):
+                pair = np.sort(np.repeat(np.arange(len(edge) - 1, dtype=np.int64), np.diff(edge)) << 32 | ids)
+                first = np.ones(len(pair), bool)
+                first[1:] = pair[1:] != pair[:-1]
+                n += np.bincount(pair[first] & 0xFFFFFFFF, minlength=size)
+        token = np.flatnonzero(n)
+        yield pa.record_batch({"token": pa.array(token), "n": pa.array(n[token])})
 
     return run
 
 
-def learned_topics(docs: DataFrame, path: str) -> Topics:
-    """Topics from a bounded sample of ``docs`` (doc_id, text); they guide which documents meet, not what is packed."""
-    encoder = encoder_of(path)
-    n = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINE)) < share_of(TOPIC_SAMPLE, n))
-    ids = checkpointed(sample.mapInArrow(released(_encoded(path, Topics())), "doc_id long, ids binary, topic long, part long").select("ids"))
-    counts = ids.mapInArrow(_document_counts(encoder.type.itemsize), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").collect()
-    topics = Topics(encoder.tokenizer.get_vocab_size(), encoder.type)
-    for r in counts:  # at most one row for each token of the vocabulary
-        if r["token"] < len(topics.worth):
-            topics.worth[r["token"]] = ((1 << 31) - 1 - min(r["n"], 1 << 30)) << 32 | r["token"]
+def _topic_sizes(topics: Topics) -> Callable:
+    """The tokens of each topic's documents in a block of documents."""
 
-    def found(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, edge = binary(batch.column(0))
-            if len(batch):
-                yield pa.record_batch({"topic": pa.array(topics.of(np.ascontiguousarray(data).view(encoder_type), edge[:-1] // encoder_type.itemsize))})
+            for _, ids, edge in _ids(batch, topics.type):
+                topic, at = np.unique(topics.of(ids, edge[:-1]), return_inverse=True)
+                yield pa.record_batch({"topic": pa.array(topic), "n": pa.array(np.bincount(at, np.diff(edge)).astype(np.int64))})
+
+    return run
+
 
-    encoder_type = encoder.type
-    many = ids.mapInArrow(found, "topic long").groupBy("topic").agg(F.count("*").alias("n")).filter(F.col("n") > TOPIC_PART).collect()
-    topics.parts = {r["topic"]: -(-r["n"] // TOPIC_PART) for r in many}
+def counted_topics(ids: DataFrame, size: int, type_: np.dtype, part: int) -> Topics:
+    """Topics from the counts of all documents (column ids) over a vocabulary of ``size`` tokens, in parts of about ``part`` tokens."""
+    topics, ids = Topics(size, type_), ids.select(F.lit(None).cast("long").alias("doc_id"), "ids")
+    least = max(2, -(-2 * ids.count() // TOPIC_RARE))
+    counts = ids.mapInArrow(released(_document_counts(type_, size)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
+    for r in counts:  # at most one row for each token of the vocabulary
+        topics.worth[r["token"]] = ((1 << 31) - 1 - min(r["n"], 1 << 30)) << 32 | r["token"]
+    many = ids.mapInArrow(released(_topic_sizes(topics)), "topic long, n long").groupBy("topic").agg(F.sum("n").alias("n")).filter(F.col("n") > part).collect()
+    topics.parts = {r["topic"]: -(-r["n"] // part) for r in many}
     return topics
 
 
@@ -378,8 +396,10 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     path = tokenizer or default_tokenizer()
     ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    topics = learned_topics(ready, path)
-    ids = ready.mapInArrow(released(_encoded(path, topics)), "doc_id long, ids binary, topic long, part long")
+    encoder = encoder_of(path)
+    ids = checkpointed(ready.mapInArrow(released(_encoded(path)), "doc_id long, ids binary"))
+    topics = counted_topics(ids, encoder.tokenizer.get_vocab_size(), encoder.type, max(1, shard // TOPIC_PARTS))
+    ids = ids.mapInArrow(released(_dealt(topics)), "doc_id long, ids binary, topic long, part long")
     # topics stay together as far as the size of a partition allows: Spark parts those that are larger, whatever the topic
     dealt = ids.hint("rebalance", F.col("topic"), F.col("part")).sortWithinPartitions("topic", "part", "doc_id", "ids").select("doc_id", "ids")
     return dealt.mapInArrow(released(_packed(topics.type, window, shard)), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

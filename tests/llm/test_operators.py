@@ -234,6 +234,24 @@ def test_packing(docs, nothing, rows):
     assert pack_documents(nothing).count() == 0
 
 
+def test_topics_count_all_documents(spark):
+    """Topics and their parts by the counts of all documents, more than any sample of them."""
+    from tempora.llm.op8_packing import counted_topics
+
+    local = np.random.default_rng(3)
+    docs = [[*local.choice(400, local.integers(1, 9), p=np.arange(400, 0, -1) / 80200).tolist(), 2] for _ in range(9000)]
+    table = spark.createDataFrame([(np.array(d, "<u2").tobytes(),) for d in docs], "ids binary").repartition(5)
+    topics = counted_topics(table, 500, np.dtype("<u2"), 100)
+    df = Counter(t for d in docs for t in set(d))
+    assert {t for t in range(500) if topics.worth[t]} == {t for t, n in df.items() if n * 4096 >= 2 * 9000}
+    rank = sorted((t for t in df if topics.worth[t]), key=lambda t: (-df[t], t))
+    assert rank == sorted(rank, key=lambda t: int(topics.worth[t]))
+    size = Counter()
+    for d in docs:
+        size[max(int(topics.worth[t]) for t in d)] += len(d)
+    assert topics.parts == {t: -(-n // 100) for t, n in size.items() if n > 100} and topics.parts
+
+
 def test_encoder():
     """The ids of the untouched tokenizer, added tokens included, whatever stands in the texts."""
     from tokenizers import Tokenizer
