@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .temporal import EPISODE, ORDER, over
-from .written import written
+from .written import dealt, written
 
 
 def dims(df: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -19,10 +19,22 @@ def vector_stats(df: DataFrame, vector: str, width: int, *keys: str) -> DataFram
 
     Components are aggregated side by side and become rows afterwards, so rows are not multiplied by the width.
     """
-    x = [F.get(vector, k) for k in range(width)]
+    held = wide_stats(df, vector, width, *keys)
+    return held.select(*keys, F.posexplode("stats").alias("dim", "_s")).select(*keys, "dim", "_s.*").filter("count > 0")
+
+
+def wide_stats(df: DataFrame, vector: str, width: int, *keys: str) -> DataFrame:
+    """keys and stats, an array of the structs (min, max, mean, std, count) of the components; those without values count 0.
+
+    Rows of a key are few, and the buffers of an aggregate are several times as wide as a row. So the components are dealt
+    by the keys before they are aggregated: partial aggregates would hold and send a buffer for about each row.
+    """
+    rows = df.select(*keys, *(F.get(vector, k).alias(f"_x{k}") for k in range(width)))
+    if keys:
+        rows = dealt(rows, *keys)
     of = lambda c: F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count(c).alias("count"))
-    held = df.groupBy(*keys).agg(*(of(c).alias(f"_{k}") for k, c in enumerate(x)))
-    return held.select(*keys, F.posexplode(F.array(*(f"_{k}" for k in range(width)))).alias("dim", "_s")).select(*keys, "dim", "_s.*").filter("count > 0")
+    held = rows.groupBy(*keys).agg(*(of(f"_x{k}").alias(f"_{k}") for k in range(width)))
+    return held.select(*keys, F.array(*(f"_{k}" for k in range(width))).alias("stats"))
 
 
 def episode_stats(df: DataFrame, vector: str, width: int | None = None) -> DataFrame:

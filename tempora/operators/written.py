@@ -19,6 +19,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+#: Rows of a task that sorts or aggregates them, about.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by its keys, over as many tasks as leave each about ``TASK_ROWS`` rows, so that what a task holds does not grow with the table."""
+    n = -(-df.count() // TASK_ROWS)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if n > usual else df.repartition(*keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` from the checkpoint folder: it is computed once, and a lost executor loses none of it."""
     spark = df.sparkSession
