@@ -67,9 +67,17 @@ def mean_pool(df: DataFrame, vector: str, key: str) -> DataFrame:
 
 def stat_embedding(stats: DataFrame, key: str, width: int = 64) -> DataFrame:
     """Mean, std, min, max of all components in one vector, cut or filled to a width, of length 1."""
-    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda s: s[c])
-    whole = stats.groupBy(key).agg(F.concat(part("mean"), part("std"), part("min"), part("max")).alias("v"))
-    return whole.select(key, unit(fit(F.col("v"), width)).alias("embedding"))
+    rows = F.array_sort(F.collect_list(F.struct("dim", "mean", "std", "min", "max")))
+    return wide_embedding(stats.groupBy(key).agg(rows.alias("stats")), key, width)
+
+
+def wide_embedding(stats: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """M04 of the statistics of all components in one array (stats), in their order."""
+    part = lambda c: F.transform("stats", lambda s: s[c])
+    # filled up and cut as a whole: a lambda that names the vector would make it anew for each place
+    v = F.slice(F.concat(part("mean"), part("std"), part("min"), part("max"), F.array_repeat(F.lit(0.0), width)), 1, width)
+    whole = stats.select(key, F.transform(v, lambda x: F.coalesce(x, F.lit(0.0))).alias("_v")).withColumn("_n", norm(F.col("_v")))
+    return whole.select(key, F.when(F.col("_n") > 0, F.zip_with("_v", F.array_repeat("_n", width), lambda x, n: x / n)).otherwise(F.col("_v")).alias("embedding"))
 
 
 def active_arm(left: Column, right: Column, ratio: float = 1.25) -> Column:

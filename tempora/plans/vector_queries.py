@@ -51,8 +51,10 @@ def mean_pool(spark, d):
 p AS (SELECT episode_index, i - 1 AS place, m AS x FROM st UNION ALL SELECT episode_index, i + 3, sd FROM st UNION ALL SELECT episode_index, i + 7, lo FROM st UNION ALL SELECT episode_index, i + 11, hi FROM st), n AS (SELECT episode_index, sqrt(sum(x * x)) AS n FROM p GROUP BY 1)
 SELECT episode_index, place::INTEGER AS place, round(x / n, 6) AS x FROM p JOIN n USING (episode_index)""")
 def stat_embedding(spark, d):
-    st = s.episode_stats(order_frames(spark, d), "action", 4)
-    return v.stat_embedding(st, "episode_index", 16).select("episode_index", F.posexplode("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
+    st = s.wide_stats(order_frames(spark, d), "action", 4, "episode_index")
+    st = st.withColumn("stats", F.filter("stats", lambda x: x["count"] > 0)).filter(F.size("stats") > 0)
+    # outer: no embedding is empty, and Spark would make each once more to see that
+    return v.wide_embedding(st, "episode_index", 16).select("episode_index", F.posexplode_outer("embedding").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 @query(f"""WITH {EVENT_FRAMES}, m AS (SELECT *, abs(value - lag(value) OVER w) AS dv FROM f WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)),
