@@ -15,6 +15,16 @@ def issues(found: DataFrame, kind: str, reason: Column) -> DataFrame:
     return found.groupBy(EPISODE).agg(F.sort_array(F.collect_set(ORDER)).alias("frames")).select(EPISODE, F.lit(kind).alias("type"), reason.alias("reason"), "frames")
 
 
+def contiguous(frames: DataFrame, start: int = 0) -> DataFrame:
+    """episode_index, frames and contiguous: whether the numbers of an episode's frames are start, start + 1, ..., each once.
+
+    Each number is compared with its place in their order, so no state holds the numbers.
+    """
+    place = F.row_number().over(over(EPISODE, ORDER)) - 1 + start
+    each = frames.select(EPISODE, F.coalesce(F.col(ORDER) == place, F.lit(False)).alias("_ok"))
+    return each.groupBy(EPISODE).agg(F.count("*").alias("frames"), F.bool_and("_ok").alias("contiguous"))
+
+
 def early_transition(frames: DataFrame, signal: str, threshold: float = GRIPPER, seconds: float = 0.3) -> DataFrame:
     """Q02: the signal crosses its threshold within the first moments of an episode."""
     early = transitions(frames, signal, threshold).join(early_frames(frames, seconds), EPISODE).filter(F.col(ORDER) < F.col("early"))

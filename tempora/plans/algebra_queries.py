@@ -211,8 +211,7 @@ def backfill_action(spark, d):
 
 @query(f"WITH {ORDER_FRAMES} SELECT DISTINCT count(*) AS frames, min(frame_index) = 0 AND max(frame_index) = count(*) - 1 AND count(DISTINCT frame_index) = count(*) AS contiguous FROM o GROUP BY episode_index")
 def contiguous_range(spark, d):
-    g = order_frames(spark, d).groupBy("episode_index").agg(F.count("*").alias("frames"), F.min("frame_index").alias("lo"), F.max("frame_index").alias("hi"), F.count_distinct("frame_index").alias("n"))
-    return g.select("frames", ((F.col("lo") == 0) & (F.col("hi") == F.col("frames") - 1) & (F.col("n") == F.col("frames"))).alias("contiguous")).distinct()
+    return q.contiguous(order_frames(spark, d, spread=True)).select("frames", "contiguous").distinct()
 
 
 @query(f"WITH {EVENT_FRAMES} SELECT f.episode_index, f.frame_index, f.value FROM f JOIN (SELECT episode_index, frame_index FROM (SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY abs(timestamp - 300000), frame_index) AS r FROM f) WHERE r = 1) c ON c.episode_index = f.episode_index AND f.frame_index >= c.frame_index")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.written import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +29,12 @@ EVENT_FRAMES = """f AS (SELECT user_id AS episode_index, row_number() OVER w - 1
 ACTION = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """episode_index, frame_index, action (4 values): the lines of an order are an episode; ties go to the other columns."""
-    line = table(spark, sf_dir, "lineitem")
+def order_frames(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """episode_index, frame_index, action (4 values): the lines of an order are an episode; ties go to the other columns.
+
+    With ``spread``, the number of tasks grows with the rows, whatever the session's number is.
+    """
+    line = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey") if spread else table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", *ACTION)
     return line.select(F.col("l_orderkey").alias("episode_index"), (F.row_number().over(w) - 1).cast("long").alias("frame_index"), F.array(*ACTION).alias("action"))
 
