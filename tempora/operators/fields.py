@@ -140,16 +140,21 @@ STATS_JSON = "struct<min:array<double>,max:array<double>,mean:array<double>,std:
 
 def stats_to_json(stats: DataFrame) -> DataFrame:
     """episode_index, feature and the statistics of all components as JSON text."""
-    at = lambda c, n: F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x: x[c]).alias(n)
-    held = stats.groupBy(EPISODE, "feature").agg(*(at(c, c) for c in ("min", "max", "mean", "std")), F.array(F.max("count")).alias("count"))
+    names = ("min", "max", "mean", "std")
+    # one sorted list for each group, taken apart afterwards
+    rows = stats.groupBy(EPISODE, "feature").agg(F.array_sort(F.collect_list(F.struct("dim", *names))).alias("_s"), F.array(F.max("count")).alias("count"))
+    at = lambda c: F.transform("_s", lambda x: x[c]).alias(c)
+    held = rows.select(EPISODE, "feature", *(at(c) for c in names), "count")
     return held.select(EPISODE, "feature", F.to_json(F.struct("min", "max", "mean", "std", "count")).alias("stats"))
 
 
 def stats_from_json(rows: DataFrame) -> DataFrame:
     """P12, the other way."""
-    x = F.from_json("stats", STATS_JSON)
+    x = F.col("_x")
     cells = F.arrays_zip(x["min"].alias("min"), x["max"].alias("max"), x["mean"].alias("mean"), x["std"].alias("std"))
-    return rows.select(EPISODE, "feature", x["count"][0].alias("count"), F.posexplode(cells).alias("dim", "x")).select(EPISODE, "feature", "dim", "x.*", "count")
+    # parsed once; outer, as Spark would parse all once more to see whether a list is empty
+    cells = rows.select(EPISODE, "feature", F.from_json("stats", STATS_JSON).alias("_x")).select(EPISODE, "feature", x["count"][0].alias("count"), F.posexplode_outer(cells).alias("dim", "x"))
+    return cells.filter("dim is not null").select(EPISODE, "feature", "dim", "x.*", "count")
 
 
 def image_constants(stats: DataFrame, features: list[str], mean: list[float], std: list[float]) -> DataFrame:
@@ -163,6 +168,13 @@ def image_constants(stats: DataFrame, features: list[str], mean: list[float], st
 
 def beyond_tolerance(stats: DataFrame, reference: DataFrame, keys: list[str], values: list[str], rtol: float = 5e-6, atol: float = 6e-5) -> DataFrame:
     """Keys, name, value and reference of the statistics that differ from the reference by more than atol + rtol * |reference|."""
-    long = lambda t, out: t.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias(out)) for v in values))).alias("_")).select(*keys, "_.name", f"_.{out}")
-    both = long(stats, "value").join(long(reference, "reference"), [*keys, "name"])
-    return both.filter(F.abs(F.col("value") - F.col("reference")) > atol + rtol * F.abs("reference"))
+    x = lambda t, side: t.select(*keys, *(F.col(v).cast("double").alias(f"_{side}{k}") for k, v in enumerate(values)))
+    both = x(stats, "a").join(x(reference, "b"), keys)
+    # rows that differ nowhere go before names multiply them
+    far = lambda a, b: F.abs(a - b) > atol + rtol * F.abs(b)
+    any_far = F.lit(False)
+    for k in range(len(values)):
+        any_far = any_far | F.coalesce(far(F.col(f"_a{k}"), F.col(f"_b{k}")), F.lit(False))
+    pair = lambda k, v: F.struct(F.lit(v).alias("name"), F.col(f"_a{k}").alias("value"), F.col(f"_b{k}").alias("reference"))
+    found = both.filter(any_far).select(*keys, F.explode(F.array(*(pair(k, v) for k, v in enumerate(values)))).alias("_"))
+    return found.select(*keys, "_.name", "_.value", "_.reference").filter(far(F.col("value"), F.col("reference")))
