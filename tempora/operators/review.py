@@ -13,6 +13,7 @@ from ..functions import text as x
 from .algebra import append_tasks, overwrite_scanned
 from .annotate import area, center
 from .temporal import EPISODE, running
+from .written import written
 
 #: Motion in pixels from which a box counts as moved, and how far behind the largest motion it may lie (fixed values).
 MOVED, BEHIND = 20.0, 5.0
@@ -109,6 +110,8 @@ def candidates(labels: DataFrame, vocabulary: list[str], threshold: int) -> Data
     labels: episode_index, task, uncertainty, has_target, has_ref (whether anything was detected), tags (map). A target,
     and for relative tasks a reference, must have been detected, and the vocabulary must hold an object that is not there.
     """
+    # labels are small and their prompts dear: written once over several tasks, else the few files' tasks parse them all
+    labels = written(labels.repartition(EPISODE))
     p = x.parse_prompt(F.col("task"))
     low = lambda c: F.nullif(F.lower(x.stripped(c)), F.lit(""))
     scenario = x.one_of(p["kind"], {"give": "give", "single": "single_pick", "absolute": "directional_pick", "relative": "relative_pick"})
