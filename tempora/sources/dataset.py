@@ -15,6 +15,8 @@ from ..operators.written import shared_folder
 
 MANDATORY = {"timestamp": T.FloatType(), "frame_index": T.LongType(), "episode_index": T.LongType(), "index": T.LongType(), "task_index": T.LongType()}
 CHUNK = 1000
+#: Folders of a table, at most: the chunks of larger datasets are wider.
+FOLDERS = 256
 POINTER = "number long, version string, info string, schema string, parts string"
 STATS = "episode_index long, feature string, dim int, min double, max double, mean double, std double, count long"
 
@@ -44,14 +46,26 @@ def write(data: EpisodicDataset, path: str, version: str) -> None:
     The line's file appears in one step and nothing is deleted, so readers see a whole version at any time, also if the
     writer dies in between. One writer at a time.
     """
-    chunked = data.frames.withColumn("episode_chunk", F.floor(F.col("episode_index") / CHUNK))
-    chunked.repartition("episode_chunk").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
+    ends = data.frames.agg(F.min("episode_index"), F.max("episode_index")).first()
+    width, n = chunk_width(*ends)
+    chunked = data.frames.withColumn("episode_chunk", _chunk(width))
+    chunked.repartition(n, "episode_chunk").sortWithinPartitions("episode_index", "frame_index").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
     data.episodes.write.mode("overwrite").json(f"{path}/{version}/episodes")
     data.tasks.write.mode("overwrite").json(f"{path}/{version}/tasks")
     spark = data.frames.sparkSession
     last = latest(spark, f"{path}/versions", POINTER)
     # the frames' schema goes along: a version without frames has no file to infer it from
-    append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json(), None))
+    append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json(), json.dumps({"frames": [[version, []]], "stats": [], "tables": version, "chunk": width})))
+
+
+def chunk_width(first: int | None, last: int | None) -> tuple[int, int]:
+    """How many episode numbers a chunk covers, ``CHUNK`` or twice, four times, ... as many, and how many chunks there may be: ``FOLDERS`` at most, so that files grow with the data, not their number."""
+    width = CHUNK
+    if first is None:
+        return width, 1
+    while last // width - first // width >= FOLDERS:
+        width *= 2
+    return width, last // width - first // width + 1
 
 
 def append_row(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
@@ -69,7 +83,8 @@ def latest(spark: SparkSession, path: str, schema: str, by: str = "number") -> R
 
 def parts_of(row: Row) -> dict:
     """Where a version's tables lie: folders of frames and statistics, each without the chunks that later ones hold; the folder of the other tables."""
-    return json.loads(row.parts) if row.parts else {"frames": [[row.version, []]], "stats": [], "tables": row.version}
+    told = json.loads(row.parts) if row.parts else {"frames": [[row.version, []]], "stats": [], "tables": row.version}
+    return {"chunk": CHUNK} | told
 
 
 def pieces(spark: SparkSession, path: str, kind: str, folders: list, schema: T.StructType) -> DataFrame:
@@ -88,7 +103,7 @@ def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> E
     frames = pieces(spark, path, "frames", parts["frames"], T.StructType.fromJson(json.loads(row.schema)))
     table = spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{path}/{parts['tables']}/episodes")
     if episodes is not None:
-        frames = frames.filter(F.col("episode_chunk").isin(sorted({e // CHUNK for e in episodes})) & F.col("episode_index").isin(episodes))
+        frames = frames.filter(F.col("episode_chunk").isin(sorted({e // parts["chunk"] for e in episodes})) & F.col("episode_index").isin(episodes))
         table = table.filter(F.col("episode_index").isin(episodes))
     tasks = spark.read.schema("task_index long, task string").json(f"{path}/{parts['tables']}/tasks")
     return EpisodicDataset(frames.drop("episode_chunk"), table, tasks, json.loads(row.info))
@@ -103,8 +118,8 @@ def _stats_schema() -> T.StructType:
     return T.StructType.fromDDL(STATS + ", episode_chunk long")
 
 
-def _chunk() -> Column:
-    return F.floor(F.col("episode_index") / CHUNK)
+def _chunk(width: int) -> Column:
+    return F.floor(F.col("episode_index") / width)
 
 
 def write_back(spark: SparkSession, path: str, version: str, values: DataFrame, scanned: DataFrame, features: dict[str, dict] | None = None) -> list[int]:
@@ -122,13 +137,13 @@ def write_back(spark: SparkSession, path: str, version: str, values: DataFrame,
     if last.version == version:
         return next((without for _, without in parts["frames"] if without), [])
     who = scanned.select("episode_index").distinct()
-    chunks = sorted(r[0] for r in who.select(_chunk()).distinct().collect())  # one number for a thousand episodes
+    chunks = sorted(r[0] for r in who.select(_chunk(parts["chunk"])).distinct().collect())  # as many as there are folders
     schema = T.StructType.fromJson(json.loads(last.schema))
     now = pieces(spark, path, "frames", parts["frames"], schema).filter(F.col("episode_chunk").isin(chunks))
     marked = now.join(who.withColumn("_scanned", F.lit(True)), "episode_index", "left").join(values.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in names)), keys, "left")
     old = lambda c: F.col(c) if c in schema.names else F.lit(None)
     changed = marked.withColumns({c: F.when(F.col("_scanned"), F.col(f"_new_{c}")).otherwise(old(c)) for c in names}).drop("_scanned", *(f"_new_{c}" for c in names))
-    changed.repartition("episode_chunk").sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
+    changed.repartition(max(1, len(chunks)), "episode_chunk").sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/frames")
     # statistics of what was written, and of these chunks' other features and episodes as they were
     numbers = [f.name for f in values.schema.fields if f.name in names and isinstance(f.dataType, T.NumericType)]
     x = lambda c: F.col(c).cast("double")
@@ -140,9 +155,9 @@ def write_back(spark: SparkSession, path: str, version: str, values: DataFrame,
     before = pieces(spark, path, "stats", parts["stats"], _stats_schema()).filter(F.col("episode_chunk").isin(chunks)).drop("episode_chunk")
     mine = who.crossJoin(spark.createDataFrame([(c,) for c in names], "feature string"))  # a few names
     stats = before.join(mine, ["episode_index", "feature"], "left_anti").unionByName(fresh)
-    stats.withColumn("episode_chunk", _chunk()).repartition("episode_chunk").sortWithinPartitions("episode_index", "feature").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/stats")
+    stats.withColumn("episode_chunk", _chunk(parts["chunk"])).repartition(max(1, len(chunks)), "episode_chunk").sortWithinPartitions("episode_index", "feature").write.mode("overwrite").partitionBy("episode_chunk").parquet(f"{path}/{version}/stats")
     less = lambda folders: [[f, sorted({*w, *chunks})] for f, w in folders] + [[version, []]]
-    told = json.dumps({"frames": less(parts["frames"]), "stats": less(parts["stats"]), "tables": parts["tables"]})
+    told = json.dumps({"frames": less(parts["frames"]), "stats": less(parts["stats"]), "tables": parts["tables"], "chunk": parts["chunk"]})
     info = json.loads(last.info)
     info["features"] = info.get("features", {}) | (features or {})
     new = T.StructType([*(f for f in schema.fields if f.name not in names), *(f for f in changed.schema.fields if f.name in names)])
