@@ -522,9 +522,9 @@ def exported_csv(spark, d):
     path = ds.scratch(spark, "csv")
     f = stage_shares(event_frames(spark, d).withColumn("stage", F.col("event_id") % 6)).withColumn("action", F.array("value", F.col("frame_index") % 7))
     ds.export_csv(f, {"action": 2}, path, 2, ["stage"])
-    back = spark.read.csv(path, header=True, inferSchema=True)
-    each = back.groupBy(F.col("episode_index").cast("long").alias("episode_index"))
-    return each.agg(F.count("*").alias("rows"), F.round(F.sum("action_0"), 4).alias("first"), F.sum(F.col("action_1").cast("double")).alias("last"), F.round(F.sum("stage"), 4).alias("stage"))
+    back = spark.read.schema("timestamp double, action_0 double, action_1 double, stage double, episode_index long").csv(path, header=True)
+    each = back.groupBy("episode_index")
+    return each.agg(F.count("*").alias("rows"), F.round(F.sum("action_0"), 4).alias("first"), F.sum("action_1").alias("last"), F.round(F.sum("stage"), 4).alias("stage"))
 
 
 @query(f"WITH {EVENT_FRAMES}, e AS (SELECT episode_index, count(*) AS n FROM f GROUP BY 1) SELECT episode_index // 1000 AS chunk, count(*) AS episodes, sum(n)::BIGINT AS frames FROM e GROUP BY 1")

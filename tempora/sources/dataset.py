@@ -235,10 +235,14 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
 
 
 def export_csv(frames: DataFrame, vectors: dict[str, int], path: str, every: int = 1, scalars: list[str] | None = None) -> None:
-    """Vectors flattened to columns, scalars as they are, every n-th frame, one folder for each episode."""
+    """Vectors flattened to columns, scalars as they are, every n-th frame, one folder for each episode, in the order of time.
+
+    Tasks move their own files into place (Hadoop's second commit algorithm), as the folders are too many for the driver to
+    move one by one; Spark's _SUCCESS file says that all are there.
+    """
     flat = frames.filter(F.col("frame_index") % every == 0)
     cells = [F.col(v)[i].alias(f"{v}_{i}") for v, n in vectors.items() for i in range(n)]
-    flat.select("episode_index", "timestamp", *cells, *(scalars or [])).repartition("episode_index").sortWithinPartitions("timestamp").write.mode("overwrite").partitionBy("episode_index").csv(path, header=True)
+    flat.select("episode_index", "timestamp", *cells, *(scalars or [])).repartition("episode_index").sortWithinPartitions("episode_index", "timestamp").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("episode_index").csv(path, header=True)
 
 
 def manifest(episodes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 
 def test_stat_embedding_has_every_episode(spark, tmp_path):
@@ -30,3 +31,94 @@ def test_prompt_issues_on_whole_texts(spark, tmp_path):
     several, many = "multi_sentence_prompt", "multiple_task_assignments"
     got = {tuple(r) for r in catalog.QUERIES["prompt_issues_whole"](spark, str(tmp_path)).select("episode_index", "type").collect()}
     assert got == {(1, several), (2, many), (5, several), (5, many), (6, several)}
+
+
+def lines(spark, path, orders: int, each: int):
+    rows = spark.range(orders * each).select((F.col("id") % orders).alias("l_orderkey"), (F.col("id") / orders).cast("int").alias("l_linenumber"), F.lit(7).cast("long").alias("l_partkey"), F.lit(8).cast("long").alias("l_suppkey"), *(((F.col("id") * k) % 97).cast("double").alias(c) for k, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax"), 3)))
+    rows.write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_statistics_send_rows_not_buffers(spark, tmp_path):
+    """No partial aggregates before the shuffle, and more tasks where there are more rows."""
+    from tempora.operators import stats, written
+    from tempora.sources.adapters import order_frames
+
+    lines(spark, tmp_path, 40, 3)
+    plan = stats.episode_stats(order_frames(spark, str(tmp_path)), "action", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "HashAggregate" not in below and "Window" not in below
+    before, written.TASK_ROWS = written.TASK_ROWS, 10
+    try:
+        assert written.dealt(order_frames(spark, str(tmp_path)), "episode_index").rdd.getNumPartitions() == 12
+    finally:
+        written.TASK_ROWS = before
+
+
+def test_statistics_of_vectors_of_several_widths(spark):
+    """Components without values have no row and no place; nulls count as none."""
+    from tempora.functions import vector
+    from tempora.operators import fields, stats
+
+    rows = [(1, [1.0, 4.0, 5.0]), (1, [3.0, None]), (2, []), (2, None), (3, [0.0])]
+    df = spark.createDataFrame(rows, "episode_index long, action array<double>")
+    st = stats.episode_stats(df, "action", 3)
+    assert sorted(tuple(r) for r in st.collect()) == [(1, 0, 1.0, 3.0, 2.0, 1.0, 2), (1, 1, 4.0, 4.0, 4.0, 0.0, 1), (1, 2, 5.0, 5.0, 5.0, 0.0, 1), (3, 0, 0.0, 0.0, 0.0, 0.0, 1)]
+    found = {r.episode_index: r.embedding for r in vector.stat_embedding(st, "episode_index", 13).collect()}
+    v = np.array([2, 4, 5, 1, 0, 0, 1, 4, 5, 3, 4, 5, 0])
+    assert set(found) == {1, 3} and np.allclose(found[1], v / np.sqrt((v * v).sum())) and found[3] == [0.0] * 13
+    other = st.withColumn("mean", F.when(F.col("dim") == 1, F.col("mean") + 1).otherwise(F.col("mean"))).filter("dim < 2")
+    assert [tuple(r) for r in fields.beyond_tolerance(st, other, ["episode_index", "dim"], ["min", "mean"]).collect()] == [(1, 1, "mean", 4.0, 5.0)]
+    named = st.withColumn("feature", F.lit("a"))
+    assert sorted(tuple(r) for r in fields.stats_from_json(fields.stats_to_json(named)).select("episode_index", "dim", "min", "max", "mean", "std").collect()) == sorted(tuple(r)[:6] for r in st.collect())
+
+
+def test_contiguous_numbers(spark):
+    from tempora.operators import quality
+
+    numbers = {1: [0, 1, 2], 2: [2, 0, 1], 3: [0, 1, 1], 4: [1, 2], 5: [0, None], 6: [0, 2, 2, 1]}
+    df = spark.createDataFrame([(e, n) for e, v in numbers.items() for n in v], "episode_index long, frame_index long")
+    got = {r.episode_index: (r.frames, r.contiguous) for r in quality.contiguous(df).collect()}
+    assert got == {1: (3, True), 2: (3, True), 3: (3, False), 4: (2, False), 5: (2, False), 6: (4, False)}
+    assert {r.episode_index for r in quality.contiguous(df, 1).collect() if r.contiguous} == {4}
+    assert "count(distinct" not in quality.contiguous(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_folders_do_not_grow_with_the_data(spark, tmp_path):
+    """Chunks widen where there are very many, and writing back keeps to them."""
+    from tempora.sources import dataset as ds
+
+    assert ds.chunk_width(0, 255_999) == (1000, 256) and ds.chunk_width(0, 256_000) == (2000, 129) and ds.chunk_width(None, None) == (1000, 1)
+    frames = spark.range(700).select((F.col("id") * 1000 + 5).alias("episode_index"), F.lit(0).cast("long").alias("frame_index"), F.col("id").cast("double").alias("value"))
+    episodes = frames.groupBy("episode_index").agg(F.array(F.lit("t")).alias("tasks"), F.count("*").alias("length"))
+    ds.write(ds.EpisodicDataset(frames, episodes, spark.createDataFrame([(0, "t")], "task_index long, task string"), {}), str(tmp_path), "v1")
+    assert len(list((tmp_path / "v1" / "frames").glob("episode_chunk=*"))) == 175
+    scanned = frames.filter("episode_index in (5, 699005)").select("episode_index")
+    values = scanned.select("episode_index", F.lit(0).cast("long").alias("frame_index"), F.lit(3).alias("stage"))
+    assert ds.write_back(spark, str(tmp_path), "v2", values, scanned) == [0, 174]
+    back = ds.read(spark, str(tmp_path)).frames
+    assert back.count() == 700 and sorted(r.episode_index for r in back.filter("stage = 3").collect()) == [5, 699005]
+    assert [r.value for r in ds.read(spark, str(tmp_path), [698005]).frames.collect()] == [698.0]
+
+
+def test_exported_rows_are_in_order_of_time(spark, tmp_path):
+    from tempora.sources import dataset as ds
+
+    f = spark.range(600).select((F.col("id") % 3).alias("episode_index"), (F.col("id") * 0 + 2).alias("frame_index"), (F.lit(600.0) - F.col("id")).alias("timestamp"))
+    ds.export_csv(f.repartition(7), {}, f"{tmp_path}/csv")
+    for e in range(3):
+        (file,) = (tmp_path / "csv" / f"episode_index={e}").glob("*.csv")
+        told = [float(x) for x in file.read_text().split()[1:]]
+        assert len(told) == 200 and told == sorted(told)
+
+
+def test_labels_are_parsed_by_several_tasks(spark):
+    from tempora.operators import review
+
+    labels = spark.range(4000).coalesce(1).select(F.col("id").alias("episode_index"), F.lit("Pick up the lemon").alias("task"), F.lit(1).alias("uncertainty"), F.lit(True).alias("has_target"), F.lit(True).alias("has_ref"), F.create_map(F.lit("background"), F.lit("sofa")).alias("tags"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert review.candidates(labels, ["lemon", "cup"], 60).groupBy(F.spark_partition_id()).count().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
