@@ -58,12 +58,11 @@ def write(data: EpisodicDataset, path: str, version: str) -> None:
     append_row(spark, f"{path}/versions", POINTER, (last.number + 1 if last else 0, version, json.dumps(data.info, sort_keys=True), chunked.schema.json(), json.dumps({"frames": [[version, []]], "stats": [], "tables": version, "chunk": width})))
 
 
-def chunk_width(first: int | None, last: int | None) -> tuple[int, int]:
-    """How many episode numbers a chunk covers, ``CHUNK`` or twice, four times, ... as many, and how many chunks there may be: ``FOLDERS`` at most, so that files grow with the data, not their number."""
-    width = CHUNK
+def chunk_width(first: int | None, last: int | None, width: int = CHUNK, folders: int = FOLDERS) -> tuple[int, int]:
+    """How many episode numbers a chunk covers, ``width`` or twice, four times, ... as many, and how many chunks there may be: ``folders`` at most, so that files grow with the data, not their number."""
     if first is None:
         return width, 1
-    while last // width - first // width >= FOLDERS:
+    while last // width - first // width >= folders:
         width *= 2
     return width, last // width - first // width + 1
 
@@ -234,15 +233,26 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def export_csv(frames: DataFrame, vectors: dict[str, int], path: str, every: int = 1, scalars: list[str] | None = None) -> None:
-    """Vectors flattened to columns, scalars as they are, every n-th frame, one folder for each episode, in the order of time.
+def export_csv(frames: DataFrame, vectors: dict[str, int], path: str, every: int = 1, scalars: list[str] | None = None, folders: int | None = FOLDERS) -> None:
+    """Vectors flattened to columns, scalars as they are, every n-th frame, rows in the order of time.
 
-    Tasks move their own files into place (Hadoop's second commit algorithm), as the folders are too many for the driver to
-    move one by one; Spark's _SUCCESS file says that all are there.
+    Up to ``folders`` episodes have a folder each, episode_index=3. Of more episodes, those whose numbers are near share a
+    folder, first_episode=40, named by the least number that it may hold: their rows lie in one file, episode after episode,
+    with episode_index as its last column, so that files grow with the data, not their number. Either way a schema that ends
+    with episode_index reads them. None: a folder for each episode, however many they are.
+
+    Tasks move their own files into place (Hadoop's second commit algorithm), as the folders may be too many for the driver
+    to move one by one; Spark's _SUCCESS file says that all are there.
     """
     flat = frames.filter(F.col("frame_index") % every == 0)
     cells = [F.col(v)[i].alias(f"{v}_{i}") for v, n in vectors.items() for i in range(n)]
-    flat.select("episode_index", "timestamp", *cells, *(scalars or [])).repartition("episode_index").sortWithinPartitions("episode_index", "timestamp").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("episode_index").csv(path, header=True)
+    flat, by = flat.select("timestamp", *cells, *(scalars or []), "episode_index"), "episode_index"
+    if folders is not None:
+        first, last, n = frames.agg(F.min(by), F.max(by), F.countDistinct(by)).first()
+        if n > folders:
+            width, _ = chunk_width(first, last, 1, folders)
+            flat, by = flat.withColumn("first_episode", _chunk(width) * width), "first_episode"
+    flat.repartition(by).sortWithinPartitions(*dict.fromkeys((by, "episode_index", "timestamp"))).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(by).csv(path, header=True)
 
 
 def manifest(episodes: DataFrame) -> DataFrame:

@@ -112,6 +112,54 @@ def test_exported_rows_are_in_order_of_time(spark, tmp_path):
         assert len(told) == 200 and told == sorted(told)
 
 
+def test_folders_of_exported_rows_are_bounded(spark, tmp_path):
+    """Many episodes share folders: each lies whole in one file, in order of time, and the same schema reads all of them."""
+    from tempora.sources import dataset as ds
+
+    f = spark.range(900).select((F.col("id") % 300 * 7 - 50).alias("episode_index"), (F.col("id") / 300).cast("int").alias("frame_index"), (F.lit(9.0) - F.col("id") / 100).alias("timestamp"), F.array("id").alias("v"))
+    ds.export_csv(f.repartition(7), {"v": 1}, f"{tmp_path}/csv")
+    folders = list((tmp_path / "csv").glob("*=*"))
+    assert 64 <= len(folders) <= ds.FOLDERS
+    firsts = sorted(int(p.name.removeprefix("first_episode=")) for p in folders)
+    seen = []
+    for p in folders:
+        (file,) = p.glob("*.csv")
+        head, *lines = file.read_text().splitlines()
+        rows = [(int(e), float(t)) for t, _, e in (x.split(",") for x in lines)]
+        assert head == "timestamp,v_0,episode_index" and rows == sorted(rows)
+        assert all(max(x for x in firsts if x <= e) == int(p.name.removeprefix("first_episode=")) for e, _ in rows)
+        seen += sorted({e for e, _ in rows})
+    assert sorted(seen) == [e * 7 - 50 for e in range(300)]
+    back = spark.read.schema("timestamp double, v_0 long, episode_index long").csv(f"{tmp_path}/csv", header=True)
+    assert sorted(tuple(r) for r in back.select("episode_index", "timestamp", "v_0").collect()) == sorted(tuple(r) for r in f.select("episode_index", "timestamp", F.col("v")[0]).collect())
+    few = f.filter("episode_index < -20")  # five episodes
+    for limit, named in ((4, "first_episode"), (5, "episode_index"), (None, "episode_index")):
+        ds.export_csv(few, {"v": 1}, f"{tmp_path}/few-{limit}", folders=limit)
+        got = list((tmp_path / f"few-{limit}").glob(f"{named}=*"))
+        assert len(got) == 5 if named == "episode_index" else 1 < len(got) <= 4
+        again = spark.read.schema(back.select("timestamp", "v_0", "episode_index").schema).csv(f"{tmp_path}/few-{limit}", header=True)
+        assert again.count() == 15 and again.select("episode_index").distinct().count() == 5
+
+
+def test_exported_csv_of_many_episodes(spark, tmp_path):
+    """The query over more episodes than have folders of their own gives the rows of its SQL."""
+    import duckdb
+
+    from tempora.plans import catalog
+    from tempora.sources import dataset as ds
+
+    n = 2 * ds.FOLDERS
+    e = spark.range(7 * n).select(F.col("id").alias("event_id"), (F.col("id") % n * 3).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 5 % 997).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), (F.col("id") * 31 % 1009 / 8).alias("value"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(catalog.ORACLES["exported_csv"])
+    names = [c[0] for c in found.description]
+    expected = sorted(found.fetchall())
+    assert len(expected) == n
+    assert sorted(tuple(r) for r in catalog.QUERIES["exported_csv"](spark, str(tmp_path)).select(*names).collect()) == expected
+
+
 def test_labels_are_parsed_by_several_tasks(spark):
     from tempora.operators import review
 
