@@ -29,6 +29,8 @@ class EpisodicDataset:
     episodes: DataFrame
     tasks: DataFrame
     info: dict = field(default_factory=dict)
+    #: Episode numbers that a chunk covers, of a dataset that was read as it was written.
+    chunk: int = CHUNK
 
     def with_task(self) -> DataFrame:
         """Frames with the text of their task (J01, P13): an equi-join, broadcast by Spark while the dictionary is small."""
@@ -37,7 +39,7 @@ class EpisodicDataset:
     def totals(self) -> DataFrame:
         """One row of recounted metadata."""
         e = self.episodes.agg(F.count("*").alias("total_episodes"), F.sum("length").alias("total_frames"))
-        return e.crossJoin(self.tasks.agg(F.count("*").alias("total_tasks"))).withColumn("total_chunks", F.ceil(F.col("total_episodes") / CHUNK))
+        return e.crossJoin(self.tasks.agg(F.count("*").alias("total_tasks"))).withColumn("total_chunks", F.ceil(F.col("total_episodes") / self.chunk))
 
 
 def write(data: EpisodicDataset, path: str, version: str) -> None:
@@ -105,7 +107,7 @@ def read(spark: SparkSession, path: str, episodes: list[int] | None = None) -> E
         frames = frames.filter(F.col("episode_chunk").isin(sorted({e // parts["chunk"] for e in episodes})) & F.col("episode_index").isin(episodes))
         table = table.filter(F.col("episode_index").isin(episodes))
     tasks = spark.read.schema("task_index long, task string").json(f"{path}/{parts['tables']}/tasks")
-    return EpisodicDataset(frames.drop("episode_chunk"), table, tasks, json.loads(row.info))
+    return EpisodicDataset(frames.drop("episode_chunk"), table, tasks, json.loads(row.info), parts["chunk"])
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:

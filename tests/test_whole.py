@@ -101,6 +101,19 @@ def test_folders_do_not_grow_with_the_data(spark, tmp_path):
     assert [r.value for r in ds.read(spark, str(tmp_path), [698005]).frames.collect()] == [698.0]
 
 
+def test_totals_count_the_chunks_that_stand(spark, tmp_path, monkeypatch):
+    """Of wider chunks, too: total_chunks is by the width that the dataset was written with."""
+    from tempora.sources import dataset as ds
+
+    frames = spark.range(10).select(F.col("id").alias("episode_index"), F.lit(0).cast("long").alias("frame_index"))
+    episodes = frames.groupBy("episode_index").agg(F.array(F.lit("t")).alias("tasks"), F.count("*").alias("length"))
+    data = ds.EpisodicDataset(frames, episodes, spark.createDataFrame([(0, "t")], "task_index long, task string"), {})
+    monkeypatch.setattr(ds, "chunk_width", lambda first, last: (4, 3))
+    ds.write(data, str(tmp_path), "v1")
+    assert len(list((tmp_path / "v1" / "frames").glob("episode_chunk=*"))) == 3
+    assert tuple(ds.read(spark, str(tmp_path)).totals().first()) == (10, 10, 1, 3) and data.totals().first().total_chunks == 1
+
+
 def test_exported_rows_are_in_order_of_time(spark, tmp_path):
     from tempora.sources import dataset as ds
 
